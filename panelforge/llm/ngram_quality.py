@@ -23,18 +23,18 @@ from .doc_features import base_stats
 from .labelled import labelled_sample
 from .words import WordHashes, texts, window_hashes
 
-MAX_TRAIN_ROWS = 6_000
+MAX_TRAIN_ROWS = 4_000
 BITS = 15
 BLOCKS = 3
 #: Fixed thresholds: least calibrated probability, least words, most repeated words in percent.
 KEEP_AT = 0.3
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-STEPS = 120
+STEPS = 60
 RATE = 0.3
 RIDGE = 1e-4
-#: Scale of the mean-pooled inputs, so that one step moves a logit by about one.
-SCALE = 4.0
+#: Scale of the mean-pooled inputs: a share of a few hundredths then moves a logit by about one.
+SCALE = 10.0
 
 STATS_SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
@@ -134,13 +134,19 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic fit of y on z, with smoothed targets and a weak prior on slope 1."""
     hi, lo = (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2)
     t = np.where(y > 0, hi, lo)
-    theta = np.array([1.0, 0.0])
-    x = np.stack([z, np.ones_like(z)], 1)
+    theta, x = np.array([1.0, 0.0]), np.stack([z, np.ones_like(z)], 1)
+
+    def loss(c):
+        m = x @ c
+        return np.sum(np.logaddexp(0, m) - t * m) + 0.5 * (c[0] - 1) ** 2 + 0.005 * c[1] ** 2
+
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
         g = x.T @ (p - t) + np.array([theta[0] - 1.0, 0.01 * theta[1]])
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1.0, 0.01])
-        theta = theta - np.linalg.solve(h, g)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag([1.0, 0.01]), g)
+        while loss(theta - step) > loss(theta) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        theta = theta - step
     return float(max(theta[0], 0.05)), float(theta[1])
 
 
