@@ -12,6 +12,7 @@ each on its own; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 
 import ahocorasick
@@ -45,8 +46,17 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+#: Base of the digits that stand for a word number: keeps the children of an automaton's node few.
+_BASE = 128
+
+
 class Automaton:
-    """Word numbers and the Aho-Corasick automaton of all windows; shared by a worker's tasks."""
+    """Word numbers and the Aho-Corasick automaton of all windows; shared by a worker's tasks.
+
+    A word number is spelled as digits, each place with symbols of its own, so that matches can only
+    begin and end at word borders. Words that occur in no window can't be part of a match: only runs of
+    known words, at least as long as the shortest window, are handed to the automaton.
+    """
 
     def __init__(self, items: tuple[tuple[str, bytes], ...], window: int):
         self.number: dict[bytes, int] = {}
@@ -56,27 +66,40 @@ class Automaton:
             k = min(window, len(w))
             for i in range(len(w) - k + 1) if k else ():
                 wins.setdefault(tuple(w[i : i + k]), set()).add(item)
+        self.digits, size = 1, _BASE
+        while size <= len(self.number):
+            self.digits, size = self.digits + 1, size * _BASE
+        self.shortest = min(map(len, wins), default=0)
         self.automaton = None
         if wins:
             self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
             for win, owners in wins.items():
-                self.automaton.add_word(win, (len(win), owners))
+                self.automaton.add_word(self._spell(np.array(win)), (len(win), owners))
             self.automaton.make_automaton()
 
+    def _spell(self, numbers: np.ndarray) -> tuple[int, ...]:
+        places = [numbers // _BASE**d % _BASE + d * _BASE for d in range(self.digits)]
+        return tuple(np.stack(places, 1).ravel().tolist())
+
     def scan(self, text: bytes) -> tuple[int, np.ndarray | None, set[str]]:
         """Number of words, mask of hit words (None without hits), items found."""
         words = normal_words(text)
-        if self.automaton is None or not words:
-            return len(words), None, set()
-        numbers = tuple(map(self.number.get, words, (0,) * len(words)))
+        n = len(words)
+        if self.automaton is None or n < self.shortest:
+            return n, None, set()
+        numbers = np.fromiter(map(self.number.get, words, itertools.repeat(0)), np.int64, n)
+        unknown = np.concatenate([[-1], np.flatnonzero(numbers == 0), [n]])
         edge, found = None, set()
-        for end, (k, owners) in self.automaton.iter(numbers):
-            if edge is None:
-                edge = np.zeros(len(words) + 1, np.int64)
-            edge[end - k + 1] += 1
-            edge[end + 1] -= 1
-            found |= owners
-        return len(words), None if edge is None else np.cumsum(edge[:-1]) > 0, found
+        for i in np.flatnonzero(np.diff(unknown) > self.shortest):
+            begin, end = unknown[i] + 1, unknown[i + 1]
+            for last, (k, owners) in self.automaton.iter(self._spell(numbers[begin:end])):
+                if edge is None:
+                    edge = np.zeros(n + 1, np.int64)
+                stop = begin + (last + 1) // self.digits
+                edge[stop - k] += 1
+                edge[stop] -= 1
+                found |= owners
+        return n, None if edge is None else np.cumsum(edge[:-1]) > 0, found
 
 
 @functools.lru_cache(maxsize=2)

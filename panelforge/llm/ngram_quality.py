@@ -23,7 +23,7 @@ from .doc_features import base_stats
 from .labelled import labelled_sample
 from .words import WordHashes, texts, window_hashes
 
-MAX_TRAIN_ROWS = 4_000
+MAX_TRAIN_ROWS = 3_000
 BITS = 15
 BLOCKS = 3
 #: Fixed thresholds: least calibrated probability, least words, most repeated words in percent.

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, gam_quality, ngram_quality, toxicity
+from . import byte_bpe, chat_format, decontaminate, gam_quality, ngram_quality, toxicity
 from .labelled import fold_of
 
 
@@ -33,6 +36,22 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@functools.cache
+def vocabulary() -> byte_bpe.Vocabulary:
+    return byte_bpe.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = vocabulary()
+    ids = F.col("ids")
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), vocab).select(
+        "doc_id",
+        F.size(ids).cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(byte_bpe.decode(ids, vocab), 256).alias("decoded_sha256"),
+    )
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     lexicon = toxicity.train(docs, labels, "toxic", _fold(3) != 1)
@@ -56,6 +75,7 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_gam_quality": op1_gam_quality,
     "op2_decontaminate": op2_decontaminate,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
     "op9_chat_format": op9_chat_format,
     "op10_ngram_quality": op10_ngram_quality,
