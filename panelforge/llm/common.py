@@ -81,20 +81,27 @@ def bitmap_has(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
-def prefilter(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
-    """Rows of df whose id may be in the bitmap; no shuffle, all other rows are surely out."""
+def prefilter(df: DataFrame, column: str, bitmap: np.ndarray, inside: bool = True) -> DataFrame:
+    """Rows of df whose id may be in the bitmap (inside) or surely isn't; no shuffle."""
     held = df.sparkSession.sparkContext.broadcast(bitmap)
     marked = df.withColumn("_pf_slot", F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAP_BITS)))
 
     def run(batches):
         for batch in batches:
             slots = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = pa.array(bitmap_has(held.value, slots))
-            yield batch.filter(keep).select(batch.schema.names[:-1])
+            keep = pa.array(bitmap_has(held.value, slots) == inside)
+            yield batch.select(batch.schema.names[:-1]).filter(keep)
 
     return marked.mapInArrow(run, df.schema)
 
 
+def without_ids(df: DataFrame, column: str, removed: DataFrame) -> DataFrame:
+    """df without the rows whose id is in removed(column); only rows that may go are shuffled."""
+    bits = id_bitmap(removed, column)
+    maybe = prefilter(df, column, bits).join(removed.select(column).distinct(), column, "left_anti")
+    return prefilter(df, column, bits, inside=False).unionByName(maybe.select(df.columns))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Distributed union-find over edges(src long, dst long): rows (node, component = smallest node).
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, gam_quality, ngram_quality, toxicity
+from . import byte_bpe, chat_format, decontaminate, gam_quality, ngram_join, ngram_quality, toxicity
 from .labelled import fold_of
 
 
@@ -60,6 +60,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
@@ -77,6 +81,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
+    "op7_ngram_join": op7_ngram_join,
     "op9_chat_format": op9_chat_format,
     "op10_ngram_quality": op10_ngram_quality,
 }
