@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,13 @@ from pyspark.sql import functions as F
 NONE = 1 << 17
 _ID, _PLACE, _STOP = (1 << 17) - 1, ((1 << 23) - 1) << 17, NONE << 40
 #: UTF-8 bytes of documents in a block (a longer document is a block of its own).
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
+#: Frequent words that are encoded once for all blocks, and the bytes of documents they are counted in.
+#: Both only bound the dictionary: every other distinct word is folded in its block.
+DICTIONARY_WORDS = 1 << 18
+SAMPLE_BYTES = 64 << 20
 
-BLOCK_SCHEMA = "doc_ids array<bigint>, docs array<array<int>>, words array<array<bigint>>"
+BLOCK_SCHEMA = "doc_ids array<bigint>, docs array<array<int>>, known array<array<int>>, words array<array<bigint>>"
 
 
 class Vocabulary:
@@ -155,41 +160,67 @@ def packed_bytes(flat: np.ndarray, ends: np.ndarray, layout) -> np.ndarray:
     return merges << 40 | (place & ((1 << 23) - 1)) << 17 | flat
 
 
-def _blocks(vocab: Vocabulary, block_bytes: int):
-    """Documents as word numbers and the block's distinct words as base ids.
+class _Numbers(dict):
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        return n
 
-    A word that is itself in the vocabulary is its id: no merges are needed.
+
+def _blocks(vocab: Vocabulary, block_bytes: int, dictionary=None):
+    """Documents as word numbers, and the block's distinct words: known ones as ids, others as bytes.
+
+    Words that are themselves in the vocabulary, or in the dictionary, need no merges any more.
     """
-    ranks, pattern = vocab.ranks, vocab.pattern
+    ranks, pattern, layout = vocab.ranks, vocab.pattern, vocab.layout
     base = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-    layout = vocab.layout
     made: dict = {}
 
     def block(ids, docs):
-        number: dict[str, int] = {}
-        lists = [[number.setdefault(w, len(number)) for w in made["find"](d)] if d else [] for d in docs]
-        flat, sizes, whole = bytearray(), [], []
-        for word in number:
-            raw = word.encode()
-            known = ranks.get(raw)
-            whole.append(-1 if known is None else known)
-            flat += raw if known is None else b"\0"
-            sizes.append(len(raw) if known is None else 1)
-        values, ends = base[np.frombuffer(bytes(flat), np.uint8)], np.cumsum([0, *sizes])
-        whole = np.array(whole, np.int64)
-        values[ends[:-1][whole >= 0]] = whole[whole >= 0]
-        values = packed_bytes(values, ends, layout) if len(values) else values
-        offsets = np.cumsum([0, *map(len, lists)])
-        docs_array = _nested(np.fromiter((i for x in lists for i in x), np.int32, offsets[-1]), offsets)
-        return pa.RecordBatch.from_arrays([_outer(pa.array(ids, pa.int64())), _outer(docs_array), _outer(_nested(values, ends, pa.int64()))], names=["doc_ids", "docs", "words"])
+        number, flat, sizes = _Numbers(), [], [0]
+        for d in docs:
+            if d:
+                flat.extend(map(number.__getitem__, made["find"](d)))
+            sizes.append(len(flat))
+        at, values, offsets = made["dictionary"]
+        known, raw, ready, place = [], [], [], np.empty(len(number), np.int32)
+        for i, word in enumerate(number):
+            k = at.get(word)
+            if k is not None:
+                ready.append(values[offsets[k] : offsets[k + 1]])
+                known.append(i)
+                continue
+            b = word.encode()
+            rank = ranks.get(b)
+            if rank is not None:
+                ready.append((rank,))
+                known.append(i)
+            else:
+                place[i] = len(raw)
+                raw.append(b)
+        fold = np.ones(len(number), bool)
+        fold[known] = False
+        place[fold] += len(known)
+        place[known] = np.arange(len(known))
+        ends = np.cumsum([0, *map(len, raw)])
+        states = packed_bytes(base[np.frombuffer(b"".join(raw), np.uint8)], ends, layout) if raw else np.empty(0, np.int64)
+        ready_values = np.concatenate([np.empty(0, np.int64), *ready]).astype(np.int32)
+        columns = [
+            pa.array(ids, pa.int64()),
+            _nested(place[np.array(flat, np.int64)] if flat else np.empty(0, np.int32), np.array(sizes)),
+            _nested(ready_values, np.cumsum([0, *map(len, ready)])),
+            _nested(states, ends, pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays([_outer(c) for c in columns], names=["doc_ids", "docs", "known", "words"])
 
     def run(batches):
         made["find"] = regex.compile(pattern).findall
+        words, values, offsets = dictionary.value if dictionary else ((), np.empty(0, np.int32), [0])
+        made["dictionary"] = {w: i for i, w in enumerate(words)}, values, offsets
         for batch in batches:
             ids, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             start, size = 0, 0
             for i, d in enumerate(docs):
-                more = 4 * len(d or "") if d and not d.isascii() else len(d or "")
+                more = len(d or "")
                 if i > start and size + more > block_bytes:
                     yield block(ids[start:i], docs[start:i])
                     start, size = i, 0
@@ -208,15 +239,52 @@ def _outer(inner: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner)
 
 
-def encode(documents: DataFrame, vocab: Vocabulary, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, ids array<int>) of every whole text."""
+def frequent_words(documents: DataFrame, pattern: str, words: int = DICTIONARY_WORDS, sample_bytes: int = SAMPLE_BYTES) -> list[str]:
+    """The most frequent words of a bounded sample of documents (chosen by hash of their text)."""
+    total = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    sample = documents.where(F.col("text").isNotNull()).select("text")
+    if total > sample_bytes:
+        sample = sample.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(sample_bytes / total * (1 << 20)))
+
+    def count(batches):
+        find, n = regex.compile(pattern).findall, Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                n.update(find(text))
+        rows = [(w, c) for w, c in n.items() if len(w) > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())], names=["word", "n"])
+
+    counts = sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    find = regex.compile(pattern).findall
+    return [r.word for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(words).select("word").collect() if find(r.word) == [r.word]]
+
+
+def _encoded(documents: DataFrame, vocab: Vocabulary, block_bytes: int, dictionary=None) -> DataFrame:
     table = F.struct(*(_literal(x, "int").alias(k) for k, x in zip(("shift", "owner", "rank"), vocab.layout)))
-    blocks = documents.select("doc_id", "text").mapInArrow(_blocks(vocab, block_bytes), BLOCK_SCHEMA)
+    blocks = documents.select("doc_id", "text").mapInArrow(_blocks(vocab, block_bytes, dictionary), BLOCK_SCHEMA)
     words = _let(table, lambda t: F.transform("words", lambda w: merge_all(w, t["shift"], t["owner"], t["rank"])))
-    ids = _let(words, lambda enc: F.transform("docs", lambda d: F.flatten(F.transform(d, lambda i: F.get(enc, i)))))
+    ids = _let(F.concat("known", words), lambda enc: F.transform("docs", lambda d: F.flatten(F.transform(d, lambda i: F.get(enc, i)))))
     return blocks.select(F.inline(F.arrays_zip(F.col("doc_ids").alias("doc_id"), ids.alias("ids")))).select(F.col("doc_id"), F.col("ids"))
 
 
+def encode(documents: DataFrame, vocab: Vocabulary, block_bytes: int = BLOCK_BYTES, dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
+    """(doc_id, ids array<int>) of every whole text.
+
+    Frequent words are folded once and their ids broadcast (at most dictionary_words entries); the
+    other distinct words are folded block by block.
+    """
+    spark = documents.sparkSession
+    words = frequent_words(documents, vocab.pattern, dictionary_words)
+    listed = spark.createDataFrame(pa.table({"doc_id": pa.array(range(len(words)), pa.int64()), "text": pa.array(words, pa.string())}))
+    rows = _encoded(listed.repartition(32, "doc_id"), vocab, block_bytes).collect()
+    ids: list = [()] * len(words)
+    for r in rows:
+        ids[r.doc_id] = r.ids
+    values = np.array([x for w in ids for x in w], np.int32)
+    held = spark.sparkContext.broadcast((words, values, np.cumsum([0, *map(len, ids)]).tolist()))
+    return _encoded(documents, vocab, block_bytes, held)
+
+
 def decode(ids: Column, vocab: Vocabulary) -> Column:
     """The bytes of an array of ids: their pieces, one after the other."""
     pieces = F.split(F.lit(",".join(p.hex() for p in vocab.pieces())), ",")
