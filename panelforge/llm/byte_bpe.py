@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Rank of a pair that doesn't merge.
 NONE = 1 << 17
 _ID, _PLACE, _STOP = (1 << 17) - 1, ((1 << 23) - 1) << 17, NONE << 40
@@ -215,7 +217,7 @@ def _blocks(vocab: Vocabulary, block_bytes: int, dictionary=None):
     def run(batches):
         made["find"] = regex.compile(pattern).findall
         words, values, offsets = dictionary.value if dictionary else ((), np.empty(0, np.int32), [0])
-        made["dictionary"] = {w: i for i, w in enumerate(words)}, values, offsets
+        made["dictionary"] = {w: i for i, w in enumerate(words.to_pylist() if dictionary else ())}, values, offsets
         for batch in batches:
             ids, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             start, size = 0, 0
@@ -239,8 +241,8 @@ def _outer(inner: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner)
 
 
-def frequent_words(documents: DataFrame, pattern: str, words: int = DICTIONARY_WORDS, sample_bytes: int = SAMPLE_BYTES) -> list[str]:
-    """The most frequent words of a bounded sample of documents (chosen by hash of their text)."""
+def frequent_words(documents: DataFrame, pattern: str, words: int = DICTIONARY_WORDS, sample_bytes: int = SAMPLE_BYTES) -> pa.Array:
+    """Up to so many of the most frequent words of a bounded sample of documents (chosen by hash of their text)."""
     total = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     sample = documents.where(F.col("text").isNotNull()).select("text")
     if total > sample_bytes:
@@ -254,9 +256,19 @@ def frequent_words(documents: DataFrame, pattern: str, words: int = DICTIONARY_W
         rows = [(w, c) for w, c in n.items() if len(w) > 1]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())], names=["word", "n"])
 
-    counts = sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = materialize(counts, "words")
+    least, taken = None, 0
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        taken += r.words
+        if taken > words:
+            break
+        least = r.n
+    if least is None:
+        return pa.array([], pa.string())
+    found = counts.where(F.col("n") >= least).select("word").toArrow().column(0).combine_chunks().sort()
     find = regex.compile(pattern).findall
-    return [r.word for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(words).select("word").collect() if find(r.word) == [r.word]]
+    return found.filter(pa.array([find(w) == [w] for w in found.to_pylist()], pa.bool_()))
 
 
 def _encoded(documents: DataFrame, vocab: Vocabulary, block_bytes: int, dictionary=None) -> DataFrame:
@@ -275,13 +287,9 @@ def encode(documents: DataFrame, vocab: Vocabulary, block_bytes: int = BLOCK_BYT
     """
     spark = documents.sparkSession
     words = frequent_words(documents, vocab.pattern, dictionary_words)
-    listed = spark.createDataFrame(pa.table({"doc_id": pa.array(range(len(words)), pa.int64()), "text": pa.array(words, pa.string())}))
-    rows = _encoded(listed.repartition(32, "doc_id"), vocab, block_bytes).collect()
-    ids: list = [()] * len(words)
-    for r in rows:
-        ids[r.doc_id] = r.ids
-    values = np.array([x for w in ids for x in w], np.int32)
-    held = spark.sparkContext.broadcast((words, values, np.cumsum([0, *map(len, ids)]).tolist()))
+    listed = spark.createDataFrame(pa.table({"doc_id": pa.array(range(len(words)), pa.int64()), "text": words}))
+    got = _encoded(listed.repartition(32, "doc_id"), vocab, block_bytes).toArrow().sort_by("doc_id").column("ids").combine_chunks()
+    held = spark.sparkContext.broadcast((words, got.flatten().to_numpy(), np.cumsum([0, *got.value_lengths().to_pylist()]).tolist()))
     return _encoded(documents, vocab, block_bytes, held)
 
 

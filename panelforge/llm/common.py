@@ -55,22 +55,40 @@ def as_arrow(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
+def _slot(column: str):
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAP_BITS))
+
+
+def bitmap_rows(ids: DataFrame, column: str) -> DataFrame:
+    """Bitmap of the hashed values of a column, in rows (bucket, bits); at most BITMAP_BITS / 8 bytes."""
+    slots = ids.where(F.col(column).isNotNull()).select(_slot(column).alias("slot"))
+    return slots.groupBy(F.expr(f"slot div {_BUCKET_BITS}").alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % _BUCKET_BITS).alias("bits"))
+
+
+def in_bitmap(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
+    """df with _pf_maybe: false where the value is surely not in the bitmap (whose size is bounded)."""
+    at = df.withColumn("_pf_slot", _slot(column))
+    held = F.broadcast(bitmap.select(F.col("bucket").alias("_pf_bucket"), F.col("bits").alias("_pf_bits")))
+    place = F.col("_pf_slot") % _BUCKET_BITS
+    byte = F.conv(F.hex(F.substring("_pf_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("shiftright(_pf_byte, cast(_pf_slot % 8 as int)) & 1 = 1"), F.lit(False))
+    joined = at.join(held, F.expr(f"_pf_slot div {_BUCKET_BITS} = _pf_bucket"), "left").withColumn("_pf_byte", byte)
+    return joined.withColumn("_pf_maybe", hit).drop("_pf_slot", "_pf_bucket", "_pf_bits", "_pf_byte")
+
+
+def maybe_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of df whose value may be among ids' values of the same column; DataFrame operations only."""
+    return in_bitmap(df, column, bitmap_rows(ids, column)).where("_pf_maybe").drop("_pf_maybe")
+
+
 def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """Bitmap over hashed values of one long column, built on the executors.
+    """The bitmap of bitmap_rows as an array on the driver, for Python on the executors.
 
-    At most BITMAP_BITS / 8 bytes reach the driver, whatever the number of ids. Membership may be
-    true for ids that are not in the frame (hash collisions), so an exact join must follow.
+    Its size is bounded, whatever the number of ids. Membership may be true for ids that are not in
+    the frame (hash collisions), so an exact join must follow.
     """
-    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAP_BITS))
-    rows = (
-        ids.where(F.col(column).isNotNull())
-        .select(slot.alias("slot"))
-        .groupBy(F.expr(f"slot div {_BUCKET_BITS}").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.col("slot") % _BUCKET_BITS).alias("bits"))
-        .collect()
-    )
     out = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for r in rows:
+    for r in bitmap_rows(ids, column).collect():
         bits = np.frombuffer(bytes(r["bits"]), np.uint8)
         at = int(r["bucket"]) * (_BUCKET_BITS // 8)
         out[at : at + len(bits)] = bits

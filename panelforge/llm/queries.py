@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, gam_quality, ngram_join, ngram_quality, toxicity
+from . import byte_bpe, chat_format, decontaminate, gam_quality, line_dedup, ngram_join, ngram_quality, toxicity
 from .labelled import fold_of
 
 
@@ -60,6 +60,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"))
+    n_left = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
+    return line_dedup.deduplicate(docs).select("doc_id", "n_lines", n_left.cast("bigint").alias("n_left"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
@@ -81,6 +87,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
+    "op5_line_dedup": op5_line_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op9_chat_format": op9_chat_format,
     "op10_ngram_quality": op10_ngram_quality,
