@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, gam_quality, line_dedup, ngram_join, ngram_quality, toxicity
+from . import byte_bpe, chat_format, decontaminate, gam_quality, line_dedup, ngram_join, ngram_quality, substring_dedup, toxicity
 from .labelled import fold_of
 
 
@@ -70,6 +70,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
@@ -89,6 +93,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op7_ngram_join": op7_ngram_join,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_ngram_quality": op10_ngram_quality,
 }
