@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +15,8 @@ from pyspark.sql.types import StructType
 #: Bits in an id bitmap (8 MB when broadcast). A fuller bitmap only lets more rows through.
 BITMAP_BITS = 1 << 26
 _BUCKET_BITS = 32768
+#: Rows of a batch that Python code works on at a time.
+SLICE_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,13 +41,20 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
     fields = list(to_arrow_schema(StructType.fromDDL(schema)))
 
     def run(batches):
-        for batch in batches:
-            for out in fn(batch):
+        for piece in sliced(batches):
+            for out in fn(piece):
                 yield pa.RecordBatch.from_arrays([as_arrow(out[f.name], f.type) for f in fields], names=[f.name for f in fields])
 
     return df.mapInArrow(run, schema)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of at most SLICE_ROWS rows: Python objects are made for one piece at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(begin, SLICE_ROWS)
+
+
 def as_arrow(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
@@ -81,43 +89,15 @@ def maybe_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return in_bitmap(df, column, bitmap_rows(ids, column)).where("_pf_maybe").drop("_pf_maybe")
 
 
-def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """The bitmap of bitmap_rows as an array on the driver, for Python on the executors.
-
-    Its size is bounded, whatever the number of ids. Membership may be true for ids that are not in
-    the frame (hash collisions), so an exact join must follow.
-    """
-    out = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for r in bitmap_rows(ids, column).collect():
-        bits = np.frombuffer(bytes(r["bits"]), np.uint8)
-        at = int(r["bucket"]) * (_BUCKET_BITS // 8)
-        out[at : at + len(bits)] = bits
-    return out
-
-
-def bitmap_has(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
-
-
-def prefilter(df: DataFrame, column: str, bitmap: np.ndarray, inside: bool = True) -> DataFrame:
-    """Rows of df whose id may be in the bitmap (inside) or surely isn't; no shuffle."""
-    held = df.sparkSession.sparkContext.broadcast(bitmap)
-    marked = df.withColumn("_pf_slot", F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAP_BITS)))
-
-    def run(batches):
-        for batch in batches:
-            slots = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = pa.array(bitmap_has(held.value, slots) == inside)
-            yield batch.select(batch.schema.names[:-1]).filter(keep)
-
-    return marked.mapInArrow(run, df.schema)
+def surely_not_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows that maybe_in leaves out."""
+    return in_bitmap(df, column, bitmap_rows(ids, column)).where("not _pf_maybe").drop("_pf_maybe")
 
 
 def without_ids(df: DataFrame, column: str, removed: DataFrame) -> DataFrame:
     """df without the rows whose id is in removed(column); only rows that may go are shuffled."""
-    bits = id_bitmap(removed, column)
-    maybe = prefilter(df, column, bits).join(removed.select(column).distinct(), column, "left_anti")
-    return prefilter(df, column, bits, inside=False).unionByName(maybe.select(df.columns))
+    maybe = maybe_in(df, column, removed).join(removed.select(column).distinct(), column, "left_anti")
+    return surely_not_in(df, column, removed).unionByName(maybe.select(df.columns))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:

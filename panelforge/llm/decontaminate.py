@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, sliced
 from .words import texts
 
 WINDOW = 10
@@ -167,7 +167,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     at = documents.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             got = _scan_all(parts, window, texts(batch.column(at)))
             yield batch.filter(pa.array([m is None for _, m, _ in got], pa.bool_()))
 

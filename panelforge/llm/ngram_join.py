@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, id_bitmap, materialize, prefilter
+from .common import arrow_map, connected_components, materialize, maybe_in, sliced, without_ids
 from .words import WordHashes, mix, shingles, texts
 
 SHINGLE = 5
@@ -71,7 +71,7 @@ def sets_and_frequencies(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         counts, seen = np.zeros(1 << FREQUENCY_BITS, np.int64), set()
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, nodes, slots = [], [], []
             for text in texts(batch.column(1)):
                 sh = of(text)
@@ -143,7 +143,7 @@ def signatures(documents: DataFrame, counts: np.ndarray, k: int = SHINGLE, thres
     def run(batches):
         rank, rare = held.value
         seen = set()
-        for batch in batches:
+        for batch in sliced(batches):
             keys, nodes = [], []
             for text in texts(batch.column(0)):
                 sh = of(text)
@@ -152,15 +152,15 @@ def signatures(documents: DataFrame, counts: np.ndarray, k: int = SHINGLE, thres
                 seen.add(node)
                 keys.append(prefix_signatures(sh, rank, rare, threshold))
                 nodes.append(np.full(len(keys[-1]), node, np.int64))
-            for i in range(0, len(keys), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys[i : i + 500])), pa.array(np.concatenate(nodes[i : i + 500]))], names=["sig", "node"])
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
 
     return documents.select("text").mapInArrow(run, "sig bigint, node bigint")
 
 
 def _sets(documents: DataFrame, nodes: DataFrame, info: DataFrame, k: int) -> DataFrame:
-    """(node, tokens) of the given nodes: only documents that stand for one are shingled and shuffled."""
-    first = info.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    """nodes with their tokens: only documents that stand for a node are shingled and shuffled."""
+    first = info.join(nodes.select("node"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     of = _hashed(k, True)
 
     def run(batch):
@@ -171,10 +171,9 @@ def _sets(documents: DataFrame, nodes: DataFrame, info: DataFrame, k: int) -> Da
             tokens.append(sh.view(np.int64))
         yield {"node": node, "tokens": pa.ListArray.from_arrays(np.cumsum([0, *map(len, tokens)]).astype(np.int32), np.concatenate(tokens))}
 
-    bits = id_bitmap(first, "doc_id")
-    null_ids = documents.where("doc_id is null").select("doc_id", "text")
-    found = prefilter(documents.select("doc_id", "text").where("doc_id is not null"), "doc_id", bits).unionByName(null_ids)
-    return arrow_map(found, run, "node bigint, tokens array<bigint>").join(nodes, "node", "left_semi")
+    docs = documents.select("doc_id", "text")
+    found = maybe_in(docs.where("doc_id is not null"), "doc_id", first).unionByName(docs.where("doc_id is null"))
+    return arrow_map(found, run, "node bigint, tokens array<bigint>").join(nodes, "node")
 
 
 def verify(pairs: DataFrame, documents: DataFrame, info: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -186,9 +185,11 @@ def verify(pairs: DataFrame, documents: DataFrame, info: DataFrame, k: int = SHI
     sizes = info.where("node is not null").groupBy("node").agg(F.first("n").alias("n"))
     p = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     p = materialize(p.where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)"), "pairs")
-    nodes = p.select(F.col("a").alias("node")).union(p.select("b")).distinct()
+    sides = p.select(F.col("a").alias("node"), F.lit(1).alias("is_a"), F.lit(0).alias("is_b")).union(p.select("b", F.lit(0), F.lit(1)))
+    nodes = sides.groupBy("node").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b"))
     sets = materialize(_sets(documents, nodes, info, k), "sets")
-    got = p.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+    got = p.join(sets.where("is_a = 1").select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
+    got = got.join(sets.where("is_b = 1").select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return got.withColumn("c", common).where(f"100 * c >= {threshold} * (na + nb - c)").select("a", "b")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_bitmap, materialize, prefilter
+from .common import arrow_map, materialize, maybe_in, surely_not_in
 from .words import WordHashes, mix, rolling_hashes, texts
 
 WINDOW = 50
@@ -153,7 +153,7 @@ def segments(documents: DataFrame) -> DataFrame:
 
 def _with_lists(documents: DataFrame, lists: DataFrame) -> DataFrame:
     """Documents (doc_id, text, th) joined to their rows (doc_id, th, spans); others aren't shuffled."""
-    found = prefilter(documents.select("doc_id", "text"), "doc_id", id_bitmap(lists, "doc_id"))
+    found = maybe_in(documents.select("doc_id", "text"), "doc_id", lists)
     return found.withColumn("th", F.hash("text")).join(lists, ["doc_id", "th"]).select("doc_id", "text", "th", "spans")
 
 
@@ -220,6 +220,5 @@ def deduplicate(documents: DataFrame) -> DataFrame:
             kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode())
         yield {"doc_id": batch.column(0), "n_words": n, "n_removed": removed, "kept": kept}
 
-    bits = id_bitmap(lists, "doc_id")
-    touched = prefilter(docs, "doc_id", bits).withColumn("th", F.hash("text")).join(lists, ["doc_id", "th"], "left").select("doc_id", "text", "th", "spans")
-    return arrow_map(prefilter(docs, "doc_id", bits, inside=False), whole, schema).unionByName(arrow_map(touched, cut, schema))
+    touched = maybe_in(docs, "doc_id", lists).withColumn("th", F.hash("text")).join(lists, ["doc_id", "th"], "left").select("doc_id", "text", "th", "spans")
+    return arrow_map(surely_not_in(docs, "doc_id", lists), whole, schema).unionByName(arrow_map(touched, cut, schema))

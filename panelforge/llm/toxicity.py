@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, sliced
 from .labelled import labelled_sample
 
 MAX_TRAIN_ROWS = 20_000
@@ -246,7 +246,7 @@ def reject(documents: DataFrame, lexicon: Lexicon, reject_at: float = REJECT_AT)
 
     def run(batches):
         lex, a = get()
-        for batch in batches:
+        for batch in sliced(batches):
             keep = [lex.probability(*total(a, t)) < reject_at for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -9,7 +9,7 @@ import xxhash
 _MASK = (1 << 64) - 1
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Entries of a worker's word cache before it starts afresh (bounds memory, not results).
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 250_000
 
 
 class WordHashes(dict):
@@ -83,7 +83,8 @@ def shingles(h: np.ndarray, k: int = 5) -> np.ndarray:
     """Sorted distinct hashes of k-word shingles; fewer words make one shingle; none make none."""
     if not len(h):
         return np.empty(0, np.uint64)
-    return np.unique(window_hashes(h, min(k, len(h))))
+    got = np.sort(window_hashes(h, min(k, len(h))))
+    return got[np.concatenate([[True], got[1:] != got[:-1]])]
 
 
 def texts(column: pa.Array) -> list[bytes]:
