@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 BITMAP_BITS = 1 << 26
 _BUCKET_BITS = 32768
 #: Rows of a batch that Python code works on at a time.
-SLICE_ROWS = 1000
+SLICE_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -142,3 +142,43 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         down = edges.join(low, "src").where("dst != m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         out = down.unionByName(low.select("src", F.col("m").alias("dst")))
     return out.where("src != dst").distinct()
+
+
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 4, least_keys: int = 1) -> DataFrame:
+    """Components (node, component) of buckets (key, node): every link between components is found.
+
+    verify takes candidate pairs (a, b) with a < b and returns those that link. In each round every
+    bucket is compared with one of its nodes, drawn anew by hash, and only nodes that aren't in that
+    node's component yet are compared. Buckets that still have several components after the rounds are
+    compared across components (pairs that share least_keys keys at least). No bucket is gathered, and
+    nodes of one component are never compared with each other again.
+    """
+    edges = done = comps = None
+    for r in range(rounds + 1):
+        placed = members.withColumn("c", F.col("node"))
+        if comps is not None:
+            placed = members.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        drawn = F.struct(F.xxhash64("node", F.lit(r)).alias("draw"), F.col("node").alias("hub"), F.col("c").alias("hub_c"))
+        heads = placed.groupBy("key").agg(F.min(F.struct("c")).alias("low"), F.max(F.struct("c")).alias("high"), F.min(drawn).alias("head"))
+        heads = heads.where("low != high").select("key", "head.hub", "head.hub_c")
+        if r < rounds:
+            met = placed.join(heads, "key").where("c != hub_c").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        else:
+            rest = materialize(placed.join(heads, "key", "left_semi"), "rest")
+            x, y = (rest.select("key", F.col("node").alias(f"n{i}"), F.col("c").alias(f"c{i}")) for i in "xy")
+            met = x.join(y, "key").where("cx < cy").groupBy(F.least("nx", "ny").alias("a"), F.greatest("nx", "ny").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
+            met = met.where(F.col("keys") >= least_keys).select("a", "b")
+        if done is not None:
+            met = met.join(done, ["a", "b"], "left_anti")
+        met = materialize(met, "met")
+        if met.isEmpty():
+            if r < rounds:
+                continue
+            break
+        new = verify(met)
+        edges = materialize(new if edges is None else edges.unionByName(new), "edges")
+        done = met if done is None else done.unionByName(met)
+        comps = materialize(connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
+    if comps is None:
+        comps = members.select("node", F.col("node").alias("component")).limit(0)
+    return comps

@@ -7,8 +7,8 @@ threshold's similarity with a probability above 0.99. Candidates are verified by
 similarity of all their character shingles, verified links are joined by distributed union-find, and of
 each component the first line (by document and line number) stays.
 
-A bucket is compared with one of its lines (a star); only lines of one bucket that are in different
-components afterwards are compared with each other. Texts are shuffled once, with their dropped lines.
+A bucket is compared with one of its lines at a time; only lines of one bucket that stay in different
+components are compared with each other. Texts are shuffled once, with their dropped lines.
 
 Defined cases: null texts have no lines and stay null; lines without a word are never dropped; lines
 shorter than a shingle are one shingle; repeated rows of one doc_id are told apart by a row number within
@@ -20,21 +20,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_rows, connected_components, in_bitmap, materialize, maybe_in
+from .common import bitmap_rows, in_bitmap, link_buckets, materialize, maybe_in
 
 SHINGLE = 5
 THRESHOLD = 80
-#: Characters of a signature shingle, and how many of the smallest hashes make the bands.
-ANCHORED = 8
-BOTTOM = 5
+#: Characters of a signature shingle (at words, at all positions), and how many of the smallest hashes make the bands.
+ANCHORED, DENSE = 24, 12
+BOTTOM = 6
 #: Lines of at most DENSE_TO words use all positions, lines of at least ANCHORED_FROM their words' beginnings.
 ANCHORED_FROM, DENSE_TO = 8, 12
 
 
 def line_shingles(line: Column) -> Column:
-    """Distinct character shingles of a line; a shorter line is its own shingle."""
+    """Hashes of the distinct character shingles of a line; a shorter line is its own shingle."""
     found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.when(F.size(found) > 0, F.array_distinct(found)).otherwise(F.array(line))
+    return F.when(F.length(line) >= SHINGLE, F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))).otherwise(F.array(F.xxhash64(line)))
 
 
 def _smallest(found: Column) -> Column:
@@ -54,7 +54,7 @@ def _pair_keys(found: Column, tag: int) -> Column:
 def bands(line: Column) -> Column:
     """Bucket keys of a line: hashes of pairs among its smallest shingle hashes."""
     none = F.array().cast("array<bigint>")
-    dense = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    dense = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{DENSE}}}))"), F.lit(1))
     dense = F.when(F.size(dense) > 0, dense).otherwise(F.array(line))
 
     def both(anchored):
@@ -81,23 +81,9 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     nodes = materialize(nodes.groupBy("node").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "lines")
 
     keyed = nodes.select(F.explode("bands").alias("key"), "node").repartition("key")
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_far")).where("hub < _far").drop("_far")
-    shared = materialize(keyed.join(hubs, "key").distinct(), "shared")
-    star = shared.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    edges = materialize(verify(star, lines, nodes), "edges")
-    comps = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-
-    comp_of = lambda name: comps.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
-    open_ = star.join(comp_of("a"), "a", "left").join(comp_of("b"), "b", "left").where("coalesce(c_a, a) != coalesce(c_b, b)")
-    keys = shared.join(open_.select(F.col("a").alias("node"), F.col("b").alias("hub")), ["node", "hub"], "left_semi").select("key").distinct()
-    rest = shared.join(keys, "key", "left_semi").join(comp_of("node"), "node", "left").select("key", "node", F.coalesce("c_node", "node").alias("c"))
-    x, y = (rest.select("key", *(F.col(v).alias(f"{v}_{side}") for v in ("node", "c"))) for side in "xy")
-    cross = x.join(y, "key").where("c_x < c_y").select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = materialize(cross.join(done, ["a", "b"], "left_anti"), "cross")
-    if not cross.isEmpty():
-        edges = materialize(edges.unionByName(verify(cross, lines, nodes)), "edges")
-        comps = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    shared = materialize(keyed.join(several, "key", "left_semi").distinct(), "shared")
+    comps = link_buckets(shared, lambda pairs: verify(pairs, lines, nodes))
 
     # of each component the node with the first place stays, and of that node the first line
     named = nodes.select("node", "place", "n").join(comps, "node", "left")
@@ -110,14 +96,16 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, lines: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b) of the pairs of lines whose shingle sets reach the threshold, exactly."""
-    pairs = materialize(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "place"), "node")
     held = maybe_in(lines, "node", wanted).withColumn("here", F.struct("doc_id", "th", "line_no")).drop("doc_id", "th", "line_no")
-    texts = materialize(held.join(wanted, "node").where(F.col("here").eqNullSafe(F.col("place"))).select("node", "line"), "texts")
-    got = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
-    sizes = got.select("a", "b", line_shingles(F.col("la")).alias("sa"), line_shingles(F.col("lb")).alias("sb"))
-    sizes = sizes.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("c"))
-    return sizes.where(f"100 * c >= {THRESHOLD} * (na + nb - c)").select("a", "b")
+    own = held.join(wanted, "node").where(F.col("here").eqNullSafe(F.col("place")))
+    texts = materialize(own.select("node", "line", F.size(line_shingles(F.col("line"))).alias("n")), "texts")
+    sizes = texts.select("node", "n")
+    p = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    p = p.where(f"100 * least(na, nb) >= {THRESHOLD} * greatest(na, nb)")
+    got = p.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
+    common = F.size(F.array_intersect(line_shingles(F.col("la")), line_shingles(F.col("lb"))))
+    return got.withColumn("c", common).where(f"100 * c >= {THRESHOLD} * (na + nb - c)").select("a", "b")
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:

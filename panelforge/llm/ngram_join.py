@@ -13,8 +13,8 @@ D = tokens in just one of them; d <= |x| / 5 and D <= |x| / 4 at 80 percent):
   prefix extended to D + d + 2: every token that only one of them has parts at most one neighbouring
   pair of common tokens, so at least one pair of the first D + 2 common tokens is left in both.
 
-A bucket of the index is never expanded into pairs: all its sets are verified against one of them (a
-star), components are formed, and only sets of one bucket that lie in different components yet are
+A bucket of the index is not expanded into pairs: all its sets are verified against one of them at a
+time, components are formed, and only sets of one bucket that stay in different components are
 compared with each other. No link between different components can be missed, and groups of copies or
 near copies of any size cost one comparison per member and bucket. Equal sets are one node from the start.
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, materialize, maybe_in, sliced, without_ids
+from .common import arrow_map, link_buckets, materialize, maybe_in, sliced, without_ids
 from .words import WordHashes, mix, shingles, texts
 
 SHINGLE = 5
@@ -40,6 +40,9 @@ FREQUENCY_BITS = 20
 #: Tokens are frequent from this many times the mean bucket count on, at least RARE_FLOOR above it.
 RARE_TIMES, RARE_FLOOR = 1.5, 48
 _SLICE = 1 << 14
+#: Longs of a set's parity bitmap.
+_SKETCH = 16
+_U = np.uint64
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -51,6 +54,12 @@ def node_of(sh: np.ndarray) -> int:
     return int((mix(np.bitwise_xor.reduce(mix(sh + np.uint64(len(sh))))[None])).view(np.int64)[0])
 
 
+def sketch_of(sh: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set: two bitmaps differ in at most as many bits as the sets differ in tokens."""
+    odd = np.bincount((sh >> _U(48)).astype(np.int64) & (64 * _SKETCH - 1), minlength=64 * _SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _hashed(k: int, lower: bool):
     """text bytes -> sorted distinct shingle hashes, with a word cache per task."""
     hashes = WordHashes()
@@ -67,30 +76,32 @@ def sets_and_frequencies(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
     Equal sets of one task count once, so that copies don't make their tokens look frequent.
     """
     of = _hashed(k, True)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.list_(pa.int64())), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
         counts, seen = np.zeros(1 << FREQUENCY_BITS, np.int64), set()
         for batch in sliced(batches):
-            sizes, nodes, slots = [], [], []
+            sizes, nodes, sketches, slots = [], [], [], []
             for text in texts(batch.column(1)):
                 sh = of(text)
                 sizes.append(len(sh))
                 node = node_of(sh) if len(sh) else None
                 nodes.append(node)
+                sketches.append(sketch_of(sh))
                 if len(sh) and node not in seen:
                     seen.add(node)
                     slots.append(_slots(sh))
             if slots:
                 counts += np.bincount(np.concatenate(slots), minlength=len(counts))
             none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+            sketch = pa.ListArray.from_arrays(np.arange(0, len(sketches) * _SKETCH + 1, _SKETCH, dtype=np.int32), np.concatenate(sketches))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), sketch, none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         parts = [(i, counts[i * _SLICE : (i + 1) * _SLICE]) for i in range(len(counts) // _SLICE)]
         parts = [(i, p.astype(np.uint32)) for i, p in parts if p.any()]
         none = pa.nulls(len(parts))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64())] * 3 + [pa.array([i for i, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64())] * 3 + [none.cast(pa.list_(pa.int64())), pa.array([i for i, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())], schema=schema)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, slice int, counts binary")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, sketch array<bigint>, slice int, counts binary")
 
 
 def frequency_table(slices: DataFrame) -> np.ndarray:
@@ -136,7 +147,7 @@ def prefix_signatures(sh: np.ndarray, rank: np.ndarray, rare: int, threshold: in
 
 
 def signatures(documents: DataFrame, counts: np.ndarray, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """(sig, node) of every document; equal sets of one task are emitted once."""
+    """(key, node) of every document; equal sets of one task are emitted once."""
     held = documents.sparkSession.sparkContext.broadcast(ranks_of(counts))
     of = _hashed(k, True)
 
@@ -153,9 +164,9 @@ def signatures(documents: DataFrame, counts: np.ndarray, k: int = SHINGLE, thres
                 keys.append(prefix_signatures(sh, rank, rare, threshold))
                 nodes.append(np.full(len(keys[-1]), node, np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
 
-    return documents.select("text").mapInArrow(run, "sig bigint, node bigint")
+    return documents.select("text").mapInArrow(run, "key bigint, node bigint")
 
 
 def _sets(documents: DataFrame, nodes: DataFrame, info: DataFrame, k: int) -> DataFrame:
@@ -179,12 +190,15 @@ def _sets(documents: DataFrame, nodes: DataFrame, info: DataFrame, k: int) -> Da
 def verify(pairs: DataFrame, documents: DataFrame, info: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b) of the pairs whose sets' Jaccard similarity reaches the threshold, exactly.
 
-    Pairs of sizes that can't reach it are out at once. Sets meet by two joins, one per side; a set
-    with very many partners is split over tasks (skew join).
+    Pairs of sizes that can't reach it are out at once, and so are pairs whose parity bitmaps differ in
+    more bits than their sets may differ in tokens. The others' sets meet by two joins, one per side; a
+    set with very many partners is split over tasks (skew join).
     """
-    sizes = info.where("node is not null").groupBy("node").agg(F.first("n").alias("n"))
-    p = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    p = materialize(p.where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)"), "pairs")
+    own = info.where("node is not null").select("node", "n", "sketch").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    side = lambda x: own.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    p = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)")
+    p = materialize(p.where((100 + threshold) * differ <= (100 - threshold) * (F.col("na") + F.col("nb"))).drop("sa", "sb"), "pairs")
     sides = p.select(F.col("a").alias("node"), F.lit(1).alias("is_a"), F.lit(0).alias("is_b")).union(p.select("b", F.lit(0), F.lit(1)))
     nodes = sides.groupBy("node").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b"))
     sets = materialize(_sets(documents, nodes, info, k), "sets")
@@ -199,34 +213,13 @@ def components(documents: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     if threshold < 75:
         raise ValueError("pairs of neighbouring tokens need a threshold of 75 at least")
     first = materialize(sets_and_frequencies(documents, k), "shingles")
-    info = first.where("slice is null").select("doc_id", "n", "node")
+    info = first.where("slice is null").select("doc_id", "n", "node", "sketch")
     counts = frequency_table(first.where("slice is not null").select("slice", "counts"))
 
-    keyed = signatures(documents, counts, k, threshold).repartition("sig")
-    hubs = keyed.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("_far")).where("hub < _far").drop("_far")
-    shared = materialize(keyed.join(hubs, "sig").distinct(), "shared")
-    star = shared.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    edges = materialize(verify(star, documents, info, k, threshold), "edges")
-    comps = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-
-    # buckets whose sets aren't in one component yet: compare across components
-    comp_of = lambda name: comps.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
-    open_ = star.join(comp_of("a"), "a", "left").join(comp_of("b"), "b", "left").where("coalesce(c_a, a) != coalesce(c_b, b)")
-    sigs = shared.join(open_.select(F.col("a").alias("node"), F.col("b").alias("hub")), ["node", "hub"], "left_semi").select("sig").distinct()
-    rest = shared.join(sigs, "sig", "left_semi").join(comp_of("node"), "node", "left")
-    sizes = info.where("node is not null").groupBy("node").agg(F.first("n").alias("n"))
-    rest = rest.select("sig", "node", F.coalesce("c_node", "node").alias("c")).join(sizes, "node")
-    x, y = (rest.select("sig", *(F.col(v).alias(f"{v}_{side}") for v in ("node", "c", "n"))) for side in "xy")
-    cross = (
-        x.join(y, "sig").where(f"c_x < c_y and 100 * least(n_x, n_y) >= {threshold} * greatest(n_x, n_y)")
-        .groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count(F.lit(1)).alias("keys")).where("keys > 1").drop("keys")
-    )
-    done = star.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
-    cross = materialize(cross.withColumns({"p": F.least("a", "b"), "q": F.greatest("a", "b")}).join(done, ["p", "q"], "left_anti").select("a", "b"), "cross")
-    if not cross.isEmpty():
-        more = verify(cross, documents, info, k, threshold)
-        edges = materialize(edges.unionByName(more), "edges")
-        comps = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    keyed = signatures(documents, counts, k, threshold).repartition("key")
+    several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    shared = materialize(keyed.join(several, "key", "left_semi").distinct(), "shared")
+    comps = link_buckets(shared, lambda pairs: verify(pairs, documents, info, k, threshold), least_keys=2)
 
     named = info.join(comps, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("_c"))
     least = named.where("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("_least"))
