@@ -35,7 +35,7 @@ WINDOW = 50
 RADIUS = 2 + 2 * 2 + 2 * 4
 MAX_LEN = 8
 #: Words of documents that are named together.
-CHUNK_WORDS = 1 << 18
+CHUNK_WORDS = 1 << 16
 
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95

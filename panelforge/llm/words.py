@@ -9,7 +9,7 @@ import xxhash
 _MASK = (1 << 64) - 1
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Entries of a worker's word cache before it starts afresh (bounds memory, not results).
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 100_000
 
 
 class WordHashes(dict):
