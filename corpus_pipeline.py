@@ -1,26 +1,59 @@
-"""A corpus cleaning pipeline: each stage applies one operator to what its predecessor kept."""
+"""A corpus cleaning pipeline: each stage applies one operator to all that its predecessor kept.
+
+Toxic documents go, repeated lines go from the texts, one document of each near-duplicate group stays,
+documents with benchmark passages go, and what is left is encoded. Stages pass Parquet to each other.
+"""
 
 from __future__ import annotations
 
-from panelforge.llm import decontaminate, toxicity
-from panelforge.llm.queries import table
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelforge.llm import decontaminate, line_dedup, ngram_join, toxicity
+from panelforge.llm.common import materialize
+from panelforge.llm.queries import encoded_digests, table, toxicity_train_rows
 
 
-def toxicity_stage(spark, docs, sf_dir):
-    lexicon = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon, learned from the labelled documents, doesn't reject."""
+    lexicon = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", toxicity_train_rows())
     return toxicity.reject(docs, lexicon)
 
 
-def decontaminate_stage(spark, docs, sf_dir):
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that repeat an earlier line (nearly); n_chars follows the text."""
+    return line_dedup.deduplicate(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the smallest doc_id) of each near-duplicate group."""
+    return ngram_join.keep_one(docs)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("toxicity", toxicity_stage), ("decontaminate", decontaminate_stage)]
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the encoded and decoded texts."""
+    return encoded_digests(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_dedup_stage),
+    ("ngram_join", ngram_join_stage),
+    ("decontaminate", decontaminate_stage),
+    ("byte_bpe", encode_stage),
+]
+
+#: Learned, fuzzy and tokenising stages have no SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections import Counter
 
 import numpy as np
@@ -24,16 +25,16 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sliced
 
 #: Rank of a pair that doesn't merge.
 NONE = 1 << 17
 _ID, _PLACE, _STOP = (1 << 17) - 1, ((1 << 23) - 1) << 17, NONE << 40
 #: UTF-8 bytes of documents in a block (a longer document is a block of its own).
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 3 << 20
 #: Frequent words that are encoded once for all blocks, and the bytes of documents they are counted in.
 #: Both only bound the dictionary: every other distinct word is folded in its block.
-DICTIONARY_WORDS = 1 << 18
+DICTIONARY_WORDS = 400_000
 SAMPLE_BYTES = 64 << 20
 
 BLOCK_SCHEMA = "doc_ids array<bigint>, docs array<array<int>>, known array<array<int>>, words array<array<bigint>>"
@@ -162,6 +163,17 @@ def packed_bytes(flat: np.ndarray, ends: np.ndarray, layout) -> np.ndarray:
     return merges << 40 | (place & ((1 << 23) - 1)) << 17 | flat
 
 
+def _finder(pattern: str):
+    """findall of the pattern; texts of ASCII alone take the same pattern with its classes spelled out."""
+    general = regex.compile(pattern).findall
+    ascii_ = re.sub(r"\\p\{([LN])\}", lambda m: {"L": "a-zA-Z", "N": "0-9"}[m[1]], pattern)
+    if "\\p" in ascii_ or "\\P" in ascii_:
+        return general
+    ascii_ = re.sub(r"(?<!\[)(?<!\\s)(a-zA-Z|0-9)(?=\+)", r"[\1]", ascii_)
+    plain = re.compile(ascii_, re.ASCII).findall
+    return lambda text: plain(text) if text.isascii() else general(text)
+
+
 class _Numbers(dict):
     def __missing__(self, word):
         n = self[word] = len(self)
@@ -208,17 +220,17 @@ def _blocks(vocab: Vocabulary, block_bytes: int, dictionary=None):
         ready_values = np.concatenate([np.empty(0, np.int64), *ready]).astype(np.int32)
         columns = [
             pa.array(ids, pa.int64()),
-            _nested(place[np.array(flat, np.int64)] if flat else np.empty(0, np.int32), np.array(sizes)),
+            _nested(place[np.fromiter(flat, np.int64, len(flat))], np.array(sizes)),
             _nested(ready_values, np.cumsum([0, *map(len, ready)])),
             _nested(states, ends, pa.int64()),
         ]
         return pa.RecordBatch.from_arrays([_outer(c) for c in columns], names=["doc_ids", "docs", "known", "words"])
 
     def run(batches):
-        made["find"] = regex.compile(pattern).findall
+        made["find"] = _finder(pattern)
         words, values, offsets = dictionary.value if dictionary else ((), np.empty(0, np.int32), [0])
         made["dictionary"] = {w: i for i, w in enumerate(words.to_pylist() if dictionary else ())}, values, offsets
-        for batch in batches:
+        for batch in sliced(batches):
             ids, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             start, size = 0, 0
             for i, d in enumerate(docs):
@@ -249,8 +261,8 @@ def frequent_words(documents: DataFrame, pattern: str, words: int = DICTIONARY_W
         sample = sample.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(sample_bytes / total * (1 << 20)))
 
     def count(batches):
-        find, n = regex.compile(pattern).findall, Counter()
-        for batch in batches:
+        find, n = _finder(pattern), Counter()
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 n.update(find(text))
         rows = [(w, c) for w, c in n.items() if len(w) > 1]
@@ -267,7 +279,7 @@ def frequent_words(documents: DataFrame, pattern: str, words: int = DICTIONARY_W
     if least is None:
         return pa.array([], pa.string())
     found = counts.where(F.col("n") >= least).select("word").toArrow().column(0).combine_chunks().sort()
-    find = regex.compile(pattern).findall
+    find = _finder(pattern)
     return found.filter(pa.array([find(w) == [w] for w in found.to_pylist()], pa.bool_()))
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, gam_quality, line_dedup, ngram_join, ngram_quality, substring_dedup, toxicity
+from . import byte_bpe, chat_format, decontaminate, gam_quality, line_dedup, ngram_join, ngram_quality, substring_dedup, toxicity, url_filters
 from .labelled import fold_of
 
 
@@ -41,10 +41,9 @@ def vocabulary() -> byte_bpe.Vocabulary:
     return byte_bpe.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocab = vocabulary()
-    ids = F.col("ids")
-    return byte_bpe.encode(table(spark, sf_dir, "documents"), vocab).select(
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    vocab, ids = vocabulary(), F.col("ids")
+    return byte_bpe.encode(docs, vocab).select(
         "doc_id",
         F.size(ids).cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
@@ -52,9 +51,17 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(table(spark, sf_dir, "documents"))
+
+
+def toxicity_train_rows():
+    return _fold(3) != 1
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    lexicon = toxicity.train(docs, labels, "toxic", _fold(3) != 1)
+    lexicon = toxicity.train(docs, labels, "toxic", toxicity_train_rows())
     return toxicity.score(docs, lexicon).select(
         "doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.REJECT_AT).cast("int").alias("predicted")
     )
@@ -66,6 +73,33 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate(docs).select("doc_id", "n_lines", n_left.cast("bigint").alias("n_left"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Pages as captures: the synthetic table has no fetch date, so one is derived from the page_id."""
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7919 % 366).cast("int")).alias("fetched_at"))
+
+
+def page_list_events(pages: DataFrame) -> DataFrame:
+    """A dated list history over the pages' hosts, derived from a digest of each host."""
+    hosts = pages.select(url_filters.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    hosts = hosts.withColumn("h", F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("int"))
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
+    parent = F.regexp_replace("host", r"^[^.]*\.", "")
+    h = F.col("h")
+    event = lambda name, rule, action, n: F.struct(F.lit(name).alias("list_name"), rule.alias("rule"), F.lit(action).alias("action"), day(n).alias("at"))
+    spam = F.array(event("spam", F.col("host"), "add", h % 200), event("spam", F.col("host"), "remove", h % 200 + 60 + h % 100))
+    adult = F.array(event("adult", parent, "add", h % 330))
+    none = F.array().cast("array<struct<list_name:string,rule:string,action:string,at:date>>")
+    events = F.concat(F.when(h % 3 == 0, spam).otherwise(none), F.when((h % 50 == 0), adult).otherwise(none))
+    return hosts.select(F.inline(events))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = url_filters.evaluate(page_captures(pages), page_list_events(pages))
+    lists = F.array_join(F.array_sort(F.array_distinct(F.transform("_active", lambda e: e["list_name"]))), ",")
+    return found.select("page_id", F.coalesce("_host", F.lit("")).alias("host"), "fetched_at", F.size("_active").cast("bigint").alias("n_active"), lists.alias("lists"), (F.size("_active") > 0).alias("blocked"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
@@ -92,9 +126,69 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
+    "op6_url_filters": op6_url_filters,
     "op7_ngram_join": op7_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_ngram_quality": op10_ngram_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL for the same rows.
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": r"""
+WITH items AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+wins AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS win
+  FROM (SELECT item_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM (SELECT item_id, w, least(10, len(w)) AS k FROM items WHERE len(w) > 0))),
+docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+starts AS (
+  SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS win
+  FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM docs, (SELECT DISTINCT k FROM wins) WHERE len(w) >= k)),
+hits AS (SELECT s.doc_id, s.i, s.k, x.item_id FROM starts s JOIN wins x ON s.k = x.k AND s.win = x.win),
+words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS pos FROM (SELECT DISTINCT doc_id, i, k FROM hits)) GROUP BY 1),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+""",
+    "op6_url_filters": r"""
+WITH caps AS (
+  SELECT page_id, regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '\.+$', '') AS host,
+    DATE '2024-01-01' + CAST(page_id * 7919 % 366 AS INTEGER) AS fetched_at FROM pages),
+hosts AS (SELECT host, CAST('0x' || substr(md5(host), 1, 6) AS INTEGER) AS h FROM (SELECT DISTINCT host FROM caps WHERE host IS NOT NULL AND host != '')),
+events AS (
+  SELECT 'spam' AS list_name, host AS rule, DATE '2024-01-01' + h % 200 AS valid_from, DATE '2024-01-01' + (h % 200 + 60 + h % 100) AS valid_to FROM hosts WHERE h % 3 = 0
+  UNION ALL
+  SELECT 'adult', regexp_replace(host, '^[^.]*\.', ''), min(DATE '2024-01-01' + h % 330), NULL FROM hosts WHERE h % 50 = 0 GROUP BY 2),
+active AS (
+  SELECT page_id, list_name, rule FROM caps c JOIN events e ON (c.host = e.rule OR ends_with(c.host, '.' || e.rule))
+  WHERE valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to)),
+each AS (SELECT page_id, count(DISTINCT list_name || ' ' || rule) AS n_active, string_agg(DISTINCT list_name, ',' ORDER BY list_name) AS lists FROM active GROUP BY 1)
+SELECT c.page_id, coalesce(host, '') AS host, fetched_at, coalesce(n_active, 0) AS n_active, coalesce(lists, '') AS lists, coalesce(n_active, 0) > 0 AS blocked
+FROM caps c LEFT JOIN each USING (page_id)
+""",
+    "op8_substring_dedup": r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, s, md5(array_to_string(w[s : s + 49], ' ')) AS win FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS s FROM docs WHERE len(w) >= 50)),
+firsts AS (SELECT win, min(doc_id) AS first FROM wins GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 49)) AS i FROM wins JOIN firsts USING (win) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS i, unnest(w) AS word FROM docs),
+kept AS (SELECT x.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY x.i) AS t FROM words x ANTI JOIN gone g ON x.doc_id = g.doc_id AND x.i = g.i GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept USING (doc_id)
+""",
+    "op7_ngram_join": r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + least(5, len(w)) - 1], ' ')) AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - least(5, len(w)) + 1)) AS i FROM docs WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2)
+  JOIN n nx ON nx.doc_id = a JOIN n ny ON ny.doc_id = b WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM docs d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1) USING (doc_id)
+""",
+}
