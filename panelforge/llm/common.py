@@ -144,14 +144,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("src != dst").distinct()
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 4, least_keys: int = 1) -> DataFrame:
+def link_buckets(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 4, least_keys: int = 1, traits: DataFrame | None = None, may_link: Callable[[str, str], str] | None = None
+) -> DataFrame:
     """Components (node, component) of buckets (key, node): every link between components is found.
 
     verify takes candidate pairs (a, b) with a < b and returns those that link. In each round every
     bucket is compared with one of its nodes, drawn anew by hash, and only nodes that aren't in that
     node's component yet are compared. Buckets that still have several components after the rounds are
     compared across components (pairs that share least_keys keys at least). No bucket is gathered, and
-    nodes of one component are never compared with each other again.
+    nodes of one component are never compared with each other again. traits (node, ...) and the SQL
+    condition may_link(x, y) on them, which every link must meet, drop pairs inside that last join.
     """
     edges = done = comps = None
     for r in range(rounds + 1):
@@ -164,9 +167,11 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
         if r < rounds:
             met = placed.join(heads, "key").where("c != hub_c").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         else:
-            rest = materialize(placed.join(heads, "key", "left_semi"), "rest")
-            x, y = (rest.select("key", F.col("node").alias(f"n{i}"), F.col("c").alias(f"c{i}")) for i in "xy")
-            met = x.join(y, "key").where("cx < cy").groupBy(F.least("nx", "ny").alias("a"), F.greatest("nx", "ny").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
+            rest = placed.join(heads, "key", "left_semi")
+            rest = materialize(rest if traits is None else rest.join(traits, "node"), "rest")
+            x, y = rest.alias("x"), rest.alias("y")
+            near = F.expr("x.key = y.key and x.c < y.c" + (f" and {may_link('x', 'y')}" if may_link else ""))
+            met = x.join(y, near).groupBy(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
             met = met.where(F.col("keys") >= least_keys).select("a", "b")
         if done is not None:
             met = met.join(done, ["a", "b"], "left_anti")

@@ -37,11 +37,11 @@ SHINGLE = 5
 THRESHOLD = 80
 #: Buckets of the corpus-wide frequency table (4 bytes each where it is summed, 2 where broadcast).
 FREQUENCY_BITS = 20
-#: Tokens are frequent from this many times the mean bucket count on, at least RARE_FLOOR above it.
-RARE_TIMES, RARE_FLOOR = 1.5, 48
+#: Tokens are rare up to a bucket count of the mean, so many of its standard deviations, and RARE_FLOOR.
+RARE_DEVIATIONS, RARE_FLOOR = 2.5, 4
 _SLICE = 1 << 14
 #: Longs of a set's parity bitmap.
-_SKETCH = 16
+_SKETCH = 8
 _U = np.uint64
 
 
@@ -125,7 +125,7 @@ def ranks_of(counts: np.ndarray) -> tuple[np.ndarray, int]:
     """Bucket counts scaled to 16 bits, and the highest rank of the rare class."""
     mean = max(1.0, counts.mean())
     rank = np.minimum(counts * 256 / mean, 65535).astype(np.uint16)
-    return rank, int(min(65535, (RARE_TIMES * mean + RARE_FLOOR) * 256 / mean))
+    return rank, int(min(65535, (counts.mean() + RARE_DEVIATIONS * counts.mean() ** 0.5 + RARE_FLOOR) * 256 / mean))
 
 
 def prefix_signatures(sh: np.ndarray, rank: np.ndarray, rare: int, threshold: int = THRESHOLD) -> np.ndarray:
@@ -219,7 +219,15 @@ def components(documents: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     keyed = signatures(documents, counts, k, threshold).repartition("key")
     several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     shared = materialize(keyed.join(several, "key", "left_semi").distinct(), "shared")
-    comps = link_buckets(shared, lambda pairs: verify(pairs, documents, info, k, threshold), least_keys=2)
+    longs = [f"s{i}" for i in range(_SKETCH)]
+    traits = info.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    traits = traits.select("node", "n", *(F.get("sketch", F.lit(i)).alias(x) for i, x in enumerate(longs)))
+
+    def may_link(x: str, y: str) -> str:
+        differ = " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in longs)
+        return f"100 * least({x}.n, {y}.n) >= {threshold} * greatest({x}.n, {y}.n) and {100 + threshold} * ({differ}) <= {100 - threshold} * ({x}.n + {y}.n)"
+
+    comps = link_buckets(shared, lambda pairs: verify(pairs, documents, info, k, threshold), least_keys=2, traits=traits, may_link=may_link)
 
     named = info.join(comps, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("_c"))
     least = named.where("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("_least"))
