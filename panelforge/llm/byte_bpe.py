@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import re
 from collections import Counter
 
@@ -133,34 +134,37 @@ def merge_all(word: Column, shift: Column, owner: Column, rank: Column) -> Colum
     def step(state, _):
         def merged(m, p):
             new = F.shiftright(m, 40).cast("int")
-            before, after = F.get(state, p - 2), F.get(state, p + 1)
-            left, right = (before.bitwiseAND(_ID)).cast("int"), (after.bitwiseAND(_ID)).cast("int")
-            return F.concat(
-                F.slice(state, F.lit(1), F.greatest(p - 2, F.lit(0))),
-                F.when(p > 1, F.array(packed(pair(left, new), before.bitwiseAND(_PLACE), left))).otherwise(empty),
-                F.array(packed(F.when(after.isNull(), F.lit(NONE)).otherwise(pair(new, right)), m.bitwiseAND(_PLACE), new)),
-                F.slice(state, p + 2, F.size(state)),
-            )
+            before = F.get(state, p - 2)
+            left, right = before.bitwiseAND(_ID).cast("int"), F.get(state, p + 1).bitwiseAND(_ID).cast("int")
+            two = F.array(packed(pair(left, new), before.bitwiseAND(_PLACE), left), packed(pair(new, right), m.bitwiseAND(_PLACE), new))
+            return F.concat(F.slice(state, F.lit(1), p - 2), two, F.slice(state, p + 2, F.size(state)))
 
         def at_least(m):
             return F.when(m >= _STOP, state).otherwise(_let(F.array_position(state, m).cast("int"), lambda p: merged(m, p)))
 
         return _let(F.array_min(state), at_least)
 
-    empty = F.array().cast("array<bigint>")
-    parts = F.when(F.size(word) < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(word)), word, step))
-    return F.transform(parts, lambda x: x.bitwiseAND(_ID).cast("int"))
+    parts = F.aggregate(F.sequence(F.lit(4), F.size(word)), word, step)
+    return F.transform(F.slice(parts, F.lit(2), F.size(parts) - 2), lambda x: x.bitwiseAND(_ID).cast("int"))
 
 
-def packed_bytes(flat: np.ndarray, ends: np.ndarray, layout) -> np.ndarray:
-    """Merge states of words: flat ids, word i at ends[i]:ends[i+1], packed as merge_all takes them."""
+def packed_bytes(flat: np.ndarray, ends: np.ndarray, layout) -> tuple[np.ndarray, np.ndarray]:
+    """Merge states of words of two bytes or more: flat ids, word i at ends[i]:ends[i+1].
+
+    Each state has a closing part at either end, whose id merges with nothing. Returns the packed
+    parts and the words' ends among them.
+    """
     shift, owner, rank = layout
     slot = np.minimum(shift[flat[:-1]] + flat[1:], len(owner) - 1)
     merges = np.full(len(flat), NONE, np.int64)
     merges[:-1] = np.where(owner[slot] == flat[:-1], rank[slot], NONE)
     merges[ends[1:] - 1] = NONE
-    place = np.arange(len(flat)) - np.repeat(ends[:-1], np.diff(ends))
-    return merges << 40 | (place & ((1 << 23) - 1)) << 17 | flat
+    size = np.diff(ends)
+    word = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(flat)) - ends[word]
+    states = np.full(len(flat) + 2 * len(size), NONE << 40 | len(shift), np.int64)
+    states[np.arange(len(flat)) + 2 * word + 1] = merges << 40 | (place & ((1 << 23) - 1)) << 17 | flat
+    return states, ends + 2 * np.arange(len(ends))
 
 
 def _finder(pattern: str):
@@ -180,12 +184,30 @@ class _Numbers(dict):
         return n
 
 
+def _dictionary(vocab: Vocabulary, words, values: np.ndarray, offsets) -> tuple[dict, np.ndarray, np.ndarray]:
+    """word -> number, ids of all words, where each begins: frequent words, and the vocabulary's own."""
+    own = [(p.decode(), r) for p, r in vocab.ranks.items() if _is_text(p)]
+    at = {w: i for i, (w, _) in enumerate(own)}
+    for i, w in enumerate(words if isinstance(words, list) else words.to_pylist()):
+        at.setdefault(w, len(own) + i)
+    ids = np.concatenate([np.array([r for _, r in own], np.int32), values])
+    return at, ids, np.concatenate([np.arange(len(own)), len(own) + np.asarray(offsets)])
+
+
+def _is_text(piece: bytes) -> bool:
+    try:
+        piece.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def _blocks(vocab: Vocabulary, block_bytes: int, dictionary=None):
     """Documents as word numbers, and the block's distinct words: known ones as ids, others as bytes.
 
     Words that are themselves in the vocabulary, or in the dictionary, need no merges any more.
     """
-    ranks, pattern, layout = vocab.ranks, vocab.pattern, vocab.layout
+    pattern, layout, ranks = vocab.pattern, vocab.layout, vocab.ranks
     base = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
     made: dict = {}
 
@@ -196,40 +218,28 @@ def _blocks(vocab: Vocabulary, block_bytes: int, dictionary=None):
                 flat.extend(map(number.__getitem__, made["find"](d)))
             sizes.append(len(flat))
         at, values, offsets = made["dictionary"]
-        known, raw, ready, place = [], [], [], np.empty(len(number), np.int32)
-        for i, word in enumerate(number):
-            k = at.get(word)
-            if k is not None:
-                ready.append(values[offsets[k] : offsets[k + 1]])
-                known.append(i)
-                continue
-            b = word.encode()
-            rank = ranks.get(b)
-            if rank is not None:
-                ready.append((rank,))
-                known.append(i)
-            else:
-                place[i] = len(raw)
-                raw.append(b)
-        fold = np.ones(len(number), bool)
-        fold[known] = False
-        place[fold] += len(known)
+        entry = np.fromiter(map(at.get, number, itertools.repeat(-1)), np.int64, len(number))
+        known, raw = np.flatnonzero(entry >= 0), [w.encode() for w, k in zip(number, entry.tolist()) if k < 0]
+        place = np.empty(len(number), np.int32)
         place[known] = np.arange(len(known))
+        place[entry < 0] = np.arange(len(known), len(number))
+        begin, size = offsets[entry[known]], offsets[entry[known] + 1] - offsets[entry[known]]
+        ready = np.cumsum(np.concatenate([[0], size]))
+        ready_values = values[np.arange(ready[-1]) + np.repeat(begin - ready[:-1], size)]
         ends = np.cumsum([0, *map(len, raw)])
-        states = packed_bytes(base[np.frombuffer(b"".join(raw), np.uint8)], ends, layout) if raw else np.empty(0, np.int64)
-        ready_values = np.concatenate([np.empty(0, np.int64), *ready]).astype(np.int32)
+        states, ends = packed_bytes(base[np.frombuffer(b"".join(raw), np.uint8)], ends, layout) if raw else (np.empty(0, np.int64), ends)
         columns = [
             pa.array(ids, pa.int64()),
             _nested(place[np.fromiter(flat, np.int64, len(flat))], np.array(sizes)),
-            _nested(ready_values, np.cumsum([0, *map(len, ready)])),
+            _nested(ready_values, ready),
             _nested(states, ends, pa.int64()),
         ]
         return pa.RecordBatch.from_arrays([_outer(c) for c in columns], names=["doc_ids", "docs", "known", "words"])
 
     def run(batches):
         made["find"] = _finder(pattern)
-        words, values, offsets = dictionary.value if dictionary else ((), np.empty(0, np.int32), [0])
-        made["dictionary"] = {w: i for i, w in enumerate(words.to_pylist() if dictionary else ())}, values, offsets
+        if not made.get("dictionary"):
+            made["dictionary"] = _dictionary(vocab, *(dictionary.value if dictionary else ([], np.empty(0, np.int32), [0])))
         for batch in sliced(batches):
             ids, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             start, size = 0, 0

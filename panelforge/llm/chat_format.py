@@ -8,7 +8,7 @@ of one message meet, as the text they make up.
 
 Defined cases: null text is empty and a null role is the empty role; null conv_id is a conversation of
 its own and null message a message; a null seq sorts first; events with equal seq are taken in the order
-of kind (regenerate, message, others), kind, message, role, text; a delta or edit without a message starts
+of kind (regenerate, message, others), kind, role, text, message; a delta or edit without a message starts
 one; a regenerate of an unknown message does nothing; the same message id after a regenerate is a new
 message; empty logs give no rows; other columns are ignored.
 """
@@ -72,7 +72,7 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
 def reconstruct(log: DataFrame) -> DataFrame:
     """Final messages of an event log: (conv_id, message_no from 0, role, text)."""
     rank = F.when(F.col("kind") == "regenerate", 0).when(F.col("kind") == "message", 1).otherwise(2)
-    in_order = Window.partitionBy("conv_id").orderBy("seq", "_rank", "kind", "message", "role", "text")
+    in_order = Window.partitionBy("conv_id").orderBy("seq", "_rank", "kind", "role", "text", "message")
     events = log.select("conv_id", "seq", "message", "kind", "role", "text").withColumn("_rank", rank)
     events = events.withColumn("_pos", F.row_number().over(in_order)).drop("seq", "_rank")
 
