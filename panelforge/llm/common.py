@@ -164,11 +164,15 @@ def link_buckets(
         drawn = F.struct(F.xxhash64("node", F.lit(r)).alias("draw"), F.col("node").alias("hub"), F.col("c").alias("hub_c"))
         heads = placed.groupBy("key").agg(F.min(F.struct("c")).alias("low"), F.max(F.struct("c")).alias("high"), F.min(drawn).alias("head"))
         heads = heads.where("low != high").select("key", "head.hub", "head.hub_c")
+        if r:  # buckets that lie in one component are done
+            members = materialize(placed.join(heads, "key").select("key", "node", "c", "hub", "hub_c"), "open")
+            placed, met_rows, members = members.select("key", "node", "c"), members, members.select("key", "node")
+        else:
+            met_rows = placed.join(heads, "key")
         if r < rounds:
-            met = placed.join(heads, "key").where("c != hub_c").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            met = met_rows.where("c != hub_c").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         else:
-            rest = placed.join(heads, "key", "left_semi")
-            rest = materialize(rest if traits is None else rest.join(traits, "node"), "rest")
+            rest = placed if traits is None else materialize(placed.join(traits, "node"), "rest")
             x, y = rest.alias("x"), rest.alias("y")
             near = F.expr("x.key = y.key and x.c < y.c" + (f" and {may_link('x', 'y')}" if may_link else ""))
             met = x.join(y, near).groupBy(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).agg(F.count(F.lit(1)).alias("keys"))

@@ -38,7 +38,7 @@ THRESHOLD = 80
 #: Buckets of the corpus-wide frequency table (4 bytes each where it is summed, 2 where broadcast).
 FREQUENCY_BITS = 20
 #: Tokens are rare up to a bucket count of the mean, so many of its standard deviations, and RARE_FLOOR.
-RARE_DEVIATIONS, RARE_FLOOR = 2.5, 4
+RARE_DEVIATIONS, RARE_FLOOR = 1.5, 4
 _SLICE = 1 << 14
 #: Longs of a set's parity bitmap.
 _SKETCH = 8
@@ -227,7 +227,7 @@ def components(documents: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
         differ = " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in longs)
         return f"100 * least({x}.n, {y}.n) >= {threshold} * greatest({x}.n, {y}.n) and {100 + threshold} * ({differ}) <= {100 - threshold} * ({x}.n + {y}.n)"
 
-    comps = link_buckets(shared, lambda pairs: verify(pairs, documents, info, k, threshold), least_keys=2, traits=traits, may_link=may_link)
+    comps = link_buckets(shared, lambda pairs: verify(pairs, documents, info, k, threshold), rounds=2, least_keys=2, traits=traits, may_link=may_link)
 
     named = info.join(comps, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("_c"))
     least = named.where("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("_least"))
