@@ -118,3 +118,20 @@ def stress_levels(components: DataFrame, names: list[str]) -> DataFrame:
     level = F.when(F.size(have) < 2, "insufficient").when(high >= 2, "high").when((high == 1) | (medium >= 2), "elevated").when(medium == 1, "watch").otherwise("normal")
     names_high = F.array_join(F.array_compact(F.array(*(F.when(c(n) >= 1, F.lit(n)) for n in names))), ",")
     return components.withColumn("level", level).withColumn("drivers", names_high)
+
+
+def period_breakdown(df: DataFrame, value: str) -> DataFrame:
+    """Rows, mean and win rate of a value by year."""
+    ok = df.where(c(value).isNotNull())
+    return ok.groupBy(F.year("trade_date").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.avg((c(value) > 0).cast("double")).alias("win_rate"))
+
+
+def downshift(df: DataFrame, score: str, ret: str) -> DataFrame:
+    """Daily mean return with full exposure and with exposure cut by score: .75 from q75, .5 from q90.
+
+    The quantiles are one row, joined back as such.
+    """
+    q = df.agg(F.percentile(score, F.array(F.lit(0.75), F.lit(0.9))).alias("_q"))
+    rows = df.where(c(score).isNotNull() & c(ret).isNotNull()).crossJoin(F.broadcast(q))
+    exposure = F.when(c(score) >= c("_q")[1], 0.5).when(c(score) >= c("_q")[0], 0.75).otherwise(1.0)
+    return rows.groupBy("trade_date").agg(F.avg(ret).alias("full"), F.avg(c(ret) * exposure).alias("cut"), F.avg(exposure).alias("exposure"))

@@ -77,3 +77,22 @@ def recent_switches(states: DataFrame, limit: int) -> DataFrame:
 def as_of_members(members: DataFrame, day: Column) -> DataFrame:
     """Members whose validity holds on a day; an open end is null."""
     return members.where((c("valid_from").isNull() | (c("valid_from") <= day)) & (c("valid_to").isNull() | (c("valid_to") > day)))
+
+
+def risk_flags(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
+    """The names of the rules that hold, as an array, as JSON and as a count; a null doesn't hold."""
+    names = F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules)))
+    return df.withColumn("flags", names).withColumn("flags_json", F.to_json("flags")).withColumn("n_flags", F.size("flags").cast("bigint"))
+
+
+def overlay(panel: DataFrame, start: Column) -> DataFrame:
+    """Closes from a date on, as percent of each entity's first close there."""
+    w = in_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = panel.where(c("trade_date") >= start)
+    return rows.select("entity", "trade_date", (100 * ratio(c("close"), F.first("close", ignorenulls=True).over(w))).alias("level"))
+
+
+def source_summary(df: DataFrame, source: str, keys: list[str], top: int = 20) -> DataFrame:
+    """A top-k report: rows per source, with its distinct keys and its repeated rows."""
+    n = df.groupBy(source, *keys).count().groupBy(source).agg(F.sum("count").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"))
+    return n.withColumn("n_repeats", c("n_rows") - c("n_keys")).orderBy(F.desc("n_rows"), source).limit(top)

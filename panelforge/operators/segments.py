@@ -96,3 +96,36 @@ def posterior_confidence(df: DataFrame, probabilities: list[str]) -> DataFrame:
     out = out.withColumn("normalised_entropy", c("entropy") / math.log(len(probabilities)))
     bucket = F.when((c("top") >= 0.7) & (c("margin") >= 0.4), "high").when((c("top") >= 0.5) & (c("margin") >= 0.15), "medium").otherwise("low")
     return out.withColumn("confidence", bucket)
+
+
+def next_state_profile(segments: DataFrame, least: int = 1) -> DataFrame:
+    """Where finished segments of a label lead: the most frequent next label and its share."""
+    n = segments.where("next_label is not null").groupBy("label", "next_label").agg(F.count(F.lit(1)).alias("n"))
+    top = n.groupBy("label").agg(F.sum("n").alias("n"), F.max(F.struct(c("n"), c("next_label"))).alias("_t"))
+    share = ratio(c("_t.n").cast("double"), c("n"))
+    tendency = F.when(c("n") < least, "insufficient").when(share >= 0.45, "strong").when(share >= 0.35, "weak").otherwise("open")
+    return top.select("label", "n", c("_t.next_label").alias("top_label"), share.alias("top_share"), tendency.alias("tendency"))
+
+
+def state_signatures(states: DataFrame, value: str) -> DataFrame:
+    """Per label: share of rows, share of rows after which it ends, and median and mean of a value."""
+    nxt = F.lead("label").over(in_time())
+    rows = states.withColumn("_out", F.when(nxt.isNotNull(), (nxt != c("label")).cast("double")))
+    s = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("_out").alias("exit_share"), F.percentile(value, F.lit(0.5)).alias("median"), F.avg(value).alias("mean"))
+    return s.withColumn("occupancy", c("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def transition_validation(segments: DataFrame, split: float = 0.6) -> DataFrame:
+    """How often the next label of later segments is the most frequent one of earlier segments.
+
+    The cut is a share of the distinct end dates, which are few; the learned table has one row per label.
+    """
+    done = segments.where("next_label is not null")
+    w = Window.orderBy("end_date")
+    days = done.select("end_date").distinct()
+    days = days.select("end_date", (F.row_number().over(w) <= F.count(F.lit(1)).over(Window.partitionBy()) * split).alias("early"))
+    rows = done.join(days, "end_date")
+    counts = rows.where("early").groupBy("label", "next_label").agg(F.count(F.lit(1)).alias("n"))
+    mode = counts.groupBy("label").agg(F.max(F.struct("n", "next_label")).alias("_t")).select("label", c("_t.next_label").alias("predicted"))
+    late = rows.where("not early").join(mode, "label", "left")
+    return late.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(c("predicted") == c("next_label"), F.lit(False)).cast("double")).alias("accuracy"))

@@ -609,10 +609,10 @@ rb AS (SELECT * FROM ds WHERE i % 20 = 0 AND exec_date IS NOT NULL),
 rk AS (SELECT rb.exec_date, entity, row_number() OVER (PARTITION BY rb.exec_date ORDER BY rs_20d DESC, entity) AS k FROM feats JOIN rb ON feats.trade_date = rb.trade_date WHERE rs_20d IS NOT NULL),
 ev AS (SELECT exec_date, entity, 1.0 / count(*) OVER (PARTITION BY exec_date) AS weight FROM rk WHERE k <= 5),
 od AS (SELECT exec_date, row_number() OVER (ORDER BY exec_date) AS j, lead(exec_date) OVER (ORDER BY exec_date) AS next_date FROM (SELECT DISTINCT exec_date FROM ev)),
-ch AS (SELECT exec_date, sum(d) AS turnover FROM (
-  SELECT o.exec_date, abs(sum(CASE WHEN e.exec_date = o.exec_date THEN weight ELSE -weight END)) AS d FROM od o JOIN (SELECT ev.*, j FROM ev JOIN od ON ev.exec_date = od.exec_date) e ON e.j = o.j OR e.j = o.j - 1 GROUP BY o.exec_date, e.entity) GROUP BY 1),
+wc AS (SELECT j, entity, weight AS w FROM ev JOIN od ON ev.exec_date = od.exec_date UNION ALL SELECT j + 1, entity, -weight FROM ev JOIN od ON ev.exec_date = od.exec_date),
+ch AS (SELECT od.exec_date, t.turnover FROM (SELECT j, sum(d) AS turnover FROM (SELECT j, entity, abs(sum(w)) AS d FROM wc GROUP BY 1, 2) GROUP BY 1) t JOIN od ON od.j = t.j),
 rr AS (SELECT entity, trade_date, coalesce(r, 0.0) AS r FROM rets),
-dy AS (SELECT trade_date, max(exec_date) AS exec_date FROM (SELECT DISTINCT trade_date FROM feats) LEFT JOIN od ON od.exec_date < trade_date GROUP BY 1),
+dy AS (SELECT d.trade_date, max(od.exec_date) OVER (ORDER BY d.trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS exec_date FROM (SELECT DISTINCT trade_date FROM feats) d LEFT JOIN od ON od.exec_date = d.trade_date),
 gr AS (SELECT dy.trade_date, sum(weight * r) AS gross FROM dy JOIN ev ON ev.exec_date = dy.exec_date JOIN rr ON rr.entity = ev.entity AND rr.trade_date = dy.trade_date GROUP BY 1),
 cu AS (SELECT d.trade_date, coalesce(gross, 0.0) AS gross, coalesce(turnover, 0.0) AS turnover, coalesce(gross, 0.0) - coalesce(turnover, 0.0) * 0.001 AS net
   FROM (SELECT DISTINCT trade_date FROM feats) d LEFT JOIN gr ON d.trade_date = gr.trade_date LEFT JOIN ch ON d.trade_date = ch.exec_date WHERE d.trade_date >= (SELECT min(exec_date) FROM od))"""
@@ -635,7 +635,7 @@ def portfolio_curve(spark, sf_dir):
     return rounded(backtest.simulate(p, events, 0.001))
 
 
-@query(BACKTEST_SQL + " UNION ALL ".join(["", *(f"SELECT CAST({k} AS DOUBLE) AS cost, round(avg(gross - turnover * {k}), 8) + 0.0 AS mean_net, round(sum(turnover), 6) AS turnover FROM cu" for k in (0.0, 0.001, 0.003))])[10:])
+@query(BACKTEST_SQL + ", t AS (SELECT avg(gross) AS g, avg(turnover) AS v, sum(turnover) AS s FROM cu) SELECT CAST(k AS DOUBLE) / 1000 AS cost, round(g - v * k / 1000, 8) + 0.0 AS mean_net, round(s, 6) AS turnover FROM (SELECT unnest([0, 1, 3]) AS k, g, v, s FROM t)")
 def cost_sensitivity(spark, sf_dir):
     p, events = _rebalanced(spark, sf_dir)
     grid = backtest.cost_grid(backtest.simulate(p, events, 0.0), [0.0, 0.001, 0.003])
@@ -689,6 +689,62 @@ def event_sessions(spark, sf_dir):
     return rounded(s.select("user_id", c("s.start").alias("start"), c("s.end").alias("end"), "n_events", "value"), 4)
 
 
+@query(q.base(upto="feats") + """ SELECT entity, trade_date, concat_ws(',', CASE WHEN drawdown <= -0.3 THEN 'drawdown' END, CASE WHEN vol_20d >= 1.5 THEN 'volatile' END, CASE WHEN amount_z < -1 THEN 'thin' END) AS flags,
+  CAST((CASE WHEN drawdown <= -0.3 THEN 1 ELSE 0 END) + (CASE WHEN vol_20d >= 1.5 THEN 1 ELSE 0 END) + (CASE WHEN amount_z < -1 THEN 1 ELSE 0 END) AS BIGINT) AS n_flags FROM feats""")
+def risk_flags(spark, sf_dir):
+    rules = [("drawdown", c("drawdown") <= -0.3), ("volatile", c("vol_20d") >= 1.5), ("thin", c("amount_z") < -1)]
+    return ranking.risk_flags(_features(spark, sf_dir), rules).select("entity", "trade_date", F.array_join("flags", ",").alias("flags"), "n_flags")
+
+
+@query(q.base() + " SELECT entity, trade_date, round(100 * close / first_value(close) OVER (PARTITION BY entity ORDER BY trade_date), 6) AS level FROM bars WHERE trade_date >= DATE '2000-01-01'")
+def overlay_normalised(spark, sf_dir):
+    return rounded(ranking.overlay(panel(spark, sf_dir), F.lit("2000-01-01").cast("date")))
+
+
+@query("""SELECT o_orderpriority AS source, sum(k)::BIGINT AS n_rows, count(*) AS n_keys, (sum(k) - count(*))::BIGINT AS n_repeats FROM (SELECT o_orderpriority, o_custkey, count(*) AS k FROM orders GROUP BY 1, 2) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
+def source_summary(spark, sf_dir):
+    return ranking.source_summary(table(spark, sf_dir, "orders").select(c("o_orderpriority").alias("source"), "o_custkey"), "source", ["o_custkey"])
+
+
+@query("""WITH m AS (SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN DATE '1998-01-01' + CAST(c_custkey % 900 AS INTEGER) END AS a, CASE WHEN c_custkey % 3 > 0 THEN DATE '1999-01-01' + CAST(c_custkey % 700 AS INTEGER) END AS b FROM customer)
+SELECT c_custkey FROM m WHERE (a IS NULL OR a <= DATE '1999-06-30') AND (b IS NULL OR b > DATE '1999-06-30')""")
+def as_of_membership(spark, sf_dir):
+    k = c("c_custkey")
+    day = lambda d, n: F.date_add(F.lit(d).cast("date"), n.cast("int"))
+    m = table(spark, sf_dir, "customer").select(k, F.when(k % 4 > 0, day("1998-01-01", k % 900)).alias("valid_from"), F.when(k % 3 > 0, day("1999-01-01", k % 700)).alias("valid_to"))
+    return ranking.as_of_members(m, F.lit("1999-06-30").cast("date")).select("c_custkey")
+
+
+@query(q.base(upto="segs") + """, n AS (SELECT label, next_label, count(*) AS n FROM segs WHERE next_label IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, next_label DESC) AS k, sum(n) OVER (PARTITION BY label) AS t FROM n)
+SELECT label, CAST(t AS BIGINT) AS n, next_label AS top_label, round(n * 1.0 / t, 6) AS top_share, CASE WHEN t < 100 THEN 'insufficient' WHEN n * 1.0 / t >= 0.45 THEN 'strong' WHEN n * 1.0 / t >= 0.35 THEN 'weak' ELSE 'open' END AS tendency FROM r WHERE k = 1""")
+def next_state_profile(spark, sf_dir):
+    return rounded(segments.next_state_profile(_segments(spark, sf_dir), 100))
+
+
+@query(q.base(upto="states") + """, x AS (SELECT *, lead(label) OVER (PARTITION BY entity ORDER BY trade_date) AS nx FROM states)
+SELECT label, count(*) AS n, round(avg(CASE WHEN nx IS NOT NULL THEN CASE WHEN nx != label THEN 1.0 ELSE 0.0 END END), 6) AS exit_share, round(quantile_cont(ret_20d, 0.5), 6) + 0.0 AS median, round(avg(ret_20d), 6) + 0.0 AS mean, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS occupancy FROM x GROUP BY 1""")
+def state_signatures(spark, sf_dir):
+    return rounded(segments.state_signatures(_states(spark, sf_dir), "ret_20d"))
+
+
+@query(q.base(upto="segs") + """, d AS (SELECT * FROM segs WHERE next_label IS NOT NULL), y AS (SELECT end_date, row_number() OVER (ORDER BY end_date) <= count(*) OVER () * 0.6 AS early FROM (SELECT DISTINCT end_date FROM d)),
+r AS (SELECT d.*, early FROM d JOIN y ON d.end_date = y.end_date), m AS (SELECT label, next_label AS p, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, next_label DESC) AS k FROM r WHERE early GROUP BY 1, 2)
+SELECT r.label, count(*) AS n, round(avg(CASE WHEN p = next_label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM r LEFT JOIN (SELECT * FROM m WHERE k = 1) m ON r.label = m.label WHERE NOT early GROUP BY 1""")
+def transition_validation(spark, sf_dir):
+    return rounded(segments.transition_validation(_segments(spark, sf_dir)))
+
+
+@query(SIGNAL_SQL + " SELECT CAST(year(trade_date) AS BIGINT) AS year, count(*) AS n, round(avg(fwd_5), 6) + 0.0 AS mean, round(avg(CASE WHEN fwd_5 > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM sig WHERE fwd_5 IS NOT NULL GROUP BY 1")
+def period_breakdown(spark, sf_dir):
+    return rounded(evaluation.period_breakdown(_signal(spark, sf_dir), "fwd_5"))
+
+
+@query(SIGNAL_SQL + """, k AS (SELECT quantile_cont(vol_20d, 0.75) AS a, quantile_cont(vol_20d, 0.9) AS b FROM sig), e AS (SELECT trade_date, fwd_5, CASE WHEN vol_20d >= b THEN 0.5 WHEN vol_20d >= a THEN 0.75 ELSE 1.0 END AS x FROM sig, k WHERE vol_20d IS NOT NULL AND fwd_5 IS NOT NULL)
+SELECT trade_date, round(avg(fwd_5), 6) + 0.0 AS "full", round(avg(fwd_5 * x), 6) + 0.0 AS cut, round(avg(x), 6) AS exposure FROM e GROUP BY 1""")
+def downshift_exposure(spark, sf_dir):
+    return rounded(evaluation.downshift(_signal(spark, sf_dir), "vol_20d", "fwd_5"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars, benchmark, features, latest rows, score and tag: the dashboard of the panel."""
     last = ranking.latest(_features(spark, sf_dir).where("ret_20d is not null"))
