@@ -3,7 +3,7 @@
 Lines that are equal are one node from the start. A line's signature holds the smallest hashes of its
 character shingles that begin at words (all of its shingles, for lines of few words); two lines that share
 two of these meet in a bucket: every pair of the BOTTOM smallest hashes is a band, which finds lines of the
-threshold's similarity with a probability above 0.99. Candidates are verified by the exact Jaccard
+threshold's similarity with a probability of about 0.98 at the threshold and more above it. Candidates are verified by the exact Jaccard
 similarity of all their character shingles, verified links are joined by distributed union-find, and of
 each component the first line (by document and line number) stays.
 
@@ -63,7 +63,8 @@ def bands(line: Column) -> Column:
             F.when(F.size(anchored) <= DENSE_TO, _pair_keys(dense, 2)).otherwise(none),
         )
 
-    anchored = F.regexp_extract_all(line, F.lit(f"(?s)(?<!\\S)(?=(\\S.{{{ANCHORED - 1}}}))"), F.lit(1))
+    # the look-ahead takes the shingle, the rest of the match steps over the word to the next one
+    anchored = F.regexp_extract_all(line, F.lit(f"(?s)(?=(\\S.{{{ANCHORED - 1}}}))\\S+\\s*"), F.lit(1))
     return F.get(F.transform(F.array(anchored), both), F.lit(0))
 
 
@@ -77,13 +78,14 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, th, dropped array<int>): the numbers of the lines of each document that don't stay."""
     lines = _lines(documents).withColumn("node", F.xxhash64("line"))
     place = F.struct("doc_id", "th", "line_no")
-    nodes = lines.select("node", place.alias("place"), bands(F.col("line")).alias("bands"))
-    nodes = materialize(nodes.groupBy("node").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "lines")
+    nodes = lines.select("node", place.alias("place")).groupBy("node").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
+    nodes = materialize(nodes, "lines")
 
-    keyed = nodes.select(F.explode("bands").alias("key"), "node").repartition("key")
+    # equal lines have equal keys: they are made distinct, with map-side combine, before keys meet
+    keyed = lines.select(F.explode(bands(F.col("line"))).alias("key"), "node").distinct().repartition("key")
     several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    shared = materialize(keyed.join(several, "key", "left_semi").distinct(), "shared")
-    comps = link_buckets(shared, lambda pairs: verify(pairs, lines, nodes))
+    shared = materialize(keyed.join(several, "key", "left_semi"), "shared")
+    comps = link_buckets(shared, lambda pairs: verify(pairs, lines, nodes), rounds=2)
 
     # of each component the node with the first place stays, and of that node the first line
     named = nodes.select("node", "place", "n").join(comps, "node", "left")
