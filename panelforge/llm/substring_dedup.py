@@ -20,10 +20,7 @@ ties cannot arise, since a word goes only for a smaller doc_id; other columns ar
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,7 +121,8 @@ def patterns(text: str) -> set[str]:
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", train_rows=None, max_rows: int = MAX_TRAIN_ROWS) -> Lexicon:
     """Learn entries, weights and calibration from at most max_rows labelled rows."""
-    sample = labelled_sample(documents, labels, label, max_rows, train_rows).select("doc_id", "text", "label").dropDuplicates(["text"])
+    sample = labelled_sample(documents, labels, label, max_rows, train_rows)
+    sample = sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")).select("doc_id", "text", "label")  # copies count once
     counts = arrow_map(sample, _pattern_counts, "pattern string, hit bigint, n bigint").groupBy("pattern").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
     size = counts.where("pattern = ''").first()
     if not size or not 0 < size.hit < size.n:
@@ -240,8 +242,6 @@ def score(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def reject(documents: DataFrame, lexicon: Lexicon, reject_at: float = REJECT_AT) -> DataFrame:
     """Documents, with all their columns, that score under reject_at."""
-    import pyarrow as pa
-
     get, at = _held(documents, lexicon), documents.columns.index("text")
 
     def run(batches):
