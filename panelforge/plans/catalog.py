@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import scalars
 from panelforge.operators import backtest, etl, evaluation, features, models, quality, ranking, segments, targets
-from panelforge.panel import pct
 from panelforge.plans import sql as q
 from panelforge.plans.tables import members, panel, rounded, states, table
 from panelforge.sources import store
