@@ -3,9 +3,9 @@
 Lines that are equal are one node from the start. A line's signature holds the smallest hashes of its
 character shingles that begin at words (all of its shingles, for lines of few words); two lines that share
 two of these meet in a bucket: every pair of the BOTTOM smallest hashes is a band, which finds lines of the
-threshold's similarity with a probability of about 0.98 at the threshold and more above it. Candidates are verified by the exact Jaccard
-similarity of all their character shingles, verified links are joined by distributed union-find, and of
-each component the first line (by document and line number) stays.
+threshold's similarity with a probability of about 0.98 at the threshold and more above it. Candidates
+are verified by the exact Jaccard similarity of all their character shingles, verified links are joined
+by distributed union-find, and of each component the first line (by document and line number) stays.
 
 A bucket is compared with one of its lines at a time; only lines of one bucket that stay in different
 components are compared with each other. Texts are shuffled once, with their dropped lines.
@@ -17,7 +17,7 @@ the id; a null doc_id sorts before all others; other columns are carried along u
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap_rows, in_bitmap, link_buckets, materialize, maybe_in
@@ -29,6 +29,8 @@ ANCHORED, DENSE = 24, 12
 BOTTOM = 6
 #: Lines of at most DENSE_TO words use all positions, lines of at least ANCHORED_FROM their words' beginnings.
 ANCHORED_FROM, DENSE_TO = 8, 12
+#: A line is frequent if more than one in HOT_LINES lines equals it, so there are fewer than HOT_LINES frequent lines.
+HOT_LINES = 4096
 
 
 def line_shingles(line: Column) -> Column:
@@ -81,10 +83,13 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     nodes = lines.select("node", place.alias("place")).groupBy("node").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
     nodes = materialize(nodes, "lines")
 
-    # equal lines have equal keys: they are made distinct, with map-side combine, before keys meet
-    keyed = lines.select(F.explode(bands(F.col("line"))).alias("key"), "node").distinct().repartition("key")
-    several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    shared = materialize(keyed.join(several, "key", "left_semi"), "shared")
+    # equal lines have equal keys: of the most frequent lines only the first gives keys
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    hot = nodes.where(F.col("n") * HOT_LINES > total).select("node", F.col("place").alias("first"))
+    once = lines.join(F.broadcast(hot), "node", "left").where(F.col("first").isNull() | F.col("first").eqNullSafe(place))
+    keyed, bucket = once.select(F.explode(bands(F.col("line"))).alias("key"), "node"), Window.partitionBy("key")
+    met = keyed.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)}).where("low < high")
+    shared = materialize(met.select("key", "node").distinct(), "shared")
     comps = link_buckets(shared, lambda pairs: verify(pairs, lines, nodes), rounds=2)
 
     # of each component the node with the first place stays, and of that node the first line
