@@ -31,6 +31,8 @@ BOTTOM = 6
 ANCHORED_FROM, DENSE_TO = 8, 12
 #: A line is frequent if more than one in HOT_LINES lines equals it, so there are fewer than HOT_LINES frequent lines.
 HOT_LINES = 4096
+#: Longs of a line's parity bitmap.
+SKETCH = 4
 
 
 def line_shingles(line: Column) -> Column:
@@ -39,6 +41,23 @@ def line_shingles(line: Column) -> Column:
     return F.when(F.length(line) >= SHINGLE, F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))).otherwise(F.array(F.xxhash64(line)))
 
 
+def _let(value: Column, body) -> Column:
+    """body(x) with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sketch_of(shingles: Column) -> Column:
+    """Parity bitmap of a set in SKETCH longs: two bitmaps differ in at most as many bits as the sets differ in shingles."""
+    longs = [f"s{i}" for i in range(SKETCH)]
+
+    def add(state, x):
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(63).cast("int"))
+        at = F.pmod(F.shiftright(x, 6), F.lit(SKETCH))
+        return F.struct(*(F.when(at == i, state[s].bitwiseXOR(bit)).otherwise(state[s]).alias(s) for i, s in enumerate(longs)))
+
+    return F.aggregate(shingles, F.struct(*(F.lit(0).cast("bigint").alias(s) for s in longs)), add)
+
+
 def _smallest(found: Column) -> Column:
     return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))), 1, BOTTOM)
 
@@ -50,14 +69,14 @@ def _pair_keys(found: Column, tag: int) -> Column:
         pairs = F.flatten(F.transform(h, lambda x, i: F.transform(F.slice(h, i + 2, F.size(h)), lambda y: F.xxhash64(F.lit(tag), x, y))))
         return F.when(F.size(h) == 1, F.array(F.xxhash64(F.lit(tag), h[0]))).otherwise(pairs)
 
-    return F.get(F.transform(F.array(_smallest(found)), keys), F.lit(0))
+    return _let(_smallest(found), keys)
 
 
 def bands(line: Column) -> Column:
     """Bucket keys of a line: hashes of pairs among its smallest shingle hashes."""
     none = F.array().cast("array<bigint>")
     dense = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{DENSE}}}))"), F.lit(1))
-    dense = F.when(F.size(dense) > 0, dense).otherwise(F.array(line))
+    dense = _let(dense, lambda d: F.when(F.size(d) > 0, d).otherwise(F.array(line)))
 
     def both(anchored):
         return F.concat(
@@ -67,7 +86,7 @@ def bands(line: Column) -> Column:
 
     # the look-ahead takes the shingle, the rest of the match steps over the word to the next one
     anchored = F.regexp_extract_all(line, F.lit(f"(?s)(?=(\\S.{{{ANCHORED - 1}}}))\\S+\\s*"), F.lit(1))
-    return F.get(F.transform(F.array(anchored), both), F.lit(0))
+    return _let(anchored, both)
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -106,13 +125,17 @@ def verify(pairs: DataFrame, lines: DataFrame, nodes: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "place"), "node")
     held = maybe_in(lines, "node", wanted).withColumn("here", F.struct("doc_id", "th", "line_no")).drop("doc_id", "th", "line_no")
     own = held.join(wanted, "node").where(F.col("here").eqNullSafe(F.col("place")))
-    texts = materialize(own.select("node", "line", F.size(line_shingles(F.col("line"))).alias("n")), "texts")
-    sizes = texts.select("node", "n")
-    p = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    p = p.where(f"100 * least(na, nb) >= {THRESHOLD} * greatest(na, nb)")
+    traits = _let(line_shingles(F.col("line")), lambda sh: F.struct(F.size(sh).alias("n"), sketch_of(sh).alias("sketch")))
+    texts = materialize(own.select("node", "line", traits.alias("t")).select("node", "line", "t.n", "t.sketch"), "texts")
+
+    # sizes and parity bitmaps rule most pairs out before any text is shuffled
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    differ = sum(F.bit_count(F.col(f"sa.s{i}").bitwiseXOR(F.col(f"sb.s{i}"))) for i in range(SKETCH))
+    p = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {THRESHOLD} * greatest(na, nb)")
+    p = p.where((100 + THRESHOLD) * differ <= (100 - THRESHOLD) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
     got = p.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
     common = F.size(F.array_intersect(line_shingles(F.col("la")), line_shingles(F.col("lb"))))
-    return got.withColumn("c", common).where(f"100 * c >= {THRESHOLD} * (na + nb - c)").select("a", "b")
+    return got.where(_let(common, lambda c: 100 * c >= THRESHOLD * (F.col("na") + F.col("nb") - c))).select("a", "b")
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
