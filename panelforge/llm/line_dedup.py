@@ -1,9 +1,9 @@
 """Fuzzy line deduplication by MinHash, with DataFrame and SQL functions only.
 
-Lines that are equal are one node from the start. A line's signature holds the smallest hashes of its
-character shingles that begin at words (all of its shingles, for lines of few words); two lines that share
-two of these meet in a bucket: every pair of the BOTTOM smallest hashes is a band, which finds lines of the
-threshold's similarity with a probability of about 0.98 at the threshold and more above it. Candidates
+Lines that are equal are one node from the start. A line's signature holds the BOTTOM smallest hashes of
+its character shingles, wherever words begin; two lines that share two of these meet in a bucket: every
+pair of the smallest hashes is a band, which finds lines of the threshold's similarity with a probability
+of about 0.98 at the threshold and more above it. Lines of few shingles are found with certainty. Candidates
 are verified by the exact Jaccard similarity of all their character shingles, verified links are joined
 by distributed union-find, and of each component the first line (by document and line number) stays.
 
@@ -24,11 +24,12 @@ from .common import bitmap_rows, in_bitmap, link_buckets, materialize, maybe_in
 
 SHINGLE = 5
 THRESHOLD = 80
-#: Characters of a signature shingle (at words, at all positions), and how many of the smallest hashes make the bands.
-ANCHORED, DENSE = 24, 12
+#: Characters of a signature shingle, and how many of the smallest hashes make the bands.
+DENSE = 10
 BOTTOM = 6
-#: Lines of at most DENSE_TO words use all positions, lines of at least ANCHORED_FROM their words' beginnings.
-ANCHORED_FROM, DENSE_TO = 8, 12
+#: Lines of at most SHORT_TO distinct shingles have bands of these, lines of at least DENSE_FROM characters have bands
+#: of signature shingles. Lines under DENSE_FROM have under 12 shingles; whatever may link to one has under 14.
+SHORT_TO, DENSE_FROM = 15, 11 + SHINGLE
 #: A line is frequent if more than one in HOT_LINES lines equals it, so there are fewer than HOT_LINES frequent lines.
 HOT_LINES = 4096
 #: Longs of a line's parity bitmap.
@@ -58,35 +59,37 @@ def sketch_of(shingles: Column) -> Column:
     return F.aggregate(shingles, F.struct(*(F.lit(0).cast("bigint").alias(s) for s in longs)), add)
 
 
-def _smallest(found: Column) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))), 1, BOTTOM)
+def _smallest(hashes: Column) -> Column:
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, BOTTOM)
 
 
-def _pair_keys(found: Column, tag: int) -> Column:
-    """One key for every pair of the smallest hashes (a single hash makes one key)."""
+def _pair_keys(h: Column) -> Column:
+    """One key for every two of the smallest hashes."""
+    return F.flatten(F.transform(h, lambda x, i: F.transform(F.slice(h, i + 2, F.size(h)), lambda y: F.xxhash64(F.lit(2), x, y))))
 
-    def keys(h):
-        pairs = F.flatten(F.transform(h, lambda x, i: F.transform(F.slice(h, i + 2, F.size(h)), lambda y: F.xxhash64(F.lit(tag), x, y))))
-        return F.when(F.size(h) == 1, F.array(F.xxhash64(F.lit(tag), h[0]))).otherwise(pairs)
 
-    return _let(_smallest(found), keys)
+def _triple_keys(h: Column) -> Column:
+    """One key for every three of the smallest hashes (up to three hashes make one key)."""
 
+    def with_two(x, y, rest):
+        return F.transform(rest, lambda z: F.xxhash64(F.lit(3), x, y, z))
+
+    triples = F.flatten(F.transform(h, lambda x, i: F.flatten(F.transform(F.slice(h, i + 2, F.size(h)), lambda y, j: with_two(x, y, F.slice(h, i + j + 3, F.size(h)))))))
+    return F.when(F.size(h) <= 3, F.array(F.xxhash64(F.lit(1), h))).otherwise(triples)
 
-def bands(line: Column) -> Column:
-    """Bucket keys of a line: hashes of pairs among its smallest shingle hashes."""
-    none = F.array().cast("array<bigint>")
-    dense = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{DENSE}}}))"), F.lit(1))
-    dense = _let(dense, lambda d: F.when(F.size(d) > 0, d).otherwise(F.array(line)))
 
-    def both(anchored):
-        return F.concat(
-            F.when(F.size(anchored) >= ANCHORED_FROM, _pair_keys(anchored, 1)).otherwise(none),
-            F.when(F.size(anchored) <= DENSE_TO, _pair_keys(dense, 2)).otherwise(none),
-        )
+def bands(line: Column) -> Column:
+    """Bucket keys of a line: hashes of pairs among its smallest shingle hashes, of triples for lines of few shingles.
 
-    # the look-ahead takes the shingle, the rest of the match steps over the word to the next one
-    anchored = F.regexp_extract_all(line, F.lit(f"(?s)(?=(\\S.{{{ANCHORED - 1}}}))\\S+\\s*"), F.lit(1))
-    return _let(anchored, both)
+    Lines of at most SHORT_TO shingles that reach the threshold differ in three at most, so they share a triple.
+    """
+    none = F.array().cast("array<bigint>")
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{DENSE}}}))"), F.lit(1))
+    dense = _let(_smallest(F.transform(found, lambda x: F.xxhash64(x))), _pair_keys)
+    short = _let(line_shingles(line), lambda sh: F.when(F.size(sh) <= SHORT_TO, _let(_smallest(sh), _triple_keys)).otherwise(none))
+    # a longer line of few shingles repeats one within its first SHORT_TO + 1
+    few = F.size(line_shingles(F.substring(line, 1, SHORT_TO + SHINGLE))) <= SHORT_TO
+    return F.concat(F.when(few, short).otherwise(none), F.when(F.length(line) >= DENSE_FROM, dense).otherwise(none))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -109,7 +112,8 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     keyed, bucket = once.select(F.explode(bands(F.col("line"))).alias("key"), "node"), Window.partitionBy("key")
     met = keyed.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)}).where("low < high")
     shared = materialize(met.select("key", "node").distinct(), "shared")
-    comps = link_buckets(shared, lambda pairs: verify(pairs, lines, nodes), rounds=2)
+    texts = traits(shared, lines, nodes)
+    comps = link_buckets(shared, lambda pairs: verify(pairs, texts), rounds=2, traits=texts.drop("line"), may_link=may_link)
 
     # of each component the node with the first place stays, and of that node the first line
     named = nodes.select("node", "place", "n").join(comps, "node", "left")
@@ -120,19 +124,26 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     return hit.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("dropped"))
 
 
-def verify(pairs: DataFrame, lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b) of the pairs of lines whose shingle sets reach the threshold, exactly."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "place"), "node")
+def traits(shared: DataFrame, lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, line, n, s0, s1, ...) of the nodes in buckets: the line, its number of shingles and its parity bitmap."""
+    wanted = shared.select("node").distinct().join(nodes.select("node", "place"), "node")
     held = maybe_in(lines, "node", wanted).withColumn("here", F.struct("doc_id", "th", "line_no")).drop("doc_id", "th", "line_no")
     own = held.join(wanted, "node").where(F.col("here").eqNullSafe(F.col("place")))
-    traits = _let(line_shingles(F.col("line")), lambda sh: F.struct(F.size(sh).alias("n"), sketch_of(sh).alias("sketch")))
-    texts = materialize(own.select("node", "line", traits.alias("t")).select("node", "line", "t.n", "t.sketch"), "texts")
+    found = _let(line_shingles(F.col("line")), lambda sh: F.struct(F.size(sh).alias("n"), sketch_of(sh).alias("sketch")))
+    return materialize(own.select("node", "line", found.alias("t")).select("node", "line", "t.n", "t.sketch.*"), "texts")
+
+
+def may_link(x: str, y: str) -> str:
+    """What holds of the traits of all pairs that reach the threshold."""
+    differ = " + ".join(f"bit_count({x}.s{i} ^ {y}.s{i})" for i in range(SKETCH))
+    return f"100 * least({x}.n, {y}.n) >= {THRESHOLD} * greatest({x}.n, {y}.n) and {100 + THRESHOLD} * ({differ}) <= {100 - THRESHOLD} * ({x}.n + {y}.n)"
 
+
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) of the pairs of lines whose shingle sets reach the threshold, exactly."""
     # sizes and parity bitmaps rule most pairs out before any text is shuffled
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    differ = sum(F.bit_count(F.col(f"sa.s{i}").bitwiseXOR(F.col(f"sb.s{i}"))) for i in range(SKETCH))
-    p = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {THRESHOLD} * greatest(na, nb)")
-    p = p.where((100 + THRESHOLD) * differ <= (100 - THRESHOLD) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+    x, y = texts.drop("line").alias("x"), texts.drop("line").alias("y")
+    p = pairs.join(x, F.expr("a = x.node")).join(y, F.expr("b = y.node")).where(may_link("x", "y")).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
     got = p.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
     common = F.size(F.array_intersect(line_shingles(F.col("la")), line_shingles(F.col("lb"))))
     return got.where(_let(common, lambda c: 100 * c >= THRESHOLD * (F.col("na") + F.col("nb") - c))).select("a", "b")

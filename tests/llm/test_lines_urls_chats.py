@@ -21,6 +21,19 @@ def test_line_dedup(docs, prose):
     assert line_dedup.deduplicate(docs([])).count() == 0
 
 
+def test_line_keys_have_one_family(docs):
+    """Lines that link share keys however many words they have: lists with ',' and ', ', blanks in long words, short lines."""
+    import random
+
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    items, long, short = [word(60) for _ in range(30)], [word(290) for _ in range(7)], word(13)
+    blanks = " ".join(w[:145] + " " + w[145:] for w in long)
+    pairs = [(",".join(items), ", ".join(items)), (" ".join(long), blanks), (short, short[:-1]), (short[:9], short[:8]), ("-" * 7, "-" * 40)]
+    out = line_dedup.deduplicate(docs([(2 * i + k, line) for i, p in enumerate(pairs) for k, line in enumerate(p)]))
+    assert {r.doc_id: r.text for r in out.collect()} == {2 * i + k: "" if k else p[0] for i, p in enumerate(pairs) for k in (0, 1)}
+
+
 def test_plan_is_native(docs, prose):
     plan = line_dedup.deduplicate(docs([(1, prose(1, 20))]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
