@@ -11,8 +11,9 @@ A bucket is compared with one of its lines at a time; only lines of one bucket t
 components are compared with each other. Texts are shuffled once, with their dropped lines.
 
 Defined cases: null texts have no lines and stay null; lines without a word are never dropped; lines
-shorter than a shingle are one shingle; repeated rows of one doc_id are told apart by a row number within
-the id; a null doc_id sorts before all others; other columns are carried along untouched.
+shorter than a shingle are one shingle; rows of one doc_id are told apart by the hash of their text, so rows
+that repeat both count as one row and are kept alike (each keeps the line that stays); a null doc_id sorts
+before all others; other columns are carried along untouched.
 """
 
 from __future__ import annotations
