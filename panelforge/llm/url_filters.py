@@ -2,12 +2,12 @@
 
 A list's history is a table of events (list_name, rule, action, at): ``add`` puts a rule on the list,
 ``remove`` takes it off. Rules are domains and match a host that equals them or lies under them. Events
-become half-open intervals [valid_from, valid_to); each distinct host gets its timeline of intervals, and
-captures (id, url, fetched_at) are evaluated against what was active when they were fetched.
+become half-open intervals [valid_from, valid_to), and captures (id, url, fetched_at) are evaluated against
+what was active when they were fetched.
 
-Hosts are made distinct before they are matched, so a host with very many captures is matched once; the
-join back to the captures has one row per host on its other side and can be split over tasks (skew join)
-or broadcast when that side is measured as small.
+Hosts are made distinct before they are matched, so a host with very many captures is matched once. Intervals
+and the distinct (host, fetched_at) meet by host and time slice, so no row or group holds a host's history; the
+join back to the captures has one row per host and time on its other side, with what was active then.
 
 Defined cases: a null or host-less url, or a null fetched_at, has no active entries; events with a null
 part are ignored; of events at one time, removals come before additions; repeated events change nothing;
@@ -20,6 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Days of a slice of time in which intervals and captures of a host meet.
+SLICE_DAYS = 32
+
+
+def _slice_of(time: Column) -> Column:
+    return F.floor(F.unix_date(time.cast("date")) / SLICE_DAYS)
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host of a url without user, port and closing dots; null if there is none."""
     host = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
@@ -44,12 +52,17 @@ def evaluate(captures: DataFrame, events: DataFrame) -> DataFrame:
     Adds _host, _active (sorted array of list_name and rule) to the columns of captures.
     """
     seen = captures.withColumn("_host", host_of(F.col("url")))
-    hosts = seen.select("_host").where("_host is not null").distinct()
+    moments = seen.select("_host", "fetched_at").where("_host is not null and fetched_at is not null").distinct()
+    hosts = moments.groupBy("_host").agg(F.min("fetched_at").alias("since"), F.max("fetched_at").alias("until"))
     labels = F.split("_host", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    matched = hosts.select("_host", F.explode(ends).alias("rule")).join(intervals(events), "rule")
-    timeline = matched.groupBy("_host").agg(F.array_sort(F.collect_set(F.struct("list_name", "rule", "valid_from", "valid_to"))).alias("_timeline"))
-    active = F.filter("_timeline", lambda t: (t["valid_from"] <= F.col("fetched_at")) & (t["valid_to"].isNull() | (F.col("fetched_at") < t["valid_to"])))
-    entries = F.transform(active, lambda t: F.struct(t["list_name"].alias("list_name"), t["rule"].alias("rule")))
+    matched = hosts.select("*", F.explode(ends).alias("rule")).join(intervals(events), "rule")
+    matched = matched.where("valid_from <= until and (valid_to is null or since < valid_to)")
+    slices = F.sequence(_slice_of(F.greatest("valid_from", "since")), _slice_of(F.least("valid_to", "until")))
+    pieces = matched.select("_host", F.explode(slices).alias("slice"), "list_name", "rule", "valid_from", "valid_to")
+    found = moments.withColumn("slice", _slice_of(F.col("fetched_at"))).join(pieces, ["_host", "slice"])
+    found = found.where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)")
+    active = found.groupBy("_host", "fetched_at").agg(F.array_sort(F.collect_set(F.struct("list_name", "rule"))).alias("_active"))
     none = F.array().cast("array<struct<list_name:string,rule:string>>")
-    return seen.join(timeline, "_host", "left").withColumn("_active", F.coalesce(F.array_distinct(entries), none)).drop("_timeline")
+    joined = seen.join(active, ["_host", "fetched_at"], "left")
+    return joined.select("_host", *captures.columns, F.coalesce("_active", none).alias("_active"))

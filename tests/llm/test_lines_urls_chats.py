@@ -96,6 +96,20 @@ def test_url_filters(spark):
     assert url_filters.evaluate(caps, events.limit(0)).count() == len(rows) and url_filters.evaluate(caps.limit(0), events).count() == 0
 
 
+def test_url_history_is_not_gathered(spark):
+    """A rule that is added and removed very often: what is active is right, and no row holds the history."""
+    import re
+
+    d = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    events = spark.createDataFrame([("spam", "example.com", "remove" if n % 2 else "add", d(n)) for n in range(399)] + [("old", "a.example.com", "add", d(-900))], "list_name string, rule string, action string, at date")
+    caps = spark.createDataFrame([(n, "http://a.example.com/x", d(n)) for n in range(-50, 450)], "id int, url string, fetched_at date")
+    out = url_filters.evaluate(caps, events)
+    spam = lambda n: ["spam"] if n >= 398 or (n >= 0 and n % 2 == 0) else []
+    assert {r.id: [x.list_name for x in r._active] for r in out.collect()} == {n: ["old", *spam(n)] for n in range(-50, 450)}
+    gathered = re.findall(r"collect_set\(struct\(([^)]*)", out._jdf.queryExecution().toString())
+    assert gathered and not any("valid_from" in x for x in gathered)
+
+
 @given(st.text(st.sampled_from("<|\\im_start>end\nab"), max_size=30), st.text(st.sampled_from("ab\n\\<|"), max_size=6))
 def test_turns_round_trip(text, role):
     piece, begin, end = chat_format.render(role, text)
