@@ -13,7 +13,8 @@ smallest doc_id that has it; only where a context has different segments (at the
 segment of each kind is unrolled and its windows are verified one by one. So the work follows the number of
 repeated passages, not of their pairs.
 
-Defined cases: null and empty texts and texts under a window lose nothing; documents with a null doc_id
+Defined cases: null and empty texts and texts under a window lose nothing; documents of over PIECE_WORDS words
+are named in overlapping pieces, with the same result; documents with a null doc_id
 neither lose nor take words; rows that repeat a doc_id are judged each but never against each other;
 ties cannot arise, since a word goes only for a smaller doc_id; other columns are ignored.
 """
@@ -33,6 +34,8 @@ RADIUS = 2 + 2 * 2 + 2 * 4
 MAX_LEN = 8
 #: Words of documents that are named together.
 CHUNK_WORDS = 1 << 16
+#: Words of a longer document that are named together; positions in a piece have to fit into 24 bits.
+PIECE_WORDS = 1 << 20
 
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95
@@ -121,6 +124,12 @@ def _chunks(docs: list[list[bytes]]):
     yield begin, len(docs)
 
 
+def _pieces(n: int, words: int):
+    """Pieces (begin, end) of at most so many words of n that overlap by WINDOW - 1: each window is in one of them."""
+    for begin in range(0, max(1, n - WINDOW + 1), words - WINDOW + 1):
+        yield begin, min(n, begin + words)
+
+
 def segments(documents: DataFrame) -> DataFrame:
     """(key, seg, doc_id, th, s1, s2): every anchor's context and segment, and its window starts."""
     hashes = WordHashes()
@@ -135,15 +144,16 @@ def segments(documents: DataFrame) -> DataFrame:
                 continue
             h = np.concatenate([hashes.of(w) for w in split[a:b] if w])
             doc = np.repeat(np.arange(a, b), sizes)
-            if len(h) >= 1 << 24:
-                raise ValueError("a document of over 16 million words")
-            anchor, first, final = anchors(h, doc)
-            spans = SpanHashes(h)
-            key = spans.of(anchor - RADIUS, anchor + RADIUS)
-            seg = mix(spans.of(first, final + WINDOW) + (anchor - first).astype(_U) * _U(_BASE))
-            d = doc[first]
-            at = (np.cumsum(sizes) - sizes)[d - a]
-            yield {"key": key.view(np.int64), "seg": seg.view(np.int64), "doc_id": np.array([x or 0 for x in ids], np.int64)[d], "th": th[d], "s1": first - at, "s2": final - at}
+            start = np.cumsum(sizes) - sizes
+            for low, high in _pieces(len(h), PIECE_WORDS):
+                # a border depends on words of its window only; a segment that a piece cuts is verified by windows
+                anchor, first, final = anchors(h[low:high], doc[low:high])
+                spans = SpanHashes(h[low:high])
+                key = spans.of(anchor - RADIUS, anchor + RADIUS)
+                seg = mix(spans.of(first, final + WINDOW) + (anchor - first).astype(_U) * _U(_BASE))
+                d = doc[low:high][first]
+                at = start[d - a] - low
+                yield {"key": key.view(np.int64), "seg": seg.view(np.int64), "doc_id": np.array([x or 0 for x in ids], np.int64)[d], "th": th[d], "s1": first - at, "s2": final - at}
 
     return arrow_map(documents.select("doc_id", "text", F.hash("text").alias("th")), run, "key bigint, seg bigint, doc_id bigint, th int, s1 int, s2 int")
 

@@ -111,3 +111,16 @@ def test_empty_tables(docs, spark):
     vocab = byte_bpe.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     assert byte_bpe.encode(none, vocab).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_long_documents_in_pieces(docs, corpus, prose, monkeypatch):
+    """Documents over PIECE_WORDS have the same result: a lowered bound stands in for 16 million words."""
+    rows = corpus + [(1000, prose(1, 300) + " " + prose(7, 159) + " " + prose(2, 300)), (1001, prose(3, 20) + " " + prose(1, 300))]
+    want = sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept) for r in substring_dedup.deduplicate(docs(rows)).collect())
+    monkeypatch.setattr(substring_dedup, "PIECE_WORDS", 128)
+    got = sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept) for r in substring_dedup.deduplicate(docs(rows)).collect())
+    assert got == want and sum(r[2] for r in got) > 0
+    starts = [b + i for b, e in substring_dedup._pieces(1000, 128) for i in range(e - b - substring_dedup.WINDOW + 1)]
+    assert starts == list(range(1000 - substring_dedup.WINDOW + 1))
+    pieces = list(substring_dedup._pieces((1 << 24) + 5, 1 << 20))
+    assert pieces[-1][1] == (1 << 24) + 5 and max(e - b for b, e in pieces) <= 1 << 20
