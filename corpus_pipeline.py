@@ -48,7 +48,8 @@ STAGES = [
     ("byte_bpe", encode_stage),
 ]
 
-#: Learned, fuzzy and tokenising stages have no SQL; tests hold the pipeline against a brute-force version.
+#: Learned, fuzzy and tokenising stages have no SQL. Tests run the stages and compare columns and row counts only; there
+#: is no brute-force version of the whole pipeline.
 ORACLE_SQL = None
 
 
