@@ -75,9 +75,11 @@ class GaussianStates:
         return alpha * beta, moves, float(np.log(scale).sum() + top.sum())
 
 
-def fit_states(panel: DataFrame, columns: list[str], n_states: int, rounds: int = 20, floor: float = 1e-4) -> tuple[GaussianStates, list[float]]:
+def fit_states(panel: DataFrame, columns: list[str], n_states: int, rounds: int = 300, floor: float = 1e-4, tol: float = 1e-2) -> tuple[GaussianStates, list[float]]:
     """Expectation-maximisation over all entities; returns the model and the log likelihood per round.
 
+    Ends when a round raises the log likelihood by less than tol; rounds is only a ceiling.
+
     Each round is one job: entities emit sufficient statistics, which are summed by aggregation, and
     only those sums (states x columns numbers) reach the driver. Rows with a null are left out.
     """
@@ -92,7 +94,7 @@ def fit_states(panel: DataFrame, columns: list[str], n_states: int, rounds: int
     for _ in range(rounds):
         m = model
 
-        def stats(pdf: pd.DataFrame, m: GaussianStates = m) -> pd.DataFrame:
+        def stats(pdf: pd.DataFrame) -> pd.DataFrame:  # with a second argument Spark would pass the key first
             x = pdf.sort_values("trade_date")[columns].to_numpy()
             gamma, moves, ll = m.expected(x)
             return pd.DataFrame({"s": [np.concatenate([[ll], gamma[0], moves.ravel(), gamma.sum(0), (gamma.T @ x).ravel(), (gamma.T @ x**2).ravel()]).tolist()]})
@@ -106,6 +108,8 @@ def fit_states(panel: DataFrame, columns: list[str], n_states: int, rounds: int
         var = np.maximum(sxx.reshape(k, d) / np.maximum(total, 1e-12)[:, None] - mean**2, floor)
         moves = moves.reshape(k, k) + 1e-6
         model = GaussianStates(start / start.sum(), moves / moves.sum(1, keepdims=True), mean, var)
+        if len(trace) > 1 and trace[-1] - trace[-2] < tol:
+            break
     return model, trace
 
 

@@ -650,7 +650,7 @@ def portfolio_metrics(spark, sf_dir):
 @query()
 def hidden_states(spark, sf_dir):
     f = _features(spark, sf_dir).select("entity", "trade_date", "ret_5d", "vol_20d")
-    model, _ = models.fit_states(f, ["ret_5d", "vol_20d"], 3, rounds=4)
+    model, _ = models.fit_states(f, ["ret_5d", "vol_20d"], 3)
     return models.filtered_states(f, ["ret_5d", "vol_20d"], model).select("entity", "trade_date", "state")
 
 

@@ -158,6 +158,15 @@ def test_likelihood_rises(spark, day):
     assert np.allclose(p.sum(1), 1)
 
 
+def test_fit_ends_by_tolerance(spark, day):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(m, 0.6, 40) for m in (0, 2, 0)])
+    df = spark.createDataFrame(pd.DataFrame({"entity": "a", "trade_date": [day(i) for i in range(120)], "x": x}), "entity string, trade_date date, x double")
+    _, trace = models.fit_states(df, ["x"], 2)
+    gains = np.diff(trace)
+    assert 1 < len(trace) < 300 and gains[-1] < 1e-2 and all(gains[:-1] >= 1e-2)
+
+
 def test_isotonic_is_monotone():
     got = models.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert [v for _, v in got] == [0.0, 0.5, 1.0]
