@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,9 +21,12 @@ SLICE_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a local one in tests."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where all tasks run in this process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir has to name a shared folder on {master}")
         path = "file://" + tempfile.mkdtemp(prefix="panelforge-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -33,7 +37,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pf_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that materialize wrote and that nothing reads any more."""
+    for t in tables:
+        if t is not None and hasattr(t, "_pf_path"):
+            path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._pf_path)
+            path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
@@ -68,20 +82,21 @@ def _slot(column: str):
 
 
 def bitmap_rows(ids: DataFrame, column: str) -> DataFrame:
-    """Bitmap of the hashed values of a column, in rows (bucket, bits); at most BITMAP_BITS / 8 bytes."""
+    """Bitmap of the hashed values of a column, in rows (bucket, bits array<long>); at most BITMAP_BITS / 8 bytes."""
     slots = ids.where(F.col(column).isNotNull()).select(_slot(column).alias("slot"))
-    return slots.groupBy(F.expr(f"slot div {_BUCKET_BITS}").alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % _BUCKET_BITS).alias("bits"))
+    raw = slots.groupBy(F.expr(f"cast(slot div {_BUCKET_BITS} as int)").alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % _BUCKET_BITS).alias("raw"))
+    word = lambda i: F.conv(F.hex(F.substring("raw", 8 * i + 1, F.lit(8))), 16, -10).cast("bigint")
+    return raw.select("bucket", F.transform(F.sequence(F.lit(0), F.lit(_BUCKET_BITS // 64 - 1)), word).alias("bits"))
 
 
 def in_bitmap(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
     """df with _pf_maybe: false where the value is surely not in the bitmap (whose size is bounded)."""
-    at = df.withColumn("_pf_slot", _slot(column))
+    at = df.withColumn("_pf_slot", _slot(column)).withColumn("_pf_bucket", F.expr(f"cast(_pf_slot div {_BUCKET_BITS} as int)"))
     held = F.broadcast(bitmap.select(F.col("bucket").alias("_pf_bucket"), F.col("bits").alias("_pf_bits")))
-    place = F.col("_pf_slot") % _BUCKET_BITS
-    byte = F.conv(F.hex(F.substring("_pf_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.expr("shiftright(_pf_byte, cast(_pf_slot % 8 as int)) & 1 = 1"), F.lit(False))
-    joined = at.join(held, F.expr(f"_pf_slot div {_BUCKET_BITS} = _pf_bucket"), "left").withColumn("_pf_byte", byte)
-    return joined.withColumn("_pf_maybe", hit).drop("_pf_slot", "_pf_bucket", "_pf_bits", "_pf_byte")
+    # a word holds eight bytes, the first byte highest
+    word = f"get(_pf_bits, cast(_pf_slot % {_BUCKET_BITS} div 64 as int))"
+    hit = F.expr(f"coalesce(shiftright({word}, cast((_pf_slot % 64) ^ 56 as int)) & 1 = 1, false)")
+    return at.join(held, "_pf_bucket", "left").withColumn("_pf_maybe", hit).drop("_pf_slot", "_pf_bucket", "_pf_bits")
 
 
 def maybe_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
@@ -100,11 +115,12 @@ def without_ids(df: DataFrame, column: str, removed: DataFrame) -> DataFrame:
     return surely_not_in(df, column, removed).unionByName(maybe.select(df.columns))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Distributed union-find over edges(src long, dst long): rows (node, component = smallest node).
 
     Alternates large-star and small-star rounds (each a shuffle with map-side combine); every round
-    is written to the shared folder, and rounds go on until the edge set no longer changes. Null
+    is written to the shared folder, and rounds go on until the edge set no longer changes (an error if
+    it still does after max_rounds; the rounds grow with the logarithm of the longest chain). Null
     ends and self loops are ignored; nodes without an edge don't appear.
     """
     cur = (
@@ -115,15 +131,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     cur = materialize(cur, "cc")
     before = None
     for _ in range(max_rounds):
-        big = _star(cur, large=True)
-        nxt = materialize(_star(big, large=False), "cc")
+        nxt = materialize(_star(_star(cur, large=True), large=False), "cc")
         now = nxt.agg(F.count(F.lit(1)), F.sum(F.col("src").cast("decimal(38,0)")), F.sum(F.col("dst").cast("decimal(38,0)")), F.expr("bit_xor(xxhash64(src, dst))")).first()
+        release(cur)
         cur = nxt
         if before == now:
             break
         before = now
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     roots = cur.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
-    return cur.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots)
+    out = materialize(cur.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots), "components")
+    release(cur)
+    return out
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -145,49 +165,69 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def link_buckets(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 4, least_keys: int = 1, traits: DataFrame | None = None, may_link: Callable[[str, str], str] | None = None
-) -> DataFrame:
-    """Components (node, component) of buckets (key, node): every link between components is found.
-
-    verify takes candidate pairs (a, b) with a < b and returns those that link. In each round every
-    bucket is compared with one of its nodes, drawn anew by hash, and only nodes that aren't in that
-    node's component yet are compared. Buckets that still have several components after the rounds are
-    compared across components (pairs that share least_keys keys at least). No bucket is gathered, and
-    nodes of one component are never compared with each other again. traits (node, ...) and the SQL
-    condition may_link(x, y) on them, which every link must meet, drop pairs inside that last join.
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], copies: DataFrame, rounds: int = 2, least_keys: int = 1, traits: Callable[[DataFrame], DataFrame] | None = None, may_link: Callable[[str, str], str] | None = None
+) -> DataFrame | None:
+    """Components (node, component) of buckets (key, node), None if there are no links: every link between components is found.
+
+    verify takes candidate pairs (a, b) with a < b and returns those that link (materialised). In each round every
+    bucket is compared with one of its nodes (first the one with most copies in copies(node, n), as near copies
+    are nearest to their original, and most buckets; then one drawn by hash), and only nodes that aren't in that
+    node's component yet are compared. Buckets that lie in one component are done; those that still have several
+    after the rounds are compared across components (pairs that share least_keys keys at least). No bucket is gathered, and nodes of one component are never
+    compared with each other again. traits(nodes) gives (node, ...) and may_link(x, y) a SQL condition on them (and
+    on x.key) that every link meets in one of its buckets: it drops pairs inside that last join.
     """
-    edges = done = comps = None
+    comps = None
     for r in range(rounds + 1):
-        placed = members.withColumn("c", F.col("node"))
-        if comps is not None:
-            placed = members.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        drawn = F.struct(F.xxhash64("node", F.lit(r)).alias("draw"), F.col("node").alias("hub"), F.col("c").alias("hub_c"))
-        heads = placed.groupBy("key").agg(F.min(F.struct("c")).alias("low"), F.max(F.struct("c")).alias("high"), F.min(drawn).alias("head"))
-        heads = heads.where("low != high").select("key", "head.hub", "head.hub_c")
-        if r:  # buckets that lie in one component are done
-            members = materialize(placed.join(heads, "key").select("key", "node", "c", "hub", "hub_c"), "open")
-            placed, met_rows, members = members.select("key", "node", "c"), members, members.select("key", "node")
+        if r == 0:
+            degree = members.groupBy("node").agg(F.count(F.lit(1)).alias("keys"))
+            rank = F.least(F.coalesce("n", F.lit(1)), F.lit(1 << 16)) * 4096 + F.least("keys", F.lit(4095))
+            draw = F.shiftrightunsigned(F.xxhash64("node"), 30) - F.shiftleft(rank.cast("bigint"), 34)
+            placed = members.join(degree, "node").join(copies, "node", "left").select("key", "node", draw.alias("draw"), F.col("node").alias("c"))
         else:
-            met_rows = placed.join(heads, "key")
+            placed = members.withColumn("draw", F.xxhash64("node", F.lit(r)))
+            placed = placed.withColumn("c", F.col("node")) if comps is None else placed.join(comps, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        heads = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("node", "draw").alias("hub"), F.min_by("c", "draw").alias("hub_c"))
+        heads = heads.where("low != high").select("key", "hub", "hub_c")
+        open_ = materialize(placed.select("key", "node", "c").join(heads, "key"), "open")
+        if r:
+            release(members)
+        members = open_
         if r < rounds:
-            met = met_rows.where("c != hub_c").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            met = members.where("c != hub_c").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         else:
-            rest = placed if traits is None else materialize(placed.join(traits, "node"), "rest")
+            rest = members.select("key", "node", "c")
+            own = None
+            if traits is not None:
+                own = traits(rest.select("node").distinct())
+                rest = rest.join(own, "node")
             x, y = rest.alias("x"), rest.alias("y")
             near = F.expr("x.key = y.key and x.c < y.c" + (f" and {may_link('x', 'y')}" if may_link else ""))
             met = x.join(y, near).groupBy(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
             met = met.where(F.col("keys") >= least_keys).select("a", "b")
-        if done is not None:
-            met = met.join(done, ["a", "b"], "left_anti")
         met = materialize(met, "met")
+        if r == rounds:
+            release(own)
         if met.isEmpty():
-            if r < rounds:
-                continue
+            release(met)
             break
-        new = verify(met)
-        edges = materialize(new if edges is None else edges.unionByName(new), "edges")
-        done = met if done is None else done.unionByName(met)
-        comps = materialize(connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
-    if comps is None:
-        comps = members.select("node", F.col("node").alias("component")).limit(0)
+        links = verify(met)
+        release(met)
+        if links.isEmpty():
+            release(links)
+            members = _same(members, members.select("key", "node"))
+            continue
+        edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        if comps is not None:
+            edges = edges.unionByName(comps.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+        before, comps = comps, connected_components(edges)
+        release(before, links)
+        members = _same(members, members.select("key", "node"))
+    release(members)
     return comps
+
+
+def _same(table: DataFrame, view: DataFrame) -> DataFrame:
+    """A view of a materialised table that can be released in its place."""
+    view._pf_path = table._pf_path
+    return view

@@ -30,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, link_buckets, materialize, maybe_in, sliced, without_ids
+from .common import arrow_map, link_buckets, materialize, maybe_in, release, sliced, without_ids
 from .words import WordHashes, mix, shingles, texts
 
 SHINGLE = 5
 THRESHOLD = 80
-#: Buckets of the corpus-wide frequency table (4 bytes each where it is summed, 2 where broadcast).
-FREQUENCY_BITS = 20
+#: Least and most buckets, as a power of two, of the corpus-wide frequency table (4 bytes each where it is summed, 2 where
+#: broadcast), and the bytes of text for a bucket between them.
+FREQUENCY_BITS, BUCKET_BYTES = (20, 22), 2048
 #: Tokens are rare up to a bucket count of the mean, so many of its standard deviations, and RARE_FLOOR.
 RARE_DEVIATIONS, RARE_FLOOR = 1.5, 4
 _SLICE = 1 << 14
@@ -45,8 +46,15 @@ _SKETCH = 8
 _U = np.uint64
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
+def _slots(h: np.ndarray, size: int) -> np.ndarray:
+    """Buckets of hashes in a table of so many (a power of two)."""
+    return (h >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def table_size(documents: DataFrame) -> int:
+    """Buckets of the frequency table for a corpus."""
+    total = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return 1 << min(max(FREQUENCY_BITS[0], (total // BUCKET_BYTES).bit_length()), FREQUENCY_BITS[1])
 
 
 def node_of(sh: np.ndarray) -> int:
@@ -70,7 +78,7 @@ def _hashed(k: int, lower: bool):
     return of
 
 
-def sets_and_frequencies(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
+def sets_and_frequencies(documents: DataFrame, size: int, k: int = SHINGLE) -> DataFrame:
     """One pass: (doc_id, n, node) of each document, and each task's bucket counts in slices.
 
     Equal sets of one task count once, so that copies don't make their tokens look frequent.
@@ -79,7 +87,7 @@ def sets_and_frequencies(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.list_(pa.int64())), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        counts, seen = np.zeros(1 << FREQUENCY_BITS, np.int64), set()
+        counts, seen = np.zeros(size, np.int64), set()
         for batch in sliced(batches):
             sizes, nodes, sketches, slots = [], [], [], []
             for text in texts(batch.column(1)):
@@ -90,7 +98,7 @@ def sets_and_frequencies(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
                 sketches.append(sketch_of(sh))
                 if len(sh) and node not in seen:
                     seen.add(node)
-                    slots.append(_slots(sh))
+                    slots.append(_slots(sh, size))
             if slots:
                 counts += np.bincount(np.concatenate(slots), minlength=len(counts))
             none = pa.nulls(batch.num_rows)
@@ -104,8 +112,8 @@ def sets_and_frequencies(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, sketch array<bigint>, slice int, counts binary")
 
 
-def frequency_table(slices: DataFrame) -> np.ndarray:
-    """Summed bucket counts: a fixed size, whatever the corpus; the slices are summed side by side."""
+def frequency_table(slices: DataFrame, size: int) -> np.ndarray:
+    """Summed bucket counts of a table of bounded size; the slices are summed side by side."""
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -115,7 +123,7 @@ def frequency_table(slices: DataFrame) -> np.ndarray:
                 have += np.frombuffer(raw, np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["slice", "counts"])
 
-    out = np.zeros(1 << FREQUENCY_BITS, np.int64)
+    out = np.zeros(size, np.int64)
     for r in slices.repartition("slice").mapInArrow(add, "slice int, counts binary").collect():
         out[r.slice * _SLICE : (r.slice + 1) * _SLICE] += np.frombuffer(bytes(r.counts), np.int64)
     return out
@@ -134,7 +142,7 @@ def prefix_signatures(sh: np.ndarray, rank: np.ndarray, rare: int, threshold: in
     Prefixes are one token longer than the first shared key needs, so linked sets share two keys.
     """
     n = len(sh)
-    own = rank[_slots(sh)]
+    own = rank[_slots(sh, len(rank))]
     order = np.lexsort((sh, own))
     d, both = n * (100 - threshold) // 100, n * (100 - threshold) // threshold
     prefix = order[: d + 2]
@@ -169,9 +177,11 @@ def signatures(documents: DataFrame, counts: np.ndarray, k: int = SHINGLE, thres
     return documents.select("text").mapInArrow(run, "key bigint, node bigint")
 
 
-def _sets(documents: DataFrame, nodes: DataFrame, info: DataFrame, k: int) -> DataFrame:
-    """nodes with their tokens: only documents that stand for a node are shingled and shuffled."""
-    first = info.join(nodes.select("node"), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+def _sets(documents: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """nodes (node, doc_id, ...) with their tokens: only documents that stand for a node are shingled and shuffled.
+
+    A set may come more than once, if its document's id or the bitmap's slot isn't its own.
+    """
     of = _hashed(k, True)
 
     def run(batch):
@@ -183,53 +193,63 @@ def _sets(documents: DataFrame, nodes: DataFrame, info: DataFrame, k: int) -> Da
         yield {"node": node, "tokens": pa.ListArray.from_arrays(np.cumsum([0, *map(len, tokens)]).astype(np.int32), np.concatenate(tokens))}
 
     docs = documents.select("doc_id", "text")
-    found = maybe_in(docs.where("doc_id is not null"), "doc_id", first).unionByName(docs.where("doc_id is null"))
-    return arrow_map(found, run, "node bigint, tokens array<bigint>").join(nodes, "node")
+    found = maybe_in(docs.where("doc_id is not null"), "doc_id", nodes).unionByName(docs.where("doc_id is null"))
+    return arrow_map(found, run, "node bigint, tokens array<bigint>").join(nodes.drop("doc_id"), "node")
+
 
+def may_link(x: str, y: str, threshold: int = THRESHOLD) -> str:
+    """What holds of the traits of all pairs that reach the threshold: sizes, and bits in which their parity bitmaps differ."""
+    differ = " + ".join(f"bit_count({x}.s{i} ^ {y}.s{i})" for i in range(_SKETCH))
+    return f"100 * least({x}.n, {y}.n) >= {threshold} * greatest({x}.n, {y}.n) and {100 + threshold} * ({differ}) <= {100 - threshold} * ({x}.n + {y}.n)"
 
-def verify(pairs: DataFrame, documents: DataFrame, info: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+
+def verify(pairs: DataFrame, documents: DataFrame, traits: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b) of the pairs whose sets' Jaccard similarity reaches the threshold, exactly.
 
-    Pairs of sizes that can't reach it are out at once, and so are pairs whose parity bitmaps differ in
-    more bits than their sets may differ in tokens. The others' sets meet by two joins, one per side; a
+    Pairs whose traits rule a link out are left out first. The others' sets meet by two joins, one per side; a
     set with very many partners is split over tasks (skew join).
     """
-    own = info.where("node is not null").select("node", "n", "sketch").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    side = lambda x: own.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    p = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)")
-    p = materialize(p.where((100 + threshold) * differ <= (100 - threshold) * (F.col("na") + F.col("nb"))).drop("sa", "sb"), "pairs")
+    x, y = traits.alias("x"), traits.alias("y")
+    p = pairs.join(x, F.expr("a = x.node")).join(y, F.expr("b = y.node")).where(may_link("x", "y", threshold))
+    p = materialize(p.select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")), "pairs")
     sides = p.select(F.col("a").alias("node"), F.lit(1).alias("is_a"), F.lit(0).alias("is_b")).union(p.select("b", F.lit(0), F.lit(1)))
-    nodes = sides.groupBy("node").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b"))
-    sets = materialize(_sets(documents, nodes, info, k), "sets")
+    nodes = sides.groupBy("node").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b")).join(traits.select("node", "doc_id"), "node")
+    nodes = materialize(nodes, "nodes")
+    sets = materialize(_sets(documents, nodes, k), "sets")
     got = p.join(sets.where("is_a = 1").select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
     got = got.join(sets.where("is_b = 1").select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
-    return got.withColumn("c", common).where(f"100 * c >= {threshold} * (na + nb - c)").select("a", "b")
+    links = materialize(got.withColumn("c", common).where(f"100 * c >= {threshold} * (na + nb - c)").select("a", "b"), "links")
+    release(p, nodes, sets)
+    return links
 
 
 def components(documents: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     if threshold < 75:
         raise ValueError("pairs of neighbouring tokens need a threshold of 75 at least")
-    first = materialize(sets_and_frequencies(documents, k), "shingles")
-    info = first.where("slice is null").select("doc_id", "n", "node", "sketch")
-    counts = frequency_table(first.where("slice is not null").select("slice", "counts"))
-
-    keyed = signatures(documents, counts, k, threshold).repartition("key")
+    size = table_size(documents)
+    first = materialize(sets_and_frequencies(documents, size, k), "shingles")
+    counts = frequency_table(first.where("slice is not null").select("slice", "counts"), size)
+    info = materialize(first.where("slice is null").select("doc_id", "n", "node", *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(_SKETCH))), "info")
+    release(first)
+
+    # keys that one set alone has are left out by a count with map-side combine and a bitmap
+    keyed = materialize(signatures(documents, counts, k, threshold), "keyed")
     several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    shared = materialize(keyed.join(several, "key", "left_semi").distinct(), "shared")
-    longs = [f"s{i}" for i in range(_SKETCH)]
-    traits = info.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    traits = traits.select("node", "n", *(F.get("sketch", F.lit(i)).alias(x) for i, x in enumerate(longs)))
-
-    def may_link(x: str, y: str) -> str:
-        differ = " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in longs)
-        return f"100 * least({x}.n, {y}.n) >= {threshold} * greatest({x}.n, {y}.n) and {100 + threshold} * ({differ}) <= {100 - threshold} * ({x}.n + {y}.n)"
-
-    comps = link_buckets(shared, lambda pairs: verify(pairs, documents, info, k, threshold), rounds=2, least_keys=2, traits=traits, may_link=may_link)
-
-    named = info.join(comps, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("_c"))
+    shared = materialize(maybe_in(keyed, "key", several), "shared")
+    release(keyed)
+    held = maybe_in(info.where("node is not null"), "node", shared)
+    longs = [F.min(f"s{i}").alias(f"s{i}") for i in range(_SKETCH)]
+    traits = materialize(held.groupBy("node").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), *longs), "traits")
+    copies = traits.where("copies > 1").select("node", F.col("copies").alias("n"))
+    comps = link_buckets(
+        shared.distinct(), lambda pairs: verify(pairs, documents, traits, k, threshold), copies, least_keys=2,
+        traits=lambda nodes: traits.drop("doc_id", "copies"), may_link=lambda x, y: may_link(x, y, threshold),
+    )
+    release(shared, traits)
+
+    named = info.select("doc_id", "n", F.col("node").alias("_c")) if comps is None else info.join(comps, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("_c"))
     least = named.where("_c is not null").groupBy("_c").agg(F.min("doc_id").alias("_least"))
     return named.join(least, "_c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("_c").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
 
