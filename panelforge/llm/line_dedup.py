@@ -28,9 +28,9 @@ from .common import bitmap_rows, in_bitmap, link_buckets, materialize, maybe_in,
 SHINGLE = 5
 THRESHOLD = 80
 #: Bytes of a signature window, the bytes that windows of first rank begin with, and how many hashes make the bands.
-WINDOW = 10
+WINDOW = 11
 SAMPLED = [b for b in range(256) if b % 8 == 2]
-BOTTOM = 6
+BOTTOM = 5
 #: Lines of at most SHORT_TO distinct shingles have bands of these, lines of at least DENSE_FROM characters have bands
 #: of signature windows. Lines under DENSE_FROM have under 12 shingles; whatever may link to one has under 14.
 SHORT_TO, DENSE_FROM = 15, 11 + SHINGLE
@@ -122,10 +122,11 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     shared = materialize(maybe_in(keyed, "key", several), "shared")
     release(keyed)
     nodes = materialize(shared.select("node").distinct(), "nodes")
-    texts = materialize(maybe_in(once, "node", nodes).join(nodes, "node").select("node", place.alias("place"), "line", F.size(F.array_distinct(line_shingles(F.col("line")))).alias("n"), signature(F.col("line")).alias("sig")), "texts")
+    texts = materialize(maybe_in(once, "node", nodes).join(nodes, "node").select("node", place.alias("place"), "line"), "texts")
+    sets = measured(texts)
     release(nodes)
-    comps = link_buckets(shared, lambda pairs: verify(pairs, texts), again, traits=lambda nodes: traits(nodes, texts), may_link=may_link)
-    release(shared)
+    comps = link_buckets(shared, lambda pairs: verify(pairs, texts, sets), again, traits=lambda nodes: traits(nodes, texts, sets), may_link=meet_once)
+    release(shared, sets)
 
     # of each component the node with the first place stays, and of that node the first line
     plan = firsts.join(again, "node").select("node", place.alias("keeper"))
@@ -141,33 +142,41 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
     return dropped
 
 
-def traits(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, n, sig, s0, s1, ...) of nodes: number of shingles, signature and the shingle set's parity bitmap in longs.
+def measured(texts: DataFrame) -> DataFrame:
+    """(node, n, s0, s1, ...): the number of a line's shingles and their parity bitmap in longs.
 
     Two bitmaps differ in at most as many bits as the sets differ in shingles.
     """
-    own = texts.join(nodes, "node")
-    x = own.select("node", F.explode(F.array_distinct(line_shingles(F.col("line")))).alias("x"))
+    x = texts.select("node", F.explode(F.array_distinct(line_shingles(F.col("line")))).alias("x"))
     bit = x.select("node", F.expr("shiftleft(1L, cast(x & 63 as int))").alias("bit"), F.expr(f"shiftright(x, 6) & {SKETCH - 1}").alias("at"))
-    longs = bit.groupBy("node").agg(*(F.coalesce(F.bit_xor(F.when(F.col("at") == i, F.col("bit"))), F.lit(0)).alias(f"s{i}") for i in range(SKETCH)))
-    return materialize(texts.select("node", "n", "sig").join(longs, "node"), "traits")
+    longs = (F.coalesce(F.bit_xor(F.when(F.col("at") == i, F.col("bit"))), F.lit(0)).alias(f"s{i}") for i in range(SKETCH))
+    return materialize(bit.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *longs), "sets")
+
+
+def traits(nodes: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Measures of the nodes' shingle sets, and the lines' signatures."""
+    own = texts.join(nodes, "node").select("node", signature(F.col("line")).alias("sig"))
+    return materialize(own.join(sets, "node"), "traits")
 
 
 def may_link(x: str, y: str) -> str:
-    """What holds of the traits of all pairs that reach the threshold, in the first of the buckets of windows that they share."""
+    """What holds of the measures of all pairs that reach the threshold."""
     differ = " + ".join(f"bit_count({x}.s{i} ^ {y}.s{i})" for i in range(SKETCH))
+    return f"100 * least({x}.n, {y}.n) >= {THRESHOLD} * greatest({x}.n, {y}.n) and {100 + THRESHOLD} * ({differ}) <= {100 - THRESHOLD} * ({x}.n + {y}.n)"
+
+
+def meet_once(x: str, y: str) -> str:
+    """may_link, in the first of the buckets of windows that a pair shares."""
     shared = f"array_intersect({x}.sig, {y}.sig)"
-    first = f"(size({shared}) < 2 or {x}.key = xxhash64(2, {shared}[0], {shared}[1]))"
-    return f"100 * least({x}.n, {y}.n) >= {THRESHOLD} * greatest({x}.n, {y}.n) and {100 + THRESHOLD} * ({differ}) <= {100 - THRESHOLD} * ({x}.n + {y}.n) and {first}"
+    return f"{may_link(x, y)} and (size({shared}) < 2 or {x}.key = xxhash64(2, {shared}[0], {shared}[1]))"
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of the pairs of lines whose shingle sets reach the threshold, exactly."""
-    a = texts.select(F.col("node").alias("a"), F.col("line").alias("la"), F.col("n").alias("na"))
-    b = texts.select(F.col("node").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb"))
-    sizes = F.expr(f"100 * least(na, nb) >= {THRESHOLD} * greatest(na, nb)")
+    x, y = sets.alias("x"), sets.alias("y")  # sizes and parity bitmaps rule most pairs out before any text is shuffled
+    p = pairs.join(x, F.expr("a = x.node")).join(y, F.expr("b = y.node")).where(may_link("x", "y")).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    got = p.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
     common = F.size(F.array_intersect(line_shingles(F.col("la")), line_shingles(F.col("lb"))))
-    got = pairs.join(a, "a").join(b, "b").where(sizes)
     return materialize(got.where(_let(common, lambda c: 100 * c >= THRESHOLD * (F.col("na") + F.col("nb") - c))).select("a", "b"), "links")
 
 
