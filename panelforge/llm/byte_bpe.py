@@ -1,15 +1,17 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
 Texts are split by the vocabulary's pattern and each block of documents becomes one row: its distinct
-words as byte arrays and each document as numbers of words. An aggregate() folds ranked merges over each
+words as byte arrays, and each document as numbers of words. An aggregate() folds ranked merges over each
 distinct word once, with ranks looked up in a literal map, and the words' ids are put together by
-document. Nothing is shuffled. Decoding looks up each id's bytes in a literal array and concatenates them.
+document. Documents aren't shuffled; only the word counts of a bounded sample are. Decoding looks up the
+binary piece of each id and concatenates the pieces.
 
 The rank map is keyed by pairs of ids: Spark searches a map value linearly, so it is laid out as two
 literal arrays by row displacement (the entry of (a, b) is at shift[a] + b and is valid if its owner is a).
 
 Defined cases: null and empty texts have no ids; repeated rows are encoded each; ids outside the
-vocabulary decode to nothing; other columns are ignored; an empty table gives an empty result.
+vocabulary decode to nothing; other columns are ignored; an empty table gives an empty result. A single
+unbroken word takes time quadratic in its length, and may have 2^28 bytes at most (an error beyond).
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import functools
 import itertools
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +29,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced
+from .common import materialize, release, sliced
 
 #: Rank of a pair that doesn't merge.
 NONE = 1 << 17
-_ID, _PLACE, _STOP = (1 << 17) - 1, ((1 << 23) - 1) << 17, NONE << 40
+#: A part of a word in one long: rank of its merge above, then its place in the word (28 bits), then its id (17 bits).
+_RANK, _ID, _PLACE = 45, (1 << 17) - 1, ((1 << 28) - 1) << 17
+_STOP = NONE << _RANK
 #: UTF-8 bytes of documents in a block (a longer document is a block of its own).
 BLOCK_BYTES = 3 << 20
 #: Frequent words that are encoded once for all blocks, and the bytes of documents they are counted in.
@@ -38,7 +43,13 @@ BLOCK_BYTES = 3 << 20
 DICTIONARY_WORDS = 400_000
 SAMPLE_BYTES = 64 << 20
 
-BLOCK_SCHEMA = "doc_ids array<bigint>, docs array<array<int>>, known array<array<int>>, words array<array<bigint>>"
+#: A block: its documents' ids, and as bytes the end of each among its words, the word numbers, the ids of known words and
+#: where each begins; last the words that are to be folded.
+BLOCK_SCHEMA = "doc_ids array<bigint>, ends binary, numbers binary, known binary, begins binary, words array<array<bigint>>"
+
+
+#: What is made of an Arrow batch of (doc_id, ids) in the task that encodes it.
+Each = Callable[[pa.RecordBatch], pa.RecordBatch]
 
 
 class Vocabulary:
@@ -50,6 +61,7 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.size = max(self.ranks.values()) + 1
 
+    @functools.cached_property
     def pieces(self) -> list[bytes]:
         out = [b""] * self.size
         for piece, rank in self.ranks.items():
@@ -121,7 +133,7 @@ def merge_all(word: Column, shift: Column, owner: Column, rank: Column) -> Colum
     """Ids of a word: ranked merges folded over its bytes, the lowest rank first, the leftmost of equals.
 
     The state is one array of longs, a part each: the rank of its merge with the next part, its place
-    in the word and its id (17 bits, below 23 bits of place). Its least entry is the next merge.
+    in the word and its id. Its least entry is the next merge.
     """
 
     def pair(a, b):
@@ -129,11 +141,11 @@ def merge_all(word: Column, shift: Column, owner: Column, rank: Column) -> Colum
         return F.when(F.get(owner, slot) == a, F.get(rank, slot)).otherwise(F.lit(NONE))
 
     def packed(rank_, place, id_):
-        return F.shiftleft(rank_.cast("bigint"), 40) + place + id_
+        return F.shiftleft(rank_.cast("bigint"), _RANK) + place + id_
 
     def step(state, _):
         def merged(m, p):
-            new = F.shiftright(m, 40).cast("int")
+            new = F.shiftright(m, _RANK).cast("int")
             before = F.get(state, p - 2)
             left, right = before.bitwiseAND(_ID).cast("int"), F.get(state, p + 1).bitwiseAND(_ID).cast("int")
             two = F.array(packed(pair(left, new), before.bitwiseAND(_PLACE), left), packed(pair(new, right), m.bitwiseAND(_PLACE), new))
@@ -162,8 +174,10 @@ def packed_bytes(flat: np.ndarray, ends: np.ndarray, layout) -> tuple[np.ndarray
     size = np.diff(ends)
     word = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(flat)) - ends[word]
-    states = np.full(len(flat) + 2 * len(size), NONE << 40 | len(shift), np.int64)
-    states[np.arange(len(flat)) + 2 * word + 1] = merges << 40 | (place & ((1 << 23) - 1)) << 17 | flat
+    if len(place) and place.max() >= 1 << 28:
+        raise ValueError("a word has 2^28 bytes or more")
+    states = np.full(len(flat) + 2 * len(size), _STOP | len(shift), np.int64)
+    states[np.arange(len(flat)) + 2 * word + 1] = merges << _RANK | place << 17 | flat
     return states, ends + 2 * np.arange(len(ends))
 
 
@@ -184,14 +198,14 @@ class _Numbers(dict):
         return n
 
 
-def _dictionary(vocab: Vocabulary, words, values: np.ndarray, offsets) -> tuple[dict, np.ndarray, np.ndarray]:
-    """word -> number, ids of all words, where each begins: frequent words, and the vocabulary's own."""
+def _dictionary(vocab: Vocabulary, values: np.ndarray, sizes: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+    """word -> number, ids of all words, where each begins: the vocabulary's own words, and frequent ones given by their ids."""
     own = [(p.decode(), r) for p, r in vocab.ranks.items() if _is_text(p)]
     at = {w: i for i, (w, _) in enumerate(own)}
-    for i, w in enumerate(words if isinstance(words, list) else words.to_pylist()):
-        at.setdefault(w, len(own) + i)
-    ids = np.concatenate([np.array([r for _, r in own], np.int32), values])
-    return at, ids, np.concatenate([np.arange(len(own)), len(own) + np.asarray(offsets)])
+    begins, pieces, ids = np.concatenate([[0], np.cumsum(sizes)]), vocab.pieces, values.tolist()
+    for i, (a, b) in enumerate(itertools.pairwise(begins.tolist())):
+        at.setdefault(b"".join([pieces[x] for x in ids[a:b]]).decode(), len(own) + i)
+    return at, np.concatenate([np.array([r for _, r in own], np.int32), values]), np.concatenate([np.arange(len(own)), len(own) + begins])
 
 
 def _is_text(piece: bytes) -> bool:
@@ -229,17 +243,16 @@ def _blocks(vocab: Vocabulary, block_bytes: int, dictionary=None):
         ends = np.cumsum([0, *map(len, raw)])
         states, ends = packed_bytes(base[np.frombuffer(b"".join(raw), np.uint8)], ends, layout) if raw else (np.empty(0, np.int64), ends)
         columns = [
-            pa.array(ids, pa.int64()),
-            _nested(place[np.fromiter(flat, np.int64, len(flat))], np.array(sizes)),
-            _nested(ready_values, ready),
-            _nested(states, ends, pa.int64()),
+            _outer(pa.array(ids, pa.int64())),
+            *(pa.array([x.tobytes()], pa.binary()) for x in (np.array(sizes[1:], np.int64), place[np.fromiter(flat, np.int64, len(flat))], ready_values.astype(np.int32), ready)),
+            _outer(_nested(states, ends)),
         ]
-        return pa.RecordBatch.from_arrays([_outer(c) for c in columns], names=["doc_ids", "docs", "known", "words"])
+        return pa.RecordBatch.from_arrays(columns, names=["doc_ids", "ends", "numbers", "known", "begins", "words"])
 
     def run(batches):
         made["find"] = _finder(pattern)
         if not made.get("dictionary"):
-            made["dictionary"] = _dictionary(vocab, *(dictionary.value if dictionary else ([], np.empty(0, np.int32), [0])))
+            made["dictionary"] = _dictionary(vocab, *(dictionary.value if dictionary else (np.empty(0, np.int32),) * 2))
         for batch in sliced(batches):
             ids, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             start, size = 0, 0
@@ -255,7 +268,7 @@ def _blocks(vocab: Vocabulary, block_bytes: int, dictionary=None):
     return run
 
 
-def _nested(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType = pa.int32()) -> pa.Array:
+def _nested(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType = pa.int64()) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
@@ -263,8 +276,21 @@ def _outer(inner: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner)
 
 
-def frequent_words(documents: DataFrame, pattern: str, words: int = DICTIONARY_WORDS, sample_bytes: int = SAMPLE_BYTES) -> pa.Array:
-    """Up to so many of the most frequent words of a bounded sample of documents (chosen by hash of their text)."""
+def _assembled(row: dict) -> pa.RecordBatch:
+    """(doc_id, ids) of the documents of a block whose words are folded."""
+    ends, numbers, known, begins = (np.frombuffer(row[k].as_py(), t) for k, t in (("ends", np.int64), ("numbers", np.int32), ("known", np.int32), ("begins", np.int64)))
+    folded = row["folded"].values
+    values = np.concatenate([known, folded.flatten().to_numpy()])
+    size = np.concatenate([np.diff(begins), folded.value_lengths().to_numpy()]).astype(np.int64)
+    start = np.cumsum(size) - size
+    own = size[numbers]
+    after = np.concatenate([[0], np.cumsum(own)])
+    ids = values[np.arange(after[-1]) + np.repeat(start[numbers] - after[:-1], own)]
+    return pa.RecordBatch.from_arrays([row["doc_ids"].values, _nested(ids, np.concatenate([[0], after[ends]]), pa.int32())], names=["doc_id", "ids"])
+
+
+def frequent_words(documents: DataFrame, pattern: str, words: int = DICTIONARY_WORDS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(word) of up to so many of the most frequent words of a bounded sample of documents (chosen by hash of their text)."""
     total = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     sample = documents.where(F.col("text").isNotNull()).select("text")
     if total > sample_bytes:
@@ -278,6 +304,11 @@ def frequent_words(documents: DataFrame, pattern: str, words: int = DICTIONARY_W
         rows = [(w, c) for w, c in n.items() if len(w) > 1]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())], names=["word", "n"])
 
+    def whole(batches):  # what the pattern leaves in one piece
+        find = _finder(pattern)
+        for batch in batches:
+            yield batch.filter(pa.array([find(w) == [w] for w in batch.column(0).to_pylist()], pa.bool_()))
+
     counts = sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counts = materialize(counts, "words")
     least, taken = None, 0
@@ -286,36 +317,52 @@ def frequent_words(documents: DataFrame, pattern: str, words: int = DICTIONARY_W
         if taken > words:
             break
         least = r.n
-    if least is None:
-        return pa.array([], pa.string())
-    found = counts.where(F.col("n") >= least).select("word").toArrow().column(0).combine_chunks().sort()
-    find = _finder(pattern)
-    return found.filter(pa.array([find(w) == [w] for w in found.to_pylist()], pa.bool_()))
+    found = counts.where(F.col("n") >= (least or taken + 1)).select("word").mapInArrow(whole, "word string")
+    found = materialize(found, "frequent")
+    release(counts)
+    return found
 
 
-def _encoded(documents: DataFrame, vocab: Vocabulary, block_bytes: int, dictionary=None) -> DataFrame:
+def _encoded(documents: DataFrame, vocab: Vocabulary, block_bytes: int, each: Each, schema: str, dictionary=None) -> DataFrame:
     table = F.struct(*(_literal(x, "int").alias(k) for k, x in zip(("shift", "owner", "rank"), vocab.layout)))
     blocks = documents.select("doc_id", "text").mapInArrow(_blocks(vocab, block_bytes, dictionary), BLOCK_SCHEMA)
     words = _let(table, lambda t: F.transform("words", lambda w: merge_all(w, t["shift"], t["owner"], t["rank"])))
-    ids = _let(F.concat("known", words), lambda enc: F.transform("docs", lambda d: F.flatten(F.transform(d, lambda i: F.get(enc, i)))))
-    return blocks.select(F.inline(F.arrays_zip(F.col("doc_ids").alias("doc_id"), ids.alias("ids")))).select(F.col("doc_id"), F.col("ids"))
 
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield each(_assembled({name: batch.column(name)[i] for name in batch.schema.names}))
+
+    return blocks.select("doc_ids", "ends", "numbers", "known", "begins", words.alias("folded")).mapInArrow(run, schema)
 
-def encode(documents: DataFrame, vocab: Vocabulary, block_bytes: int = BLOCK_BYTES, dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
-    """(doc_id, ids array<int>) of every whole text.
+
+def encode(documents: DataFrame, vocab: Vocabulary, block_bytes: int = BLOCK_BYTES, dictionary_words: int = DICTIONARY_WORDS, each: Each = lambda batch: batch, schema: str = "doc_id bigint, ids array<int>") -> DataFrame:
+    """(doc_id, ids array<int>) of every whole text; or what each makes of Arrow batches of these, as the schema says.
 
     Frequent words are folded once and their ids broadcast (at most dictionary_words entries); the
     other distinct words are folded block by block.
     """
-    spark = documents.sparkSession
     words = frequent_words(documents, vocab.pattern, dictionary_words)
-    listed = spark.createDataFrame(pa.table({"doc_id": pa.array(range(len(words)), pa.int64()), "text": words}))
-    got = _encoded(listed.repartition(32, "doc_id"), vocab, block_bytes).toArrow().sort_by("doc_id").column("ids").combine_chunks()
-    held = spark.sparkContext.broadcast((words, got.flatten().to_numpy(), np.cumsum([0, *got.value_lengths().to_pylist()]).tolist()))
-    return _encoded(documents, vocab, block_bytes, held)
+    listed = words.select(F.xxhash64("word").alias("doc_id"), F.col("word").alias("text")).repartition(32, "doc_id")
+    got = _encoded(listed, vocab, block_bytes, lambda batch: batch.select(["ids"]), "ids array<int>").toArrow().column("ids").combine_chunks()
+    values, sizes = got.flatten(), got.value_lengths()
+    held = documents.sparkSession.sparkContext.broadcast((values.to_numpy(zero_copy_only=False).astype(np.int32), sizes.to_numpy(zero_copy_only=False).astype(np.int32)))
+    release(words)
+    return _encoded(documents, vocab, block_bytes, each, schema, held)
+
+
+def decode_batch(ids: pa.ListArray, vocab: Vocabulary) -> list[bytes]:
+    """The bytes of each list of ids: their binary pieces, one after the other."""
+    pieces = vocab.pieces
+    piece = lambda i: pieces[i] if i is not None and 0 <= i < len(pieces) else b""
+    return [b"".join(map(piece, x.as_py() or ())) for x in ids]
+
 
+def decode(encoded: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(doc_id, decoded binary) of rows (doc_id, ids); null ids are none."""
+
+    def run(batches):
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decode_batch(batch.column(1), vocab), pa.binary())], names=["doc_id", "decoded"])
 
-def decode(ids: Column, vocab: Vocabulary) -> Column:
-    """The bytes of an array of ids: their pieces, one after the other."""
-    pieces = F.split(F.lit(",".join(p.hex() for p in vocab.pieces())), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, decoded binary")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +44,17 @@ def vocabulary() -> byte_bpe.Vocabulary:
 
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
-    vocab, ids = vocabulary(), F.col("ids")
-    return byte_bpe.encode(docs, vocab).select(
-        "doc_id",
-        F.size(ids).cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(byte_bpe.decode(ids, vocab), 256).alias("decoded_sha256"),
-    )
+    vocab = vocabulary()
+    digits = [str(i) for i in range(vocab.size)]
+
+    def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column(1)
+        listed = [hashlib.sha256(",".join([digits[i] for i in x.as_py()]).encode()).hexdigest() for x in ids]
+        decoded = [hashlib.sha256(x).hexdigest() for x in byte_bpe.decode_batch(ids, vocab)]
+        columns = [batch.column(0), ids.value_lengths().cast(pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return byte_bpe.encode(docs, vocab, each=digests, schema="doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

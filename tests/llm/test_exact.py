@@ -100,8 +100,28 @@ def test_bpe_round_trip(docs, corpus):
     rows = [(i, (t or "") and t + " it's 12ab!!  \n\n x y 🙂🙂 Straße aaaaaaaaaaaaaaaaaaa") for i, t in corpus]
     for more in ({}, {"block_bytes": 100, "dictionary_words": 5}):
         ids = byte_bpe.encode(docs(rows), vocab, **more)
-        got = sorted((r.doc_id or -1, list(r.ids), bytes(r.b).decode()) for r in ids.select("doc_id", "ids", byte_bpe.decode(ids["ids"], vocab).alias("b")).collect())
-        assert got == sorted((i or -1, other.encode_ordinary(t), t) for i, t in rows)
+        assert sorted((r.doc_id or -1, list(r.ids)) for r in ids.collect()) == sorted((i or -1, other.encode_ordinary(t)) for i, t in rows)
+        assert sorted((r.doc_id or -1, bytes(r.decoded).decode()) for r in byte_bpe.decode(ids, vocab).collect()) == sorted((i or -1, t) for i, t in rows)
+    odd = docs([]).sparkSession.createDataFrame([(1, [-1, 60000, None]), (2, None)], "doc_id bigint, ids array<int>")
+    assert [bytes(r.decoded) for r in byte_bpe.decode(odd, vocab).collect()] == [b"", b""]
+
+
+def test_registered_digests(spark):
+    """The registered query against another tokenizer library, over a whole table."""
+    from panelforge.llm import queries
+
+    path, data = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "/root/testdata/sf0.001"
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for r in queries.table(spark, data, "documents").collect():
+        ids = other.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), sha(",".join(map(str, ids)).encode()), sha((r.text or "").encode())))
+    got = queries.op3_byte_bpe(spark, data)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_empty_tables(docs, spark):
