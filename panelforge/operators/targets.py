@@ -28,12 +28,14 @@ def next_open_returns(panel: DataFrame) -> DataFrame:
 def path_metrics(panel: DataFrame, horizon: int) -> DataFrame:
     """Along the next horizon closes: return, worst return, largest fall, volatility and downside.
 
-    Null where the horizon isn't complete. The path of a row is an array of horizon + 1 closes.
+    Null where the horizon isn't complete, or a price on the path is null or not a positive number. The path of a row is
+    an array of horizon + 1 closes.
     """
     from panelforge.operators.features import max_drawdown_of
 
     path = F.collect_list("close").over(in_time().rowsBetween(0, horizon))
-    rows = panel.select("entity", "trade_date", path.alias("p")).withColumn("_ok", F.size("p") == horizon + 1)
+    rows = panel.select("entity", "trade_date", path.alias("p"))
+    rows = rows.withColumn("_ok", (F.size("p") == horizon + 1) & F.forall("p", lambda x: (x > 0) & (x < float("inf"))))
     rel = F.transform(F.slice("p", 2, horizon), lambda x: ratio(x, c("p")[0]) - 1)
     steps = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda i: ratio(F.get("p", i), F.get("p", i - 1)) - 1)
     ok = lambda x: F.when(c("_ok"), x)

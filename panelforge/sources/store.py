@@ -22,16 +22,24 @@ def dedupe(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(w)).where(c("_k") == 1).drop("_k")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """existing with incoming's rows in place of those with the same keys; null keys are keys too."""
+def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """existing with the columns of incoming's rows put into the rows with the same keys, and incoming's new rows added.
+
+    Columns that incoming lacks keep their values (null in new rows), so rows of keys alone change nothing where the key
+    exists. Of incoming rows with one key the first by order counts (by default the largest values); null keys are keys too.
+    """
     missing = [k for k in keys if k not in incoming.columns]
     if missing:
         raise ValueError(f"incoming lacks key columns {missing}")
-    same = [existing[k].eqNullSafe(incoming[k]) for k in keys]
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
-    return existing.join(incoming, condition, "left_anti").unionByName(incoming, allowMissingColumns=True)
+    new = dedupe(incoming, keys, order or [c(x).desc_nulls_last() for x in incoming.columns if x not in keys] or [c(keys[0])])
+    old, new = existing.withColumn("_old", F.lit(True)).alias("o"), new.withColumn("_new", F.lit(True)).alias("n")
+    same = F.lit(True)
+    for k in keys:
+        same = same & c(f"o.{k}").eqNullSafe(c(f"n.{k}"))
+    both = old.join(new, same, "full_outer")
+    value = {x: c(f"o.{x}") for x in existing.columns}
+    value |= {x: F.when(c("_new"), c(f"n.{x}")).otherwise(c(f"o.{x}") if x in value else F.lit(None)) for x in incoming.columns}
+    return both.select(*(v.alias(x) for x, v in value.items()))
 
 
 class Table:

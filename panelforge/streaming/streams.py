@@ -16,14 +16,18 @@ c = F.col
 
 
 def read_events(spark: SparkSession, path: str, schema, max_files: int = 8) -> DataFrame:
-    """A stream of the Parquet files that appear under path."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    """A stream of the Parquet files that appear under path; ts is a timestamp (watermarks take no other type)."""
+    return _timed(spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path))
+
+
+def _timed(events: DataFrame) -> DataFrame:
+    return events.withColumn("ts", c("ts").cast("timestamp"))
 
 
 def window_bars(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Tumbling bars per event type; rows later than the watermark are dropped by design of the stream."""
     key = F.struct("ts", "event_id")
-    out = events.withWatermark("ts", late).groupBy(F.window("ts", width), c("event_type").alias("entity")).agg(
+    out = _timed(events).withWatermark("ts", late).groupBy(F.window("ts", width), c("event_type").alias("entity")).agg(
         F.min_by("value", key).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", key).alias("close"), F.count(F.lit(1)).alias("volume"), F.sum("value").alias("amount"),
     )
     return out.select("entity", c("window.start").alias("start"), "open", "high", "low", "close", "volume", "amount")
@@ -31,7 +35,7 @@ def window_bars(events: DataFrame, width: str = "1 day", late: str = "2 days") -
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 days") -> DataFrame:
     """Sessions per user: events with no gap over the given one."""
-    out = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("value"))
+    out = _timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("value"))
     return out.select("user_id", c("s.start").alias("start"), c("s.end").alias("end"), "n_events", "value")
 
 
@@ -55,5 +59,5 @@ def filtered_stream(stream: DataFrame, column: str, model: GaussianStates) -> Da
         state.update((p.tolist(),))
         yield pd.DataFrame({"entity": key[0], "ts": pdf["ts"], "state": out})
 
-    keyed = stream.select(c("event_type").alias("entity"), "ts", column)
+    keyed = _timed(stream).select(c("event_type").alias("entity"), "ts", column)
     return keyed.groupBy("entity").applyInPandasWithState(run, "entity string, ts timestamp, state int", "p array<double>", "append", "NoTimeout")

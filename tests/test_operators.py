@@ -193,3 +193,37 @@ def test_bars_and_ranking(spark, day):
     assert (got.open, got.close, got.high, got.low, got.volume) == (5.0, 7.0, 7.0, 5.0, 3.0)
     assert ranking.latest(t.select("e", "d", "p"), "e", "d").first().p == 6.0
     assert t.select(pct(F.col("p"), 1, __import__("pyspark").sql.Window.orderBy("i")).alias("r")).count() == 3
+
+
+def test_upsert_keeps_what_is_not_given(spark):
+    old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k int, v string, w double")
+    part = store.upsert(old, spark.createDataFrame([(2, 9.0), (3, 3.0), (3, 4.0)], "k int, w double"), ["k"])
+    assert part.columns == ["k", "v", "w"] and sorted(map(tuple, part.collect())) == [(1, "a", 1.0), (2, "b", 9.0), (3, None, 4.0)]
+    keys = store.upsert(old, spark.createDataFrame([(2,), (4,)], "k int"), ["k"])
+    assert sorted(map(tuple, keys.collect())) == [(1, "a", 1.0), (2, "b", 2.0), (4, None, None)]
+    assert sorted(map(tuple, store.upsert(old, old.limit(0), ["k"]).collect())) == [(1, "a", 1.0), (2, "b", 2.0)]
+
+
+def test_path_needs_positive_prices(spark, day):
+    closes = [5.0, 6.0, 4.0, 0.0, 5.0, 7.0, float("nan"), 3.0]
+    df = spark.createDataFrame([("a", day(i), x) for i, x in enumerate(closes)], "entity string, trade_date date, close double")
+    got = [r.future_mae for r in targets.path_metrics(df, 2).orderBy("trade_date").collect()]
+    assert [x is None for x in got] == [False, *[True] * 7] and abs(got[0] - (4 / 5 - 1)) < 1e-12
+
+
+def test_streamed_states_and_upserts(spark, sf_dir, tmp_path):
+    from panelforge.streaming import streams
+
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet").where("value is not null")
+    batch.repartition(2).write.parquet(f"{tmp_path}/in")
+    events = streams.read_events(spark, f"{tmp_path}/in", batch.schema, 1)
+    table = store.Table(spark, f"{tmp_path}/table", ["event_id"])
+    q = streams.upsert_sink(events.select("event_id", "value"), table, f"{tmp_path}/cp1")
+    q.processAllAvailable()
+    q.stop()
+    assert table.read().count() == batch.select("event_id").distinct().count()
+    model = models.GaussianStates(np.array([0.5, 0.5]), np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([[0.0], [50.0]]), np.array([[100.0], [100.0]]))
+    q = streams.filtered_stream(events, "value", model).writeStream.outputMode("append").format("memory").queryName("states_t").option("checkpointLocation", f"{tmp_path}/cp2").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.sql("select count(*), min(state), max(state) from states_t").first()[0] == batch.count()
