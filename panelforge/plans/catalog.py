@@ -634,17 +634,21 @@ def portfolio_curve(spark, sf_dir):
     return rounded(backtest.simulate(p, events, 0.001))
 
 
-@query(BACKTEST_SQL + ", t AS (SELECT avg(gross) AS g, avg(turnover) AS v, sum(turnover) AS s FROM cu) SELECT CAST(k AS DOUBLE) / 1000 AS cost, round(g - v * k / 1000, 8) + 0.0 AS mean_net, round(s, 6) AS turnover FROM (SELECT unnest([0, 1, 3]) AS k, g, v, s FROM t)")
+@query(BACKTEST_SQL + """, g AS (SELECT unnest([0, 1, 3]) AS k), n AS (SELECT k, gross - turnover * k / 1000 AS net, turnover FROM cu, g)
+  SELECT CAST(k AS DOUBLE) / 1000 AS cost, round(ln(product(1 + net)), 6) + 0.0 AS log_total_return, round(avg(net), 8) + 0.0 AS mean_net, round(sum(turnover), 6) AS turnover FROM n GROUP BY k""")
 def cost_sensitivity(spark, sf_dir):
     p, events = _rebalanced(spark, sf_dir)
     grid = backtest.cost_grid(backtest.simulate(p, events, 0.0), [0.0, 0.001, 0.003])
-    return grid.select("cost", (F.round("mean_net", 8) + 0.0).alias("mean_net"), F.round("turnover", 6).alias("turnover"))
+    return grid.select("cost", (F.round(F.log1p("total_return"), 6) + 0.0).alias("log_total_return"), (F.round("mean_net", 8) + 0.0).alias("mean_net"), F.round("turnover", 6).alias("turnover"))
 
 
-@query(BACKTEST_SQL + " SELECT count(*) AS n_days, round(avg(net) * sqrt(252) / nullif(stddev_pop(net), 0), 5) AS sharpe, round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(sum(turnover), 6) AS turnover FROM cu")
+@query(BACKTEST_SQL + """, nv AS (SELECT *, product(1 + net) OVER (ORDER BY trade_date) AS nav FROM cu), dd AS (SELECT *, nav / nullif(max(nav) OVER (ORDER BY trade_date), 0) - 1 AS d FROM nv),
+  s AS (SELECT count(*) AS n_days, power(arg_max(nav, trade_date), 252.0 / count(*)) - 1 AS annual, min(d) AS fall, avg(net) * sqrt(252) / nullif(stddev_pop(net), 0) AS sharpe, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS win, sum(turnover) AS turnover FROM dd)
+  SELECT n_days, round(annual, 5) AS annual_return, round(fall, 6) AS max_drawdown, round(sharpe, 5) AS sharpe, round(annual / nullif(-fall, 0), 5) AS calmar, round(win, 6) AS win_rate, round(turnover, 6) AS turnover FROM s""")
 def portfolio_metrics(spark, sf_dir):
     p, events = _rebalanced(spark, sf_dir)
-    return backtest.metrics(backtest.simulate(p, events, 0.001)).select("n_days", F.round("sharpe", 5).alias("sharpe"), F.round("win_rate", 6).alias("win_rate"), F.round("turnover", 6).alias("turnover"))
+    m = backtest.metrics(backtest.simulate(p, events, 0.001))
+    return m.select("n_days", F.round("annual_return", 5).alias("annual_return"), F.round("max_drawdown", 6).alias("max_drawdown"), F.round("sharpe", 5).alias("sharpe"), F.round("calmar", 5).alias("calmar"), F.round("win_rate", 6).alias("win_rate"), F.round("turnover", 6).alias("turnover"))
 
 
 @query()
