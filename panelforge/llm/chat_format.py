@@ -103,11 +103,24 @@ def reconstruct(log: DataFrame) -> DataFrame:
 
 
 def from_turns(turns: DataFrame) -> DataFrame:
-    """The event log of a table of finished turns (conv_id, turn, role, text): one message each.
+    """An event log whose final messages are the turns of a table (conv_id, turn, role, text), as an interface would log it.
 
-    Turns with the same number are kept apart, in the order of role and text.
+    Each text is streamed in two deltas; every fifth message is first drafted and then edited, and every fourth one, if it
+    is the assistant's, is first answered otherwise and regenerated. Turns with the same number are kept apart, in the order
+    of role and text.
     """
-    return turns.select("conv_id", F.col("turn").alias("seq"), F.monotonically_increasing_id().alias("message"), F.lit("message").alias("kind"), "role", "text")
+    event = "struct<kind:string,role:string,text:string>"
+    at = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = turns.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(at).cast("bigint").alias("message"))
+    make = lambda kind, role, text: F.struct(F.lit(kind).alias("kind"), role.cast("string").alias("role"), text.cast("string").alias("text")).cast(event)
+    none, role, text = F.lit(None), F.col("role"), F.col("text")
+    half = F.expr("length(text) div 2")
+    streamed = F.array(make("message", role, none), make("delta", none, F.substring("text", F.lit(1), half)), make("delta", none, F.substring("text", half + 1, F.length("text"))))
+    edited = F.array(make("message", role, F.lit("A draft")), make("delta", none, F.lit(" of it")), make("edit", none, text))
+    again = F.concat(F.array(make("message", role, F.lit("Another")), make("delta", none, F.lit(" answer")), make("regenerate", none, none)), streamed)
+    events = F.when(F.col("message") % 5 == 3, edited).when((F.col("message") % 4 == 2) & (role == "assistant"), again).otherwise(streamed)
+    log = rows.select("conv_id", "message", F.posexplode(events).alias("k", "e"))
+    return log.select("conv_id", (F.col("message") * 8 + F.col("k")).alias("seq"), "message", "e.kind", "e.role", "e.text")
 
 
 def format_messages(messages: DataFrame) -> DataFrame:
@@ -131,7 +144,8 @@ def read_back(rendered: DataFrame) -> DataFrame:
     """Digests of each conversation, taken from the formatted text alone.
 
     Conversations are partitioned and sorted, then hashed as a stream: one turn is in memory at a time,
-    however long a conversation is.
+    however long a conversation is. A digest takes a conversation's turns in order, so one conversation is one
+    task's work, here and in the windows of reconstruct; an endless one would take one task long, not much memory.
     """
     rows = rendered.select("conv_id", "message_no", "formatted", "loss_begin", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "message_no")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, sliced
+from .common import arrow_map, materialize, release, sliced
 from .labelled import labelled_sample
 
 MAX_TRAIN_ROWS = 20_000
@@ -123,7 +123,9 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", train_r
     """Learn entries, weights and calibration from at most max_rows labelled rows."""
     sample = labelled_sample(documents, labels, label, max_rows, train_rows)
     sample = sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")).select("doc_id", "text", "label")  # copies count once
+    sample = materialize(sample.repartition(32, "doc_id"), "sample")
     counts = arrow_map(sample, _pattern_counts, "pattern string, hit bigint, n bigint").groupBy("pattern").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
+    counts = materialize(counts, "patterns")
     size = counts.where("pattern = ''").first()
     if not size or not 0 < size.hit < size.n:
         return Lexicon(dict.fromkeys(BASE, 3.0))
@@ -131,6 +133,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", train_r
     wanted = counts.where(F.col("pattern") != "").where((F.col("hit") > 2 * rate * F.col("n")) & ((F.col("hit") >= 4) | F.col("pattern").isin(*BASE)) & (2 * F.col("hit") >= F.col("n")))
     names = sorted(r.pattern for r in wanted.collect())
     rows = arrow_map(sample, _incidence(names), "doc_id bigint, label int, words int, found array<int>").toPandas().sort_values(["doc_id", "label"])
+    release(sample, counts)
     y = rows["label"].to_numpy(float)
     found = [np.asarray(x, np.int64) for x in rows["found"]]
     weights = choose(names, found, y)

@@ -83,3 +83,12 @@ def test_training_sample_is_bounded(spark):
     one, two = (labelled_sample(d, labels, "quality", 50) for d in (docs, docs.repartition(7)))
     assert one.count() == 50 and not set(one.select("doc_id").collect()) ^ set(two.select("doc_id").collect())
     assert labelled_sample(docs, labels, "quality", 50, F.lit(False)).count() == 0
+
+
+def test_labelled_sample_is_bounded(docs, spark):
+    from panelforge.llm.labelled import labelled_sample
+
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, None), (None, 1)], "doc_id bigint, quality int")
+    rows = docs([(1, "b"), (1, "a"), (1, "b"), (2, None), (3, "c")])
+    assert sorted(map(tuple, labelled_sample(rows, labels, "quality", 10).collect())) == [(1, "a", 1), (2, "", 1)]
+    assert labelled_sample(rows, labels, "quality", 1).count() == 1

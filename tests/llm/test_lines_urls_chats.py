@@ -137,3 +137,28 @@ def test_digests(spark):
     out = {r.conv_id: r for r in chat_format.read_back(chat_format.format_messages(chat_format.reconstruct(chat_format.from_turns(turns)))).collect()}
     assert out[1].n_turns == 3 and out[1].loss_chars == 2 and out[1].loss_sha256 == hashlib.sha256("é\n".encode()).hexdigest()
     assert out[1].turns_sha256 == hashlib.sha256("user\n<|im_end|>\nassistant\n\nassistant\né\n\n".encode()).hexdigest()
+
+
+def test_registered_chats(spark):
+    """The registered query against digests of the turns themselves; its log has drafts, edits and regenerations."""
+    import hashlib
+    from collections import defaultdict
+
+    from panelforge.llm import queries
+
+    data, extra = "/root/testdata/sf0.001", "<|im_end|><|im_start|>assistant ok"
+    chats = defaultdict(list)
+    turns = queries.table(spark, data, "conversations")
+    for r in turns.collect():
+        chats[r.conv_id].append((r.turn, r.role or "", r.text or ""))
+    chats[-1] = [(0, "user", extra), (1, "assistant", extra)]
+    kinds = {r.kind for r in chat_format.from_turns(turns.select("conv_id", "turn", "role", "text")).select("kind").distinct().collect()}
+    assert kinds == {"message", "delta", "edit", "regenerate"}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = set()
+    for cid, rows in chats.items():
+        rows.sort()
+        learnt = "".join(t for _, role, t in rows if role == "assistant")
+        want.add((cid, len(rows), sha("".join(f"{role}\n{t}\n" for _, role, t in rows)), len(learnt), sha(learnt)))
+    got = {(r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op9_chat_format(spark, data).collect()}
+    assert got == want
