@@ -30,7 +30,7 @@ THRESHOLD = 80
 #: Bytes of a signature window, the bytes that windows of first rank begin with, and how many hashes make the bands.
 WINDOW = 11
 SAMPLED = [b for b in range(256) if b % 8 == 2]
-BOTTOM = 5
+BOTTOM = 6
 #: Lines of at most SHORT_TO distinct shingles have bands of these, lines of at least DENSE_FROM characters have bands
 #: of signature windows. Lines under DENSE_FROM have under 12 shingles; whatever may link to one has under 14.
 SHORT_TO, DENSE_FROM = 15, 11 + SHINGLE
