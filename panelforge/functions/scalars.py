@@ -53,3 +53,15 @@ def row_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: number of rows and an order-independent digest of the given columns, by aggregation."""
     h = F.xxhash64(*columns)
     return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s")).select("n", F.sha2(F.concat_ws("|", "n", "x", "s"), 256).alias("digest"))
+
+
+def canonical_json(names: list[str], types: dict[str, str] | None = None) -> Column:
+    """JSON of the named columns with sorted keys and no blanks; nulls stay, and NaN (of columns typed double or float) is null."""
+    floats = {"double", "float"}
+    value = lambda n: F.when(~F.isnan(n), F.col(n)) if (types or {}).get(n) in floats else F.col(n)
+    return F.to_json(F.struct(*(value(n).alias(n) for n in sorted(names))), {"ignoreNullFields": "false"})
+
+
+def lineage_key(names: list[str], types: dict[str, str] | None = None) -> Column:
+    """First 32 hex digits of the SHA-256 of the canonical JSON."""
+    return F.substring(F.sha2(canonical_json(names, types), 256), 1, 32)

@@ -43,6 +43,16 @@ def weight_changes(events: DataFrame) -> DataFrame:
     return rows.withColumn("change", F.abs(c("weight") - before)).drop("_i")
 
 
+def _calendar(panel: DataFrame, events: DataFrame) -> DataFrame:
+    """Dates with their turnover, the last event before the date (exec_date) and the last one up to it (_any)."""
+    turnover = weight_changes(events).groupBy("exec_date").agg(F.sum("change").alias("turnover"))
+    days = panel.select("trade_date").distinct().join(turnover.withColumnRenamed("exec_date", "trade_date"), "trade_date", "left")
+    past = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.when(c("turnover").isNotNull(), c("trade_date"))
+    return days.select("trade_date", F.coalesce("turnover", F.lit(0.0)).alias("turnover"), F.last(mark, ignorenulls=True).over(past).alias("exec_date"), F.last(mark, ignorenulls=True).over(upto).alias("_any"))
+
+
 def simulate(panel: DataFrame, events: DataFrame, cost: float) -> DataFrame:
     """Daily portfolio returns: close to close on the weights of the last event before the day.
 
@@ -50,19 +60,33 @@ def simulate(panel: DataFrame, events: DataFrame, cost: float) -> DataFrame:
     cost on its date. The weights in force on a date are found by an as-of window over the calendar, so
     the panel is joined by equality only.
     """
-    changes = weight_changes(events)
-    turnover = changes.groupBy("exec_date").agg(F.sum("change").alias("turnover"))
-    days = panel.select("trade_date").distinct().join(turnover.withColumnRenamed("exec_date", "trade_date"), "trade_date", "left")
-    past = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.when(c("turnover").isNotNull(), c("trade_date"))
-    days = days.select("trade_date", F.coalesce("turnover", F.lit(0.0)).alias("turnover"), F.last(mark, ignorenulls=True).over(past).alias("exec_date"), F.last(mark, ignorenulls=True).over(upto).alias("_any"))
+    days = _calendar(panel, events)
     r = panel.select("entity", "trade_date", F.coalesce(pct(c("close"), 1), F.lit(0.0)).alias("_r"))
     gross = days.join(events, "exec_date").join(r, ["entity", "trade_date"]).groupBy("trade_date").agg(F.sum(c("weight") * c("_r")).alias("gross"))
     out = days.where("_any is not null").join(gross, "trade_date", "left").withColumn("gross", F.coalesce("gross", F.lit(0.0)))
     return out.select("trade_date", "gross", "turnover", (c("gross") - c("turnover") * cost).alias("net"))
 
 
+def simulate_open(panel: DataFrame, events: DataFrame, cost: float, entry_day: bool = False) -> DataFrame:
+    """Daily portfolio returns of trades at the open: overnight on the old weights, cost, then the day.
+
+    The day of an event is held on the old weights too, unless entry_day takes the new ones from its open
+    to its close. A missing return is zero; the curve starts at the first event.
+    """
+    days = _calendar(panel, events)
+    gap = ratio(c("open"), F.lag("close").over(Window.partitionBy("entity").orderBy("trade_date"))) - 1
+    r = panel.select("entity", "trade_date", F.coalesce(gap, F.lit(0.0)).alias("_gap"), F.coalesce(ratio(c("close"), c("open")) - 1, F.lit(0.0)).alias("_day"))
+
+    def held(on: str, value: str, name: str) -> DataFrame:
+        weights = days.select("trade_date", c(on).alias("exec_date")).join(events, "exec_date")
+        return weights.join(r, ["entity", "trade_date"]).groupBy("trade_date").agg(F.sum(c("weight") * c(value)).alias(name))
+
+    night, day = held("exec_date", "_gap", "overnight"), held("_any" if entry_day else "exec_date", "_day", "intraday")
+    out = days.where("_any is not null").join(night, "trade_date", "left").join(day, "trade_date", "left").na.fill(0.0, ["overnight", "intraday"])
+    both = (1 + c("overnight")) * (1 + c("intraday"))
+    return out.select("trade_date", "overnight", "intraday", (both - 1).alias("gross"), "turnover", (both * (1 - c("turnover") * cost) - 1).alias("net"))
+
+
 def nav(curve: DataFrame) -> DataFrame:
     """Net asset value and drawdown from its running maximum."""
     w = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)

@@ -135,3 +135,94 @@ def downshift(df: DataFrame, score: str, ret: str) -> DataFrame:
     rows = df.where(c(score).isNotNull() & c(ret).isNotNull()).crossJoin(F.broadcast(q))
     exposure = F.when(c(score) >= c("_q")[1], 0.5).when(c(score) >= c("_q")[0], 0.75).otherwise(1.0)
     return rows.groupBy("trade_date").agg(F.avg(ret).alias("full"), F.avg(c(ret) * exposure).alias("cut"), F.avg(exposure).alias("exposure"))
+
+
+#: Warning levels that make an episode, from mild to severe.
+WARNINGS = ["watch", "elevated", "high"]
+
+
+def warning_episodes(levels: DataFrame, gap_days: int = 7) -> DataFrame:
+    """Runs of dates (trade_date, level, drivers) with a warning: span, dates by level, peak, first drivers.
+
+    A run ends at a date without a warning, and where two neighbouring dates lie more than gap_days apart.
+    """
+    w = Window.orderBy("trade_date")
+    warns = c("level").isin(WARNINGS)
+    joins = F.lag(warns).over(w) & (F.date_diff("trade_date", F.lag("trade_date").over(w)) <= gap_days)
+    rows = levels.withColumn("_on", warns).withColumn("_new", (warns & ~F.coalesce(joins, F.lit(False))).cast("bigint"))
+    rows = rows.withColumn("episode", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_last", F.max("trade_date").over(Window.partitionBy())).where("_on")
+    peak = F.max(F.array_position(F.array(*map(F.lit, WARNINGS)), c("level")))
+    return rows.groupBy("episode").agg(
+        F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"), F.count(F.lit(1)).alias("n_dates"), peak.alias("severity"),
+        *(F.count_if(c("level") == x).alias(f"n_{x}") for x in WARNINGS), F.min_by("drivers", "trade_date").alias("first_drivers"), (F.max("trade_date") == F.max("_last")).alias("active"),
+    ).withColumn("peak", F.array(*map(F.lit, WARNINGS))[(c("severity") - 1).cast("int")])
+
+
+def idiosyncratic_episodes(events: DataFrame, blocks: DataFrame, gap: int) -> DataFrame:
+    """An entity's event episodes (dates at most gap rows apart), and whether they overlap a market block.
+
+    Blocks are disjoint, so an episode overlaps one if the last block begun by its end reaches its start:
+    an as-of window over the calendar and an equality join, no join on intervals.
+    """
+    w = Window.partitionBy("entity").orderBy("trade_date")
+    ok = events.where("event is not null")
+    rows = ok.withColumn("_pos", F.row_number().over(w)).where("event")
+    new = F.coalesce(c("_pos") - F.lag("_pos").over(w) > gap, F.lit(True)).cast("bigint")
+    rows = rows.withColumn("_new", new).withColumn("episode", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    found = rows.groupBy("entity", "episode").agg(F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"), F.count(F.lit(1)).alias("n_dates"))
+    days = ok.select("trade_date").distinct().join(blocks.select(c("start_date").alias("trade_date"), c("end_date").alias("_end")), "trade_date", "left")
+    days = days.select(c("trade_date").alias("end_date"), F.last("_end", ignorenulls=True).over(Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)).alias("_reach"))
+    return found.join(days, "end_date").select("entity", "episode", "start_date", "end_date", "n_dates", F.coalesce(c("_reach") >= c("start_date"), F.lit(False)).alias("in_market_block"))
+
+
+def event_evidence(events: DataFrame, blocks: DataFrame, episodes: DataFrame, discounts: list[float]) -> DataFrame:
+    """One row: labelled rows, events, market blocks, episodes outside them, evidence at discounts, verdict at the first."""
+    e = events.agg(F.count("event").alias("n_labelled"), F.count_if(c("event")).alias("n_events"))
+    b, i = blocks.agg(F.count(F.lit(1)).alias("n_blocks")), episodes.agg(F.count_if(~c("in_market_block")).alias("n_idiosyncratic"))
+    one = e.crossJoin(b).crossJoin(i)  # one row each
+    one = one.select("*", *((c("n_blocks") + c("n_idiosyncratic") * d).alias(f"evidence_{round(100 * d)}") for d in discounts))
+    at = c(f"evidence_{round(100 * discounts[0])}")
+    short = F.when(c("n_events") > 0, "drop").otherwise("short_history")
+    return one.withColumn("verdict", F.when(c("n_labelled") == 0, "short_history").when(at < 5, short).when((at < 10) | (c("n_blocks") < 2), "diagnostic").otherwise("eligible"))
+
+
+def state_spreads(df: DataFrame, value: str, pairs: list[tuple[str, str]], rounds: int = 200, seed: int = 42) -> DataFrame:
+    """Mean and median of value under one label less another's, with a bootstrap of whole dates.
+
+    Dates with both labels are drawn with replacement: draw i of round r takes the date numbered by a hash
+    of (seed, r, i), so draws are rows that Spark deals out, the same on any partitioning. The interval
+    holds 95 % of the rounds' differences of means; p_not_above is the share at zero or below.
+    """
+    ok = df.where(c(value).isNotNull() & c("label").isNotNull())
+    found = None
+    for left, right in pairs:
+        side = lambda x: F.when(c("label") == x, c(value))
+        name = F.lit(f"{left}-{right}").alias("spread")
+        whole = ok.agg(
+            F.count(side(left)).alias("n_left"), F.count(side(right)).alias("n_right"), (F.avg(side(left)) - F.avg(side(right))).alias("mean"),
+            (F.percentile(side(left), F.lit(0.5)) - F.percentile(side(right), F.lit(0.5))).alias("median"),
+        )
+        day = ok.groupBy("trade_date").agg(F.sum(side(left)).alias("_ls"), F.count(side(left)).alias("_ln"), F.sum(side(right)).alias("_rs"), F.count(side(right)).alias("_rn"))
+        day = day.where("_ln > 0 and _rn > 0").withColumn("_k", F.row_number().over(Window.orderBy("trade_date")) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+        digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), c("_r").cast("string"), c("_k").cast("string"))), 1, 8)
+        draws = day.select("_k", "_n", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_r")).select("_r", (F.conv(digits, 16, 10).cast("bigint") % c("_n")).alias("_k"))
+        per = draws.join(day.drop("_n"), "_k").groupBy("_r").agg((F.sum("_ls") / F.sum("_ln") - F.sum("_rs") / F.sum("_rn")).alias("_d"))
+        drawn = per.agg(F.percentile("_d", F.lit(0.025)).alias("low"), F.percentile("_d", F.lit(0.975)).alias("high"), F.avg((c("_d") <= 0).cast("double")).alias("p_not_above"))
+        row = whole.crossJoin(drawn).select(name, "*")  # one row each
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+def score_metrics(df: DataFrame, p: str, label: str, *keys: str) -> DataFrame:
+    """Brier score, average precision (ties at one threshold together) and Spearman correlation, per key."""
+    ok = df.where(c(p).isNotNull() & c(label).isNotNull()).select(*keys, c(p).alias("_p"), c(label).cast("int").alias("_y"))
+    ranked = ok.withColumn("_a", average_rank(c("_p"), *keys)).withColumn("_b", average_rank(c("_y"), *keys))
+    plain = ranked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg((c("_p") - c("_y")) * (c("_p") - c("_y"))).alias("brier"),
+        ratio(F.covar_pop("_a", "_b"), F.stddev_pop("_a") * F.stddev_pop("_b")).alias("spearman"),
+    )
+    w = Window.partitionBy(*keys).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = ok.groupBy(*keys, "_p").agg(F.sum("_y").alias("_pos"), F.count(F.lit(1)).alias("_n"))
+    steps = steps.select(*keys, "_pos", (F.sum("_pos").over(w) / F.sum("_n").over(w)).alias("_precision"))
+    ap = steps.groupBy(*keys).agg(ratio(F.sum(c("_pos") * c("_precision")), F.sum("_pos").cast("double")).alias("average_precision"))
+    return plain.join(ap, list(keys)).select(*keys, "n", "brier", "average_precision", "spearman")

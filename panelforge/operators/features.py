@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.panel import in_time, islands, pct, ratio, rolling, zscore
+from panelforge.panel import average_rank, in_time, islands, pct, ratio, rolling, zscore
 
 c = F.col
 
@@ -196,3 +196,39 @@ def range_reliability(panel: DataFrame, least: float = 0.95) -> DataFrame:
     from panelforge.operators.quality import consistent
 
     return panel.groupBy("entity").agg(F.avg(consistent().cast("double")).alias("valid_rate")).withColumn("usable", c("valid_rate") >= least)
+
+
+def signal_baseline(panel: DataFrame, windows: tuple[int, ...] = (20, 60)) -> DataFrame:
+    """Per entity, over its last n returns: volatility, downside deviation and share, share of falling days; volatility's rank.
+
+    Rows without a close don't count. A volatility needs min(10, n) returns; volatility_rank is the average
+    rank of the first window's, as a share of the entities that have one.
+    """
+    rows = panel.where(c("close").isNotNull()).withColumn("_r", pct(c("close"), 1))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("trade_date")))).where(c("_k") <= max(windows))
+    aggs = [F.max("trade_date").alias("trade_date")]
+    for n in windows:
+        x = F.when(c("_k") <= n, c("_r"))
+        fall = F.least(x, F.lit(0.0))
+        aggs += [
+            F.when(F.count(x) >= max(2, min(10, n)), F.stddev_pop(x) * math.sqrt(n)).alias(f"vol_{n}"), F.sqrt(F.avg(F.when(x.isNotNull(), fall * fall))).alias(f"downside_{n}"),
+            ratio(F.sqrt(F.avg(F.when(x.isNotNull(), fall * fall))), F.stddev_pop(x)).alias(f"downside_share_{n}"), F.avg((x < 0).cast("double")).alias(f"falling_share_{n}"),
+        ]
+    out = rows.groupBy("entity").agg(*aggs)
+    first = c(f"vol_{windows[0]}")
+    return out.withColumn("volatility_rank", average_rank(first) / F.count(first).over(Window.partitionBy()))
+
+
+def usable_columns(features: DataFrame, suffixes: tuple[str, ...], least: int = 20) -> DataFrame:
+    """(column, n) of the columns with one of the endings and at least so many values, in one aggregation."""
+    names = [x for x in features.columns if x.endswith(suffixes)]
+    counts = features.agg(*(F.count(x).alias(x) for x in names))
+    rows = counts.select(F.explode(F.array(*(F.struct(F.lit(x).alias("column"), c(x).alias("n")) for x in names))).alias("_x")).select("_x.*")
+    return rows.where(c("n") >= least)
+
+
+def outer_by_date(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Frames of one row a date side by side: every date of any of them, null where a frame lacks it."""
+    for other in others:
+        first = first.join(other, "trade_date", "full")
+    return first

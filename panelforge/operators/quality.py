@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.panel import ratio
+
 c = F.col
 
 
@@ -47,3 +51,48 @@ def coverage(panel: DataFrame, listing: DataFrame) -> DataFrame:
     share = F.try_divide(c("n").cast("double"), c("expected"))
     status = F.when(share < 0.4, "fail").when(share < 0.8, "warn").otherwise("ok")
     return marks.where("n is not null").select(c("d").alias("trade_date"), "expected", c("n").alias("actual"), share.alias("coverage"), status.alias("status"))
+
+
+def data_audit(panel: DataFrame, features: list[str]) -> DataFrame:
+    """One row over a panel: span, counts, repeated keys, bad and missing prices, days per entity, missing shares.
+
+    Rows are counted per key first, so no distinct count holds a set; the rest adds up these counts.
+    """
+    bad = lambda x: F.count_if(c(x) <= 0).alias(f"non_positive_{x}")
+    whole = functools.reduce(lambda a, b: a & b, (c(f).isNotNull() for f in features))
+    one = panel.agg(
+        F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"), F.count(F.lit(1)).alias("n_rows"), bad("open"), bad("close"),
+        *(F.count_if(c(x).isNull()).alias(f"missing_{x}") for x in ("open", "close", "amount")), F.count_if(whole).alias("n_complete"),
+        *(F.avg(c(f).isNull().cast("double")).alias(f"missing_share_{f}") for f in features),
+    )
+    per = panel.groupBy("entity", "trade_date").agg(F.count(F.lit(1)).alias("_k")).groupBy("entity").agg(F.count(F.lit(1)).alias("_days"), F.sum(c("_k") - 1).alias("_repeats"))
+    p = lambda q, name: F.percentile("_days", F.lit(q)).alias(name)
+    entities = per.agg(F.count(F.lit(1)).alias("n_entities"), F.sum("_repeats").alias("n_repeats"), p(0.1, "days_p10"), p(0.5, "days_median"), p(0.9, "days_p90"))
+    dates = panel.select("trade_date").distinct().agg(F.count(F.lit(1)).alias("n_dates"))
+    return one.crossJoin(entities).crossJoin(dates)  # one row each
+
+
+def breadth_coverage(breadth: DataFrame) -> DataFrame:
+    """Coverage columns made uniform: known modes only, ratios filled from older columns, and whether usable.
+
+    Takes (mode, coverage_ratio, full_ratio, local_ratio, effective, total, level); a day is usable if the
+    whole market is meant, by mode and level, and at least 0.8 of it is there.
+    """
+    mode = F.trim("mode")
+    out = breadth.withColumn("mode", F.when(mode.isin("full_market", "local_sample"), mode).otherwise("unknown"))
+    out = out.withColumn("full_ratio", F.when(c("mode") == "full_market", F.coalesce("full_ratio", "coverage_ratio")).otherwise(c("full_ratio")))
+    derived = ratio(c("effective").cast("double"), c("total"))
+    out = out.withColumn("local_ratio", F.when(c("mode") == "local_sample", F.coalesce(c("local_ratio"), c("coverage_ratio"), derived)).otherwise(c("local_ratio")))
+    usable = (c("mode") == "full_market") & (c("level") == "full_market") & (c("full_ratio") >= 0.8)
+    return out.withColumn("usable", F.coalesce(usable, F.lit(False)))
+
+
+def cache_audit(cache: DataFrame, keys: list[str], upto: list[str], metadata: list[str]) -> DataFrame:
+    """One row over cached states: rows, keys, repeats, dates used after trade_date, missing metadata."""
+    per = cache.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_k"), *(F.count_if(c(x) > c("trade_date")).alias(f"_late_{x}") for x in upto), *(F.count_if(c(x).isNull()).alias(f"_none_{x}") for x in metadata),
+    )
+    return per.agg(
+        F.sum("_k").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"), F.sum(c("_k") - 1).alias("n_repeats"),
+        *(F.sum(f"_late_{x}").alias(f"late_{x}") for x in upto), *(F.sum(f"_none_{x}").alias(f"missing_{x}") for x in metadata),
+    )

@@ -129,3 +129,72 @@ def transition_validation(segments: DataFrame, split: float = 0.6) -> DataFrame:
     mode = counts.groupBy("label").agg(F.max(F.struct("n", "next_label")).alias("_t")).select("label", c("_t.next_label").alias("predicted"))
     late = rows.where("not early").join(mode, "label", "left")
     return late.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(c("predicted") == c("next_label"), F.lit(False)).cast("double")).alias("accuracy"))
+
+
+def exit_dataset(states: DataFrame, horizons: list[int], cutoff: str | None = None) -> DataFrame:
+    """A row per state row and horizon: does the label change within so many rows, as far as is observed?
+
+    An exit is the next row with another label that isn't null; rows without a label count as time. What
+    lies after the cutoff (the last date of all, if none is given) isn't observed. Status is positive,
+    negative, censored_by_cutoff, censored_by_run_end or missing_state; only the first two have weight.
+    """
+    w, back = in_time(), Window.partitionBy("entity").orderBy(F.desc("trade_date")).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last("label", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = states.select("entity", "trade_date", "label", F.row_number().over(w).alias("_pos"), F.max("trade_date").over(Window.partitionBy("entity")).alias("_run_end"), before.alias("_before"))
+    mark = F.when(c("label") != c("_before"), F.struct("_pos", "trade_date", "label"))
+    rows = rows.withColumn("_exit", F.when(c("label").isNotNull(), F.last(mark, ignorenulls=True).over(back)))
+    if cutoff is None:
+        rows = rows.crossJoin(F.broadcast(states.agg(F.max("trade_date").alias("_cutoff"))))  # one row
+    else:
+        rows = rows.withColumn("_cutoff", F.lit(cutoff).cast("date"))
+
+    def target(h: int):
+        end = F.lead("trade_date", h).over(w)
+        seen = F.least(F.coalesce(end, c("_run_end")), c("_cutoff"))
+        cut = c("_cutoff") < F.coalesce(end, c("_run_end"))
+        hit = F.coalesce((c("_exit._pos") - c("_pos") <= h) & (c("_exit.trade_date") <= seen), F.lit(False))
+        status = F.when(c("label").isNull(), "missing_state").when(hit, "positive").when(end.isNotNull() & ~cut, "negative").when(cut, "censored_by_cutoff").otherwise("censored_by_run_end")
+        return F.struct(F.lit(h).cast("bigint").alias("horizon"), status.alias("status"), F.when(c("label").isNull(), c("trade_date")).otherwise(seen).alias("observed_until"))
+
+    rows = rows.select("entity", "trade_date", "label", c("_exit.label").alias("next_label"), c("_exit.trade_date").alias("exit_date"), F.array(*map(target, horizons)).alias("_t"))
+    rows = rows.withColumn("_t", F.explode("_t")).select("entity", "trade_date", "label", "next_label", "exit_date", "_t.*")
+    value = F.when(c("status") == "positive", 1).when(c("status") == "negative", 0).cast("bigint")
+    return rows.withColumn("exit_within", value).withColumn("weight", F.when(value.isNotNull(), 1.0).otherwise(0.0))
+
+
+def age_stability(states: DataFrame, most: float = 0.05) -> DataFrame:
+    """Falls of (entity, trade_date, label, checkpoint, age) within one label, per entity and over all (``__ALL__``)."""
+    w = in_time()
+    same = F.coalesce(c("label") == F.lag("label").over(w), F.lit(False))
+    moved = F.coalesce(c("checkpoint") != F.lag("checkpoint").over(w), F.lit(False))
+    rows = states.select("entity", "age", same.alias("_same"), moved.alias("_moved"), F.coalesce(F.lag("age").over(w) - c("age"), F.lit(0)).alias("_fall"))
+    fell = c("_same") & (c("_fall") > 0)
+    out = rows.rollup("entity").agg(
+        F.grouping("entity").alias("_all"), F.count_if(c("_same")).alias("n_pairs"), F.count_if(fell).alias("n_resets"),
+        F.count_if(c("_same") & c("_moved")).alias("n_boundary_pairs"), F.count_if(fell & c("_moved")).alias("n_boundary_resets"), F.max("age").alias("max_age"),
+    )
+    rate = lambda a, b: F.coalesce(ratio(c(a).cast("double"), c(b)), F.lit(0.0))
+    out = out.withColumn("reset_rate", rate("n_resets", "n_pairs")).withColumn("boundary_reset_rate", rate("n_boundary_resets", "n_boundary_pairs"))
+    out = out.withColumn("passed", (c("reset_rate") <= most) & (c("boundary_reset_rate") <= most))
+    return out.withColumn("entity", F.when(c("_all") == 1, "__ALL__").otherwise(c("entity"))).drop("_all")
+
+
+def state_phases(states: DataFrame, least: int = 3) -> DataFrame:
+    """Age of each row in its state, and its phase by the 33rd and 66th percentile of the label's whole durations.
+
+    Durations are those of segments with both ends seen; a label with fewer than least has no phase
+    (unknown). The profile has a row per label.
+    """
+    rows = islands(states, "label").withColumn("age", F.row_number().over(in_time("entity", "segment")).cast("bigint"))
+    per = rows.groupBy("entity", "segment").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("_d"))
+    whole = per.withColumn("_last", F.max("segment").over(Window.partitionBy("entity"))).where("segment > 1 and segment < _last")
+    cuts = whole.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.percentile("_d", F.lit(0.33)).alias("_a"), F.percentile("_d", F.lit(0.66)).alias("_b"))
+    rows = rows.join(cuts.where(c("_n") >= least), "label", "left")
+    phase = F.when(c("_n").isNull(), "unknown").when(c("age") <= c("_a"), "early").when(c("age") <= c("_b"), "mature").otherwise("late")
+    return rows.select(*states.columns, "age", phase.alias("phase"))
+
+
+def phase_profile(phased: DataFrame, forward: DataFrame, values: list[str]) -> DataFrame:
+    """Rows, mean age and mean forward values by label and phase."""
+    rows = phased.join(forward, ["entity", "trade_date"], "left")
+    return rows.groupBy("label", "phase").agg(F.count(F.lit(1)).alias("n"), F.avg("age").alias("mean_age"), *(F.avg(v).alias(v) for v in values))

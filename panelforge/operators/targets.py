@@ -145,3 +145,16 @@ def scaled_thresholds(panel: DataFrame, horizons: list[int], factors: list[float
     grid = F.array(*(F.struct(F.lit(h).cast("bigint").alias("horizon"), F.lit(float(k)).alias("factor")) for h in horizons for k in factors))
     raw = c("sigma") * F.sqrt(c("horizon").cast("double")) * c("factor")
     return r.select("entity", "trade_date", "sigma", F.inline(grid)).withColumn("threshold", F.when(raw.isNotNull(), F.greatest(F.least(raw, F.lit(high)), F.lit(low))))
+
+
+def forward_frame(panel: DataFrame, horizons: list[int]) -> DataFrame:
+    """Per row: return over the next h rows, its excess over the equal-weight market's next h dates, worst close on the way."""
+    w, days = in_time(), Window.orderBy("trade_date")
+    market = panel.select("trade_date", pct(c("close"), 1).alias("_r")).groupBy("trade_date").agg(F.avg("_r").alias("_m"))
+    ahead = lambda h: days.rowsBetween(1, h)
+    market = market.select("trade_date", *(F.when(F.count("_m").over(ahead(h)) == h, F.product(1 + c("_m")).over(ahead(h)) - 1).alias(f"_b{h}") for h in horizons))
+    rows = panel.select(
+        "entity", "trade_date",
+        *(x for h in horizons for x in ((ratio(F.lead("close", h).over(w), c("close")) - 1).alias(f"fwd_ret_{h}"), (ratio(F.min("close").over(w.rowsBetween(1, h)), c("close")) - 1).alias(f"fwd_mae_{h}"))),
+    ).join(market, "trade_date")
+    return rows.select("entity", "trade_date", *(x for h in horizons for x in (c(f"fwd_ret_{h}"), (c(f"fwd_ret_{h}") - c(f"_b{h}")).alias(f"fwd_excess_{h}"), c(f"fwd_mae_{h}"))))

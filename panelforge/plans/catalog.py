@@ -748,6 +748,204 @@ def downshift_exposure(spark, sf_dir):
     return rounded(evaluation.downshift(_signal(spark, sf_dir), "vol_20d", "fwd_5"))
 
 
+@query(f"""WITH lv AS ({ORACLE_SQL['break_warnings']}), x AS (SELECT *, level IN ('watch', 'elevated', 'high') AS warn, lag(trade_date) OVER (ORDER BY trade_date) AS before FROM lv),
+y AS (SELECT *, sum(CASE WHEN NOT warn OR before IS NULL OR trade_date - before > 1 OR NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (ORDER BY trade_date) AS run FROM (SELECT *, lag(warn) OVER (ORDER BY trade_date) AS was FROM x)),
+z AS (SELECT run, min(trade_date) AS start_date, max(trade_date) AS end_date, count(*) AS n_dates, count(CASE WHEN level = 'watch' THEN 1 END) AS n_watch, count(CASE WHEN level = 'elevated' THEN 1 END) AS n_elevated,
+  count(CASE WHEN level = 'high' THEN 1 END) AS n_high, arg_min(drivers, trade_date) AS first_drivers FROM y WHERE warn GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY start_date) AS BIGINT) AS episode, start_date, end_date, n_dates, CAST(CASE WHEN n_high > 0 THEN 3 WHEN n_elevated > 0 THEN 2 ELSE 1 END AS BIGINT) AS severity, n_watch, n_elevated, n_high, first_drivers,
+  end_date = (SELECT max(trade_date) FROM lv) AS active, CASE WHEN n_high > 0 THEN 'high' WHEN n_elevated > 0 THEN 'elevated' ELSE 'watch' END AS peak FROM z""")
+def warning_episodes(spark, sf_dir):
+    return evaluation.warning_episodes(break_warnings(spark, sf_dir), 1)
+
+
+EPISODE_SQL = """, d AS (SELECT trade_date, avg(CASE WHEN event THEN 1.0 ELSE 0.0 END) AS share FROM ev GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY trade_date) AS pos FROM d),
+a AS (SELECT *, pos - lag(pos) OVER (ORDER BY trade_date) AS gap FROM p WHERE share >= 0.75), b AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 5 THEN 1 ELSE 0 END) OVER (ORDER BY trade_date) AS block FROM a),
+blocks AS (SELECT block, min(trade_date) AS a, max(trade_date) AS b FROM b GROUP BY 1), ep AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY trade_date) AS pos FROM ev WHERE event IS NOT NULL),
+eg AS (SELECT *, pos - lag(pos) OVER (PARTITION BY entity ORDER BY trade_date) AS gap FROM ep WHERE event), es AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY trade_date) AS episode FROM eg),
+episodes AS (SELECT entity, CAST(episode AS BIGINT) AS episode, min(trade_date) AS start_date, max(trade_date) AS end_date, count(*) AS n_dates FROM es GROUP BY 1, 2),
+marked AS (SELECT *, EXISTS (SELECT 1 FROM blocks WHERE blocks.a <= episodes.end_date AND blocks.b >= episodes.start_date) AS in_market_block FROM episodes)"""
+
+
+def _episodes(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    blocks = evaluation.market_blocks(e, 0.75, 5)
+    return e, blocks, evaluation.idiosyncratic_episodes(e, blocks, 5)
+
+
+@query(EVENT_SQL + EPISODE_SQL + " SELECT * FROM marked")
+def idiosyncratic_episodes(spark, sf_dir):
+    return _episodes(spark, sf_dir)[2]
+
+
+@query(EVENT_SQL + EPISODE_SQL + """, one AS (SELECT (SELECT count(event) FROM ev) AS n_labelled, (SELECT count(*) FROM ev WHERE event) AS n_events, (SELECT count(*) FROM blocks) AS n_blocks, (SELECT count(*) FROM marked WHERE NOT in_market_block) AS n_idiosyncratic)
+SELECT *, CAST(n_blocks + 0.25 * n_idiosyncratic AS DOUBLE) AS evidence_25, CAST(n_blocks + 0.5 * n_idiosyncratic AS DOUBLE) AS evidence_50, CASE WHEN n_labelled = 0 THEN 'short_history' WHEN n_blocks + 0.25 * n_idiosyncratic < 5 THEN CASE WHEN n_events > 0 THEN 'drop' ELSE 'short_history' END
+  WHEN n_blocks + 0.25 * n_idiosyncratic < 10 OR n_blocks < 2 THEN 'diagnostic' ELSE 'eligible' END AS verdict FROM one""")
+def event_evidence(spark, sf_dir):
+    return rounded(evaluation.event_evidence(*_episodes(spark, sf_dir), [0.25, 0.5]))
+
+
+def _spread_sql() -> str:
+    parts, out = [], []
+    for i, (a, b) in enumerate(SPREADS):
+        parts.append(f"""t{i} AS (SELECT trade_date, sum(CASE WHEN label = '{a}' THEN fwd_5 END) AS ls, count(CASE WHEN label = '{a}' THEN fwd_5 END) AS ln, sum(CASE WHEN label = '{b}' THEN fwd_5 END) AS rs, count(CASE WHEN label = '{b}' THEN fwd_5 END) AS rn FROM ss GROUP BY 1 HAVING ln > 0 AND rn > 0),
+k{i} AS (SELECT *, row_number() OVER (ORDER BY trade_date) - 1 AS k, count(*) OVER () AS n FROM t{i}), w{i} AS (SELECT r, CAST('0x' || substr(md5('42:' || r || ':' || k), 1, 8) AS BIGINT) % n AS k FROM k{i}, range(1, 201) g(r)),
+b{i} AS (SELECT r, sum(ls) / sum(ln) - sum(rs) / sum(rn) AS d FROM w{i} JOIN k{i} USING (k) GROUP BY 1)""")
+        out.append(f"""SELECT '{a}-{b}' AS spread, count(CASE WHEN label = '{a}' THEN fwd_5 END) AS n_left, count(CASE WHEN label = '{b}' THEN fwd_5 END) AS n_right, round(avg(CASE WHEN label = '{a}' THEN fwd_5 END) - avg(CASE WHEN label = '{b}' THEN fwd_5 END), 6) + 0.0 AS mean,
+  round(quantile_cont(CASE WHEN label = '{a}' THEN fwd_5 END, 0.5) - quantile_cont(CASE WHEN label = '{b}' THEN fwd_5 END, 0.5), 6) + 0.0 AS median, (SELECT round(quantile_cont(d, 0.025), 6) + 0.0 FROM b{i}) AS low, (SELECT round(quantile_cont(d, 0.975), 6) + 0.0 FROM b{i}) AS high,
+  (SELECT round(avg(CASE WHEN d <= 0 THEN 1.0 ELSE 0.0 END), 6) FROM b{i}) AS p_not_above FROM ss""")
+    return SIGNAL_SQL + SIGNAL_STATES + ", " + ", ".join(parts) + " " + " UNION ALL ".join(out)
+
+
+SPREADS = [("up", "down"), ("up", "flat"), ("flat", "down")]
+
+
+@query(_spread_sql())
+def state_spreads(spark, sf_dir):
+    label = F.when(c("ret_20d") > 0.2, "up").when(c("ret_20d") < -0.2, "down").when(c("ret_20d").isNotNull(), "flat")
+    return rounded(evaluation.state_spreads(_signal(spark, sf_dir).withColumn("label", label), "fwd_5", SPREADS))
+
+
+@query(SIGNAL_SQL + """, x AS (SELECT entity, 1 / (1 + exp(-rs_20d)) AS p, CASE WHEN fwd_5 > 0 THEN 1 ELSE 0 END AS y FROM sig WHERE rs_20d IS NOT NULL AND fwd_5 IS NOT NULL),
+rk AS (SELECT *, rank() OVER (PARTITION BY entity ORDER BY p) + (count(*) OVER (PARTITION BY entity, p) - 1) / 2.0 AS a, rank() OVER (PARTITION BY entity ORDER BY y) + (count(*) OVER (PARTITION BY entity, y) - 1) / 2.0 AS b FROM x),
+st AS (SELECT entity, p, sum(y) AS pos, count(*) AS n FROM x GROUP BY 1, 2), cu AS (SELECT *, sum(pos) OVER (PARTITION BY entity ORDER BY p DESC) * 1.0 / sum(n) OVER (PARTITION BY entity ORDER BY p DESC) AS prec FROM st), ap AS (SELECT entity, sum(pos * prec) / nullif(sum(pos), 0) AS ap FROM cu GROUP BY 1)
+SELECT rk.entity, count(*) AS n, round(avg((p - y) * (p - y)), 6) AS brier, round(any_value(ap), 6) AS average_precision, round(corr(a, b), 6) + 0.0 AS spearman FROM rk JOIN ap ON rk.entity = ap.entity GROUP BY 1""")
+def score_metrics(spark, sf_dir):
+    s = _signal(spark, sf_dir).where("rs_20d is not null and fwd_5 is not null")
+    s = s.select("entity", scalars.sigmoid(c("rs_20d")).alias("p"), (c("fwd_5") > 0).alias("hit"))
+    return rounded(evaluation.score_metrics(s, "p", "hit", "entity"))
+
+
+OPEN_SQL = BACKTEST_SQL + """, pr AS (SELECT entity, trade_date, coalesce(open / nullif(lag(close) OVER (PARTITION BY entity ORDER BY trade_date), 0) - 1, 0) AS gap, coalesce(close / nullif(open, 0) - 1, 0) AS day FROM bars),
+nd AS (SELECT d.trade_date, max(od.exec_date) OVER (ORDER BY d.trade_date) AS exec_date FROM (SELECT DISTINCT trade_date FROM feats) d LEFT JOIN od ON od.exec_date = d.trade_date),
+ov AS (SELECT dy.trade_date, sum(weight * gap) AS o, sum(weight * day) AS i FROM dy JOIN ev ON ev.exec_date = dy.exec_date JOIN pr ON pr.entity = ev.entity AND pr.trade_date = dy.trade_date GROUP BY 1),
+nw AS (SELECT nd.trade_date, sum(weight * day) AS i FROM nd JOIN ev ON ev.exec_date = nd.exec_date JOIN pr ON pr.entity = ev.entity AND pr.trade_date = nd.trade_date GROUP BY 1),
+oc AS (SELECT cu.trade_date, coalesce(ov.o, 0) AS o, coalesce({i}, 0) AS i, turnover FROM cu LEFT JOIN ov ON cu.trade_date = ov.trade_date LEFT JOIN nw ON cu.trade_date = nw.trade_date)
+SELECT trade_date, round(o, 6) + 0.0 AS overnight, round(i, 6) + 0.0 AS intraday, round((1 + o) * (1 + i) - 1, 6) + 0.0 AS gross, round(turnover, 6) + 0.0 AS turnover, round((1 + o) * (1 + i) * (1 - turnover * 0.001) - 1, 6) + 0.0 AS net FROM oc"""
+
+
+@query(OPEN_SQL.replace("{i}", "ov.i"))
+def portfolio_curve_open(spark, sf_dir):
+    p, events = _rebalanced(spark, sf_dir)
+    return rounded(backtest.simulate_open(p, events, 0.001))
+
+
+@query(OPEN_SQL.replace("{i}", "nw.i"))
+def portfolio_curve_open_entry_day(spark, sf_dir):
+    p, events = _rebalanced(spark, sf_dir)
+    return rounded(backtest.simulate_open(p, events, 0.001, entry_day=True))
+
+
+@query(q.base(upto="states") + """, x AS (SELECT entity, trade_date, CASE WHEN day(trade_date) != 13 THEN label END AS label, row_number() OVER (PARTITION BY entity ORDER BY trade_date) AS pos, count(*) OVER (PARTITION BY entity) AS n, max(trade_date) OVER (PARTITION BY entity) AS run_end FROM states),
+y AS (SELECT *, CASE WHEN label != lag(label) OVER (PARTITION BY entity ORDER BY pos) THEN pos END AS hit FROM x WHERE label IS NOT NULL), z AS (SELECT entity, pos, min(hit) OVER (PARTITION BY entity ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hit FROM y),
+e AS (SELECT x.*, z.hit, t.trade_date AS exit_date, t.label AS next_label FROM x LEFT JOIN z ON x.entity = z.entity AND x.pos = z.pos LEFT JOIN x t ON z.entity = t.entity AND z.hit = t.pos),
+h AS (SELECT e.*, g.h, f.trade_date AS hor FROM e CROSS JOIN (SELECT unnest([5, 20]) AS h) g LEFT JOIN x f ON f.entity = e.entity AND f.pos = e.pos + g.h),
+o AS (SELECT *, least(coalesce(hor, run_end), DATE '1998-06-30') AS seen, DATE '1998-06-30' < coalesce(hor, run_end) AS cut FROM h),
+s AS (SELECT *, CASE WHEN label IS NULL THEN 'missing_state' WHEN hit - pos <= h AND exit_date <= seen THEN 'positive' WHEN hor IS NOT NULL AND NOT cut THEN 'negative' WHEN cut THEN 'censored_by_cutoff' ELSE 'censored_by_run_end' END AS status FROM o)
+SELECT entity, trade_date, label, next_label, exit_date, CAST(h AS BIGINT) AS horizon, status, CASE WHEN label IS NULL THEN trade_date ELSE seen END AS observed_until, CAST(CASE status WHEN 'positive' THEN 1 WHEN 'negative' THEN 0 END AS BIGINT) AS exit_within, CAST(CASE WHEN status IN ('positive', 'negative') THEN 1 ELSE 0 END AS DOUBLE) AS weight FROM s""")
+def exit_dataset(spark, sf_dir):
+    s = _states(spark, sf_dir).withColumn("label", F.when(F.dayofmonth("trade_date") != 13, c("label")))
+    return segments.exit_dataset(s, [5, 20], "1998-06-30")
+
+
+@query(q.base(upto="segs") + """, x AS (SELECT entity, trade_date, label, strftime(trade_date, '%Y-%m') AS cp, (row_number() OVER (PARTITION BY entity, segment ORDER BY trade_date) - 1) % 40 + 1 AS age FROM runs),
+y AS (SELECT *, lag(label) OVER w = label AS same, coalesce(lag(cp) OVER w != cp, false) AS moved, lag(age) OVER w > age AS fell FROM x WINDOW w AS (PARTITION BY entity ORDER BY trade_date)),
+z AS (SELECT coalesce(entity, '__ALL__') AS entity, count(CASE WHEN same THEN 1 END) AS n_pairs, count(CASE WHEN same AND fell THEN 1 END) AS n_resets, count(CASE WHEN same AND moved THEN 1 END) AS n_boundary_pairs, count(CASE WHEN same AND fell AND moved THEN 1 END) AS n_boundary_resets, max(age) AS max_age FROM y GROUP BY ROLLUP (entity)),
+r AS (SELECT *, coalesce(n_resets * 1.0 / nullif(n_pairs, 0), 0) AS a, coalesce(n_boundary_resets * 1.0 / nullif(n_boundary_pairs, 0), 0) AS b FROM z)
+SELECT entity, n_pairs, n_resets, n_boundary_pairs, n_boundary_resets, CAST(max_age AS BIGINT) AS max_age, round(a, 6) AS reset_rate, round(b, 6) AS boundary_reset_rate, a <= 0.05 AND b <= 0.05 AS passed FROM r""")
+def state_age_stability(spark, sf_dir):
+    from panelforge.panel import in_time, islands
+
+    aged = islands(_states(spark, sf_dir), "label").withColumn("age", ((F.row_number().over(in_time("entity", "segment")) - 1) % 40 + 1).cast("bigint"))
+    return rounded(segments.age_stability(aged.withColumn("checkpoint", scalars.period_key(c("trade_date"), "month"))))
+
+
+PHASE_SQL = """, ph0 AS (SELECT *, row_number() OVER (PARTITION BY entity, segment ORDER BY trade_date) AS age FROM runs), pc AS (SELECT label, count(*) AS n, quantile_cont(n_days, 0.33) AS a, quantile_cont(n_days, 0.66) AS b FROM segs WHERE prev_label IS NOT NULL AND next_label IS NOT NULL GROUP BY 1),
+ph AS (SELECT entity, trade_date, ph0.label, age, CASE WHEN n IS NULL OR n < 3 THEN 'unknown' WHEN age <= a THEN 'early' WHEN age <= b THEN 'mature' ELSE 'late' END AS phase FROM ph0 LEFT JOIN pc ON ph0.label = pc.label)"""
+FORWARD_SQL = f""", dm AS (SELECT trade_date, avg(r) AS m FROM rets GROUP BY 1), bm AS (SELECT trade_date, {', '.join(f"CASE WHEN count(m) OVER (ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) = {h} THEN product(1 + m) OVER (ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) - 1 END AS b{h}" for h in (5, 20))} FROM dm),
+fw AS (SELECT bars.entity, bars.trade_date, {', '.join(f"lead(close, {h}) OVER w / close - 1 AS fwd_ret_{h}, lead(close, {h}) OVER w / close - 1 - b{h} AS fwd_excess_{h}, min(close) OVER (PARTITION BY entity ORDER BY bars.trade_date ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) / close - 1 AS fwd_mae_{h}" for h in (5, 20))}
+  FROM bars JOIN bm ON bars.trade_date = bm.trade_date WINDOW w AS (PARTITION BY entity ORDER BY bars.trade_date))"""
+FORWARD = [f"fwd_{k}_{h}" for h in (5, 20) for k in ("ret", "excess", "mae")]
+
+
+@query(q.base(upto="segs") + PHASE_SQL + " SELECT entity, trade_date, label, age, phase FROM ph")
+def state_phases(spark, sf_dir):
+    return segments.state_phases(_states(spark, sf_dir).select("entity", "trade_date", "label"))
+
+
+@query(q.base() + ", " + q.RETURNS + FORWARD_SQL + " SELECT entity, trade_date, " + ", ".join(f"round({x}, 6) + 0.0 AS {x}" for x in FORWARD) + " FROM fw")
+def forward_frame(spark, sf_dir):
+    return rounded(targets.forward_frame(panel(spark, sf_dir), [5, 20]))
+
+
+@query(q.base(upto="segs") + PHASE_SQL + FORWARD_SQL + " SELECT label, phase, count(*) AS n, round(avg(age), 6) AS mean_age, " + ", ".join(f"round(avg({x}), 6) + 0.0 AS {x}" for x in FORWARD) + " FROM ph LEFT JOIN fw ON ph.entity = fw.entity AND ph.trade_date = fw.trade_date GROUP BY 1, 2")
+def state_phase_profile(spark, sf_dir):
+    return rounded(segments.phase_profile(state_phases(spark, sf_dir), targets.forward_frame(panel(spark, sf_dir), [5, 20]), FORWARD))
+
+
+@query(q.base(upto="feats") + """, per AS (SELECT entity, count(*) AS d FROM bars GROUP BY 1), b AS (SELECT bars.*, ret_20d, amount_z FROM bars JOIN feats ON bars.entity = feats.entity AND bars.trade_date = feats.trade_date)
+SELECT min(trade_date) AS first_date, max(trade_date) AS last_date, count(*) AS n_rows, count(CASE WHEN open <= 0 THEN 1 END) AS non_positive_open, count(CASE WHEN close <= 0 THEN 1 END) AS non_positive_close, count(CASE WHEN open IS NULL THEN 1 END) AS missing_open, count(CASE WHEN close IS NULL THEN 1 END) AS missing_close,
+  count(CASE WHEN amount IS NULL THEN 1 END) AS missing_amount, count(CASE WHEN ret_20d IS NOT NULL AND amount_z IS NOT NULL THEN 1 END) AS n_complete, round(avg(CASE WHEN ret_20d IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_share_ret_20d, round(avg(CASE WHEN amount_z IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_share_amount_z,
+  (SELECT count(*) FROM per) AS n_entities, CAST(0 AS BIGINT) AS n_repeats, (SELECT round(quantile_cont(d, 0.1), 6) FROM per) AS days_p10, (SELECT round(quantile_cont(d, 0.5), 6) FROM per) AS days_median, (SELECT round(quantile_cont(d, 0.9), 6) FROM per) AS days_p90, count(DISTINCT trade_date) AS n_dates FROM b""")
+def data_audit(spark, sf_dir):
+    both = panel(spark, sf_dir).join(_features(spark, sf_dir).select("entity", "trade_date", "ret_20d", "amount_z"), ["entity", "trade_date"])
+    return rounded(quality.data_audit(both, ["ret_20d", "amount_z"]))
+
+
+@query("""WITH x AS (SELECT o_orderkey AS day, CASE o_orderpriority WHEN '1-URGENT' THEN 'full_market' WHEN '2-HIGH' THEN 'local_sample' WHEN '3-MEDIUM' THEN 'other' END AS m, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 10) / 10.0 END AS cr, CASE WHEN o_orderkey % 5 = 0 THEN 0.9 END AS fr, CASE WHEN o_orderkey % 7 = 0 THEN 0.5 END AS lr, o_orderkey % 11 AS e, o_orderkey % 13 AS t, CASE WHEN o_orderkey % 2 = 0 THEN 'full_market' END AS level FROM orders),
+y AS (SELECT day, coalesce(CASE WHEN m IN ('full_market', 'local_sample') THEN m END, 'unknown') AS mode, cr, fr, lr, e, t, level FROM x), z AS (SELECT *, CASE WHEN mode = 'full_market' THEN coalesce(fr, cr) ELSE fr END AS f, CASE WHEN mode = 'local_sample' THEN coalesce(lr, cr, e * 1.0 / nullif(t, 0)) ELSE lr END AS l FROM y)
+SELECT day, mode, round(f, 6) AS full_ratio, round(l, 6) AS local_ratio, coalesce(mode = 'full_market' AND level = 'full_market' AND f >= 0.8, false) AS usable FROM z""")
+def breadth_coverage(spark, sf_dir):
+    k, mode = c("o_orderkey"), F.when(c("o_orderpriority") == "1-URGENT", " full_market").when(c("o_orderpriority") == "2-HIGH", "local_sample").when(c("o_orderpriority") == "3-MEDIUM", "other")
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("day"), mode.alias("mode"), F.when(k % 3 > 0, k % 10 / 10.0).alias("coverage_ratio"), F.when(k % 5 == 0, 0.9).alias("full_ratio"), F.when(k % 7 == 0, 0.5).alias("local_ratio"),
+        (k % 11).alias("effective"), (k % 13).alias("total"), F.when(k % 2 == 0, "full_market").alias("level"),
+    )
+    return rounded(quality.breadth_coverage(rows).select("day", "mode", "full_ratio", "local_ratio", "usable"))
+
+
+@query("""WITH x AS (SELECT o_custkey AS a, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 - 3 AS INTEGER) AS u, CASE WHEN o_orderkey % 9 > 0 THEN o_orderstatus END AS m FROM orders)
+SELECT count(*) AS n_rows, count(DISTINCT (a, d)) AS n_keys, count(*) - count(DISTINCT (a, d)) AS n_repeats, count(CASE WHEN u > d THEN 1 END) AS late_train_end, count(CASE WHEN m IS NULL THEN 1 END) AS missing_source FROM x""")
+def cache_audit(spark, sf_dir):
+    k = c("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("trade_date"), F.date_add(F.to_date("o_orderdate"), (k % 5 - 3).cast("int")).alias("train_end"), F.when(k % 9 > 0, c("o_orderstatus")).alias("source"))
+    return quality.cache_audit(rows, ["o_custkey", "trade_date"], ["train_end"], ["source"])
+
+
+@query(q.base() + f""", x AS (SELECT *, {q.pct('close', 1)} AS r, row_number() OVER (PARTITION BY entity ORDER BY trade_date DESC) AS k FROM bars),
+y AS (SELECT entity, max(trade_date) AS trade_date, {', '.join(f"CASE WHEN count(CASE WHEN k <= {n} THEN r END) >= 10 THEN stddev_pop(CASE WHEN k <= {n} THEN r END) * sqrt({n}) END AS vol_{n}, sqrt(avg(CASE WHEN k <= {n} AND r IS NOT NULL THEN least(r, 0) * least(r, 0) END)) AS downside_{n}, sqrt(avg(CASE WHEN k <= {n} AND r IS NOT NULL THEN least(r, 0) * least(r, 0) END)) / nullif(stddev_pop(CASE WHEN k <= {n} THEN r END), 0) AS downside_share_{n}, avg(CASE WHEN k <= {n} AND r IS NOT NULL THEN CASE WHEN r < 0 THEN 1.0 ELSE 0.0 END END) AS falling_share_{n}" for n in (20, 60))} FROM x GROUP BY 1)
+SELECT entity, trade_date, {', '.join(f"round({m}_{n}, 6) + 0.0 AS {m}_{n}" for n in (20, 60) for m in ('vol', 'downside', 'downside_share', 'falling_share'))}, round(CASE WHEN vol_20 IS NOT NULL THEN rank() OVER (ORDER BY vol_20) * 1.0 / count(vol_20) OVER () END, 6) AS volatility_rank FROM y""")
+def signal_baseline(spark, sf_dir):
+    return rounded(features.signal_baseline(panel(spark, sf_dir)))
+
+
+@query(q.base(upto="feats") + " SELECT * FROM (SELECT 'ret_20d' AS \"column\", count(ret_20d) AS n FROM feats UNION ALL SELECT 'vol_20d', count(vol_20d) FROM feats UNION ALL SELECT 'rs_20d', count(rs_20d) FROM feats) WHERE n >= 20")
+def usable_columns(spark, sf_dir):
+    return features.usable_columns(_features(spark, sf_dir), ("_20d",))
+
+
+@query("""WITH e AS (SELECT event_type, ts, value, event_id FROM events) SELECT event_type, max(ts) AS seen_at, count(*) AS hits, count(CASE WHEN value > 10 THEN 1 END) AS big, arg_max(value, (ts, value)) AS last_value FROM e GROUP BY 1""")
+def counter_merge(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type", c("ts").alias("seen_at"), F.lit(1).cast("bigint").alias("hits"), (c("value") > 10).cast("bigint").alias("big"), c("value").alias("last_value"), "event_id")
+    old, new = e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")
+    none = old.limit(0)
+    stored = store.merge_counters(none, old, ["event_type"], ["hits", "big"], ["last_value"], "seen_at")
+    return store.merge_counters(stored, new, ["event_type"], ["hits", "big"], ["last_value"], "seen_at")
+
+
+@query("WITH " + q.bars("n_name") + """, a AS (SELECT trade_date, count(*) AS n_rows FROM bars WHERE volume > 30 GROUP BY 1), b AS (SELECT CAST(o_orderdate AS DATE) AS trade_date, count(*) AS n_orders FROM orders GROUP BY 1)
+SELECT coalesce(a.trade_date, b.trade_date) AS trade_date, n_rows, n_orders FROM a FULL OUTER JOIN b ON a.trade_date = b.trade_date""")
+def outer_by_date(spark, sf_dir):
+    a = panel(spark, sf_dir, "n_name").where("volume > 30").groupBy("trade_date").agg(F.count(F.lit(1)).alias("n_rows"))
+    b = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("trade_date")).agg(F.count(F.lit(1)).alias("n_orders"))
+    return features.outer_by_date(a, b)
+
+
+@query("""SELECT n_nationkey, substr(sha256('{"n_name":' || CASE WHEN n_nationkey % 4 = 0 THEN 'null' ELSE '"' || n_name || '"' END || ',"n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}'), 1, 32) AS lineage FROM nation""")
+def lineage_keys(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").withColumn("n_name", F.when(c("n_nationkey") % 4 != 0, c("n_name")))
+    return n.select("n_nationkey", scalars.lineage_key(["n_regionkey", "n_name", "n_nationkey"]).alias("lineage"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars, benchmark, features, latest rows, score and tag: the dashboard of the panel."""
     last = ranking.latest(_features(spark, sf_dir).where("ret_20d is not null"))

@@ -106,3 +106,15 @@ def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
     """A small report as one file; df must be an aggregate."""
     out = df.coalesce(1).write.mode("overwrite")
     out.option("header", True).csv(path) if kind == "csv" else out.json(path)
+
+
+def merge_counters(stored: DataFrame, incoming: DataFrame, keys: list[str], add: list[str], last: list[str], when: str) -> DataFrame:
+    """Counters after a batch: those in add are summed, those in last come from the row with the latest when.
+
+    One aggregation over both; many incoming rows of one key are combined before the shuffle. Of rows with the
+    same when, the largest values count.
+    """
+    rows = stored.select(*keys, when, *add, *last).unionByName(incoming.select(*keys, when, *add, *last))
+    newest = F.max(F.struct(when, *last))
+    out = rows.groupBy(*keys).agg(*(F.sum(F.coalesce(x, F.lit(0))).alias(x) for x in add), newest.alias("_n"))
+    return out.select(*keys, c(f"_n.{when}").alias(when), *add, *(c(f"_n.{x}").alias(x) for x in last))
