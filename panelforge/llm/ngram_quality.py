@@ -1,6 +1,6 @@
 """Quality rules: base rules and a hashed word and character n-gram logistic regression.
 
-Words, word pairs and byte 4-grams are hashed into three blocks of weights; a document's logit is the
+Words, word pairs and 4-grams of characters (code points) are hashed into three blocks of weights; a document's logit is the
 sum of its mean weight in each block, so long texts cost no more memory than one batch. Weights are
 fitted on a bounded sample of labelled rows, probabilities are calibrated (Platt) on a held-back fifth,
 and whole texts are scored in Arrow batches against the fixed threshold KEEP_AT.
@@ -61,12 +61,23 @@ class NgramModel:
 
 
 def grams(text: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of words, word pairs and byte 4-grams of a whole text."""
+    """Slots of words, word pairs and character 4-grams of a whole text."""
     h = hashes.of(text.split())
-    raw = np.frombuffer(text, np.uint8).astype(np.uint32)
-    quad = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24 if len(raw) > 3 else raw[:0]
     shift = np.uint64(64 - BITS)
-    return h >> shift, window_hashes(h, 2) >> shift, quad * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)
+    return h >> shift, window_hashes(h, 2) >> shift, character_grams(text)
+
+
+def character_grams(text: bytes) -> np.ndarray:
+    """Slots of every four neighbouring code points (none in shorter texts)."""
+    if text.isascii():
+        points = np.frombuffer(text, np.uint8).astype(np.uint32)
+    else:
+        points = np.frombuffer(text.decode(errors="replace").encode("utf-32-le"), np.uint32)
+    n = max(0, len(points) - 3)
+    quad = np.zeros(n, np.uint32)
+    for i in range(4):  # a polynomial modulo 2**32: equal for equal characters only, but for clashes
+        quad = quad * np.uint32(0x01000193) + points[i : i + n]
+    return (quad ^ quad >> np.uint32(15)) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)
 
 
 def _counted(batch):

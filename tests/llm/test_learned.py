@@ -92,3 +92,11 @@ def test_labelled_sample_is_bounded(docs, spark):
     rows = docs([(1, "b"), (1, "a"), (1, "b"), (2, None), (3, "c")])
     assert sorted(map(tuple, labelled_sample(rows, labels, "quality", 10).collect())) == [(1, "a", 1), (2, "", 1)]
     assert labelled_sample(rows, labels, "quality", 1).count() == 1
+
+
+def test_character_grams_are_characters():
+    grams = ngram_quality.character_grams
+    assert [len(grams(x.encode())) for x in ("", "abc", "abcd", "数据质量", "a数据😀é")] == [0, 0, 1, 1, 2]
+    whole, part = grams("x数据质量 abcd".encode()), grams("数据质量".encode())
+    assert whole[1] == part[0] and whole[-1] == grams(b"abcd")[0] and len(set(whole.tolist())) == len(whole)
+    assert len(grams(b"\xff\xfeabc")) == 2
