@@ -17,6 +17,8 @@ are ignored.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -102,7 +104,11 @@ def scan(automaton, text: str) -> list[tuple[int, int, float]]:
         for beginning, weight in what:
             if beginning or ends:
                 (free if weight is None else hits).append((begin, end, weight))
-    return [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in free)] if free else hits
+    if not free:
+        return hits
+    free.sort(key=lambda f: f[0])
+    starts, reach = [a for a, _, _ in free], list(itertools.accumulate((b for _, b, _ in free), max))
+    return [h for h in hits if not (i := bisect.bisect_right(starts, h[0])) or reach[i - 1] < h[1]]  # inside no phrase
 
 
 def n_words(text: str) -> int:
@@ -173,7 +179,11 @@ def _incidence(names: list[str]):
 
 
 def choose(names: list[str], found: list[np.ndarray], y: np.ndarray) -> dict[str, float]:
-    """Pick entries by evidence on the documents that earlier picks leave unexplained."""
+    """Pick entries by evidence on the documents that earlier picks leave unexplained.
+
+    Base words of the sample that no picked beginning covers keep the weight of all their documents, even if
+    other entries explain these.
+    """
     rate = (y.sum() + 0.5) / (len(y) + 1)
     docs: list[list[int]] = [[] for _ in names]
     for i, f in enumerate(found):
@@ -207,6 +217,10 @@ def choose(names: list[str], found: list[np.ndarray], y: np.ndarray) -> dict[str
         hit = y[at[k]].sum()
         out[names[k]] = float(np.log((hit + 0.5) / (len(at[k]) - hit + 0.5)) - np.log(rate / (1 - rate)))
         open_[at[k]] = False
+    begins = tuple(name[:-1] for name in out if name.endswith("*"))
+    for k in (j for j, name in enumerate(names) if name in BASE and name not in out and len(at[j]) and not name.startswith(begins)):
+        hit = y[at[k]].sum()
+        out[names[k]] = float(np.log((hit + 0.5) / (len(at[k]) - hit + 0.5)) - np.log(rate / (1 - rate)))
     return {k: w for k, w in out.items() if w > 0}
 
 

@@ -100,3 +100,18 @@ def test_character_grams_are_characters():
     whole, part = grams("x数据质量 abcd".encode()), grams("数据质量".encode())
     assert whole[1] == part[0] and whole[-1] == grams(b"abcd")[0] and len(set(whole.tolist())) == len(whole)
     assert len(grams(b"\xff\xfeabc")) == 2
+
+
+def test_explained_base_words_keep_a_weight():
+    y = np.array([1.0] * 8 + [0.0] * 40)
+    found = [np.array([0, 1]) if i < 4 else np.array([1]) if i < 8 else np.array([], int) for i in range(48)]
+    assert toxicity.choose(["idiot", "zargle"], found, y).keys() == {"idiot", "zargle"}
+    assert toxicity.choose(["idiot", "idio*"], found, y).keys() == {"idio*"}
+
+
+def test_exceptions_cover_what_lies_in_them():
+    lex = toxicity.Lexicon({"trash": 1.0, "idiot": 2.0}, exceptions=("trash can", "the trash", "idiot proof trash can"))
+    a = lex.automaton()
+    cases = {"trash can trash": 1.0, "the trash": 0.0, "idiot proof trash can idiot": 2.0, "idiot proof trash": 3.0, "trash trash can": 1.0}
+    assert {t: toxicity.total(a, t)[0] for t in cases} == cases
+    assert toxicity.total(a, "trash can trash " * 20000)[0] == 20000.0
