@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.panel import ratio
+from panelforge.panel import in_time, ratio
 
 c = F.col
 
@@ -96,3 +96,30 @@ def cache_audit(cache: DataFrame, keys: list[str], upto: list[str], metadata: li
         F.sum("_k").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"), F.sum(c("_k") - 1).alias("n_repeats"),
         *(F.sum(f"_late_{x}").alias(f"late_{x}") for x in upto), *(F.sum(f"_none_{x}").alias(f"missing_{x}") for x in metadata),
     )
+
+
+def target_violations(targets: DataFrame) -> DataFrame:
+    """(check, n) of the rows of an exit dataset that break a rule of censoring, weights or dates; rules without a breach are absent."""
+    value, status = c("exit_within"), c("status")
+    cut = status.startswith("censored")
+    rules = {
+        "positive_label": (status == "positive") & ~value.eqNullSafe(F.lit(1)), "negative_label": (status == "negative") & ~value.eqNullSafe(F.lit(0)),
+        "censored_label": cut & value.isNotNull(), "missing_label": (status == "missing_state") & value.isNotNull(), "censored_weight": cut & (c("weight") > 0),
+        "positive_exit_date": (status == "positive") & (c("exit_date") > c("observed_until")), "negative_end": (status == "negative") & (c("observed_until") < c("trade_date")),
+    }
+    broken = F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())))
+    return targets.select(F.explode(broken).alias("check")).groupBy("check").agg(F.count(F.lit(1)).alias("n"))
+
+
+def silent_breaks(panel: DataFrame, most_days: int) -> DataFrame:
+    """Entities with neighbouring rows more than most_days calendar days apart: number of gaps and the longest."""
+    gap = F.date_diff("trade_date", F.lag("trade_date").over(in_time()))
+    return panel.select("entity", gap.alias("_g")).where(c("_g") > most_days).groupBy("entity").agg(F.count(F.lit(1)).alias("n_gaps"), F.max("_g").cast("bigint").alias("longest"))
+
+
+def key_coverage(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: keys in both, only expected, only found, and the share of expected keys found; null keys count as keys."""
+    sides = expected.select(*keys, F.lit(1).alias("_e"), F.lit(0).alias("_f")).unionByName(found.select(*keys, F.lit(0).alias("_e"), F.lit(1).alias("_f")))
+    per = sides.groupBy(*keys).agg(F.max("_e").alias("_e"), F.max("_f").alias("_f"))
+    out = per.agg(F.count_if((c("_e") == 1) & (c("_f") == 1)).alias("n_both"), F.count_if(c("_f") == 0).alias("n_missing"), F.count_if(c("_e") == 0).alias("n_extra"))
+    return out.withColumn("share", ratio(c("n_both").cast("double"), c("n_both") + c("n_missing")))

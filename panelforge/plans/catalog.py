@@ -946,6 +946,27 @@ def lineage_keys(spark, sf_dir):
     return n.select("n_nationkey", scalars.lineage_key(["n_regionkey", "n_name", "n_nationkey"]).alias("lineage"))
 
 
+@query(f"""WITH t AS ({ORACLE_SQL['exit_dataset']}), x AS (SELECT trade_date, status, exit_date, CASE WHEN day(trade_date) = 11 THEN 1 ELSE exit_within END AS v, CASE WHEN day(trade_date) = 12 THEN 1.0 ELSE weight END AS w, CASE WHEN day(trade_date) = 14 THEN trade_date - 1 ELSE observed_until END AS o FROM t),
+y AS (SELECT unnest([CASE WHEN status = 'positive' AND v IS DISTINCT FROM 1 THEN 'positive_label' END, CASE WHEN status = 'negative' AND v IS DISTINCT FROM 0 THEN 'negative_label' END, CASE WHEN status LIKE 'censored%' AND v IS NOT NULL THEN 'censored_label' END,
+  CASE WHEN status = 'missing_state' AND v IS NOT NULL THEN 'missing_label' END, CASE WHEN status LIKE 'censored%' AND w > 0 THEN 'censored_weight' END, CASE WHEN status = 'positive' AND exit_date > o THEN 'positive_exit_date' END, CASE WHEN status = 'negative' AND o < trade_date THEN 'negative_end' END]) AS "check" FROM x)
+SELECT "check", count(*) AS n FROM y WHERE "check" IS NOT NULL GROUP BY 1""")
+def target_violations(spark, sf_dir):
+    on = lambda d: F.dayofmonth("trade_date") == d
+    t = exit_dataset(spark, sf_dir).withColumn("exit_within", F.when(on(11), 1).otherwise(c("exit_within"))).withColumn("weight", F.when(on(12), 1.0).otherwise(c("weight")))
+    return quality.target_violations(t.withColumn("observed_until", F.when(on(14), F.date_sub("trade_date", 1)).otherwise(c("observed_until"))))
+
+
+@query(q.base("n_name") + ", g AS (SELECT entity, trade_date - lag(trade_date) OVER (PARTITION BY entity ORDER BY trade_date) AS g FROM bars) SELECT entity, count(*) AS n_gaps, CAST(max(g) AS BIGINT) AS longest FROM g WHERE g > 3 GROUP BY 1")
+def silent_breaks(spark, sf_dir):
+    return quality.silent_breaks(panel(spark, sf_dir, "n_name"), 3)
+
+
+@query("""WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer), b AS (SELECT DISTINCT o_custkey + 50 AS k FROM orders), j AS (SELECT a.k AS x, b.k AS y FROM a FULL OUTER JOIN b ON a.k = b.k)
+SELECT count(CASE WHEN x = y THEN 1 END) AS n_both, count(CASE WHEN y IS NULL THEN 1 END) AS n_missing, count(CASE WHEN x IS NULL THEN 1 END) AS n_extra, round(count(CASE WHEN x = y THEN 1 END) * 1.0 / count(x), 6) AS share FROM j""")
+def key_coverage(spark, sf_dir):
+    return rounded(quality.key_coverage(table(spark, sf_dir, "customer").select(c("c_custkey").alias("k")), table(spark, sf_dir, "orders").select((c("o_custkey") + 50).alias("k")), ["k"]))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars, benchmark, features, latest rows, score and tag: the dashboard of the panel."""
     last = ranking.latest(_features(spark, sf_dir).where("ret_20d is not null"))
