@@ -227,3 +227,33 @@ def test_streamed_states_and_upserts(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select count(*), min(state), max(state) from states_t").first()[0] == batch.count()
+
+
+def test_exit_dataset_by_hand(spark, day):
+    labels = ["a", None, "a", "b", "b"]
+    s = spark.createDataFrame([("x", day(i), v) for i, v in enumerate(labels)], "entity string, trade_date date, label string")
+    got = {r.trade_date: r for r in segments.exit_dataset(s, [2]).collect()}
+    assert [got[day(i)].status for i in range(5)] == ["negative", "missing_state", "positive", "censored_by_run_end", "censored_by_run_end"]
+    assert got[day(0)].exit_date == day(3) and got[day(0)].next_label == "b" and got[day(1)].next_label is None and got[day(1)].observed_until == day(1)
+    cut = {r.trade_date: r.status for r in segments.exit_dataset(s, [2], str(day(2))).collect()}
+    assert [cut[day(i)] for i in (0, 2, 3)] == ["negative", "censored_by_cutoff", "censored_by_cutoff"]
+    assert segments.exit_dataset(s.limit(0), [2]).count() == 0
+
+
+def test_warning_episodes_split_at_gaps_and_calm_days(spark, day):
+    rows = [(day(0), "watch", "v"), (day(1), "high", "w"), (day(10), "watch", "u"), (day(11), "normal", ""), (day(12), None, ""), (day(13), "elevated", "t")]
+    got = evaluation.warning_episodes(spark.createDataFrame(rows, "trade_date date, level string, drivers string")).orderBy("start_date").collect()
+    assert [(r.start_date, r.end_date, r.peak, r.first_drivers, r.active) for r in got] == [
+        (day(0), day(1), "high", "v", False), (day(10), day(10), "watch", "u", False), (day(13), day(13), "elevated", "t", True),
+    ]
+
+
+def test_open_simulation_by_hand(spark, day):
+    rows = [("x", day(0), 10.0, 10.0), ("x", day(1), 10.0, 12.0), ("x", day(2), 15.0, 12.0)]
+    p = spark.createDataFrame(rows, "entity string, trade_date date, open double, close double")
+    e = spark.createDataFrame([(day(1), "x", 1.0)], "exec_date date, entity string, weight double")
+    held = {r.trade_date: r for r in backtest.simulate_open(p, e, 0.01).collect()}
+    assert sorted(held) == [day(1), day(2)] and held[day(1)].gross == 0 and abs(held[day(1)].net + 0.01) < 1e-12
+    assert abs(held[day(2)].overnight - 0.25) < 1e-12 and abs(held[day(2)].gross) < 1e-12
+    entry = {r.trade_date: r for r in backtest.simulate_open(p, e, 0.01, entry_day=True).collect()}
+    assert abs(entry[day(1)].net - (1.2 * 0.99 - 1)) < 1e-12
