@@ -7,7 +7,8 @@ document. Documents aren't shuffled; only the word counts of a bounded sample ar
 binary piece of each id and concatenates the pieces.
 
 The rank map is keyed by pairs of ids: Spark searches a map value linearly, so it is laid out as two
-literal arrays by row displacement (the entry of (a, b) is at shift[a] + b and is valid if its owner is a).
+literal arrays by row displacement. The entry of (a, b) is at shift[a] + b and holds its owner a above the rank,
+so that an exclusive or with the a that is asked for leaves the rank alone, or more than any rank.
 
 Defined cases: null and empty texts have no ids; repeated rows are encoded each; ids outside the
 vocabulary decode to nothing; other columns are ignored; an empty table gives an empty result. A single
@@ -36,6 +37,8 @@ NONE = 1 << 17
 #: A part of a word in one long: rank of its merge above, then its place in the word (28 bits), then its id (17 bits).
 _RANK, _ID, _PLACE = 45, (1 << 17) - 1, ((1 << 28) - 1) << 17
 _STOP = NONE << _RANK
+#: Owner of a slot without entry: no id is as large.
+_NOBODY = 1 << 20
 #: UTF-8 bytes of documents in a block (a longer document is a block of its own).
 BLOCK_BYTES = 3 << 20
 #: Frequent words that are encoded once for all blocks, and the bytes of documents they are counted in.
@@ -85,7 +88,7 @@ class Vocabulary:
         rows = sorted(self.pairs().items(), key=lambda r: (-len(r[1]), r[0]))
         rights = [np.fromiter(row, np.int64, len(row)) for _, row in rows]
         total = sum(map(len, rights))
-        span = 4 * total
+        span = 3 * total // 2
         owner = np.full(span + 4 * self.size + (1 << 17), -1, np.int32)
         shift = np.zeros(self.size, np.int64)
         draw = np.random.default_rng(0)
@@ -129,32 +132,27 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def merge_all(word: Column, shift: Column, owner: Column, rank: Column) -> Column:
+def merge_all(word: Column, shift: Column, entry: Column) -> Column:
     """Ids of a word: ranked merges folded over its bytes, the lowest rank first, the leftmost of equals.
 
     The state is one array of longs, a part each: the rank of its merge with the next part, its place
     in the word and its id. Its least entry is the next merge.
     """
 
-    def pair(a, b):
-        slot = F.get(shift, a) + b
-        return F.when(F.get(owner, slot) == a, F.get(rank, slot)).otherwise(F.lit(NONE))
-
-    def packed(rank_, place, id_):
-        return F.shiftleft(rank_.cast("bigint"), _RANK) + place + id_
+    def merge(a, b):
+        found = F.get(entry, F.get(shift, a) + b).bitwiseXOR(F.shiftleft(a, 17))
+        return F.shiftleft(F.least(found, F.lit(NONE).cast("bigint")), _RANK)
 
     def step(state, _):
-        def merged(m, p):
-            new = F.shiftright(m, _RANK).cast("int")
-            before = F.get(state, p - 2)
-            left, right = before.bitwiseAND(_ID).cast("int"), F.get(state, p + 1).bitwiseAND(_ID).cast("int")
-            two = F.array(packed(pair(left, new), before.bitwiseAND(_PLACE), left), packed(pair(new, right), m.bitwiseAND(_PLACE), new))
-            return F.concat(F.slice(state, F.lit(1), p - 2), two, F.slice(state, p + 2, F.size(state)))
-
-        def at_least(m):
-            return F.when(m >= _STOP, state).otherwise(_let(F.array_position(state, m).cast("int"), lambda p: merged(m, p)))
+        def merged(p):
+            m, before, after = F.get(state, p - 1), F.get(state, p - 2), F.get(state, p + 1)
+            new = F.shiftright(m, _RANK)
+            left = merge(before.bitwiseAND(_ID), new).bitwiseOR(before.bitwiseAND(_PLACE | _ID))
+            both = merge(new, after.bitwiseAND(_ID)).bitwiseOR(m.bitwiseAND(_PLACE)).bitwiseOR(new)
+            parts = F.flatten(F.array(F.slice(state, F.lit(1), p - 2), F.array(left, both), F.slice(state, p + 2, F.size(state))))
+            return F.when(m >= _STOP, state).otherwise(parts)
 
-        return _let(F.array_min(state), at_least)
+        return _let(F.array_position(state, F.array_min(state)).cast("int"), merged)
 
     parts = F.aggregate(F.sequence(F.lit(4), F.size(word)), word, step)
     return F.transform(F.slice(parts, F.lit(2), F.size(parts) - 2), lambda x: x.bitwiseAND(_ID).cast("int"))
@@ -324,9 +322,11 @@ def frequent_words(documents: DataFrame, pattern: str, words: int = DICTIONARY_W
 
 
 def _encoded(documents: DataFrame, vocab: Vocabulary, block_bytes: int, each: Each, schema: str, dictionary=None) -> DataFrame:
-    table = F.struct(*(_literal(x, "int").alias(k) for k, x in zip(("shift", "owner", "rank"), vocab.layout)))
+    shift, owner, rank = vocab.layout
+    entry = np.where(owner < 0, _NOBODY, owner).astype(np.int64) << 17 | rank
+    table = F.struct(_literal(shift, "int").alias("shift"), _literal(entry, "bigint").alias("entry"))
     blocks = documents.select("doc_id", "text").mapInArrow(_blocks(vocab, block_bytes, dictionary), BLOCK_SCHEMA)
-    words = _let(table, lambda t: F.transform("words", lambda w: merge_all(w, t["shift"], t["owner"], t["rank"])))
+    words = _let(table, lambda t: F.transform("words", lambda w: merge_all(w, t["shift"], t["entry"])))
 
     def run(batches):
         for batch in batches:
