@@ -22,10 +22,11 @@ import functools
 import itertools
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -351,11 +352,21 @@ def encode(documents: DataFrame, vocab: Vocabulary, block_bytes: int = BLOCK_BYT
     return _encoded(documents, vocab, block_bytes, each, schema, held)
 
 
+def id_lists(ids: pa.ListArray) -> Iterator[list[int]]:
+    """The ids of each list; null ids are -1, a null list has none."""
+    flat = ids.flatten().fill_null(-1).to_numpy()
+    ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy())
+    return (flat[a:b].tolist() for a, b in itertools.pairwise([0, *ends.tolist()]))
+
+
 def decode_batch(ids: pa.ListArray, vocab: Vocabulary) -> list[bytes]:
     """The bytes of each list of ids: their binary pieces, one after the other."""
     pieces = vocab.pieces
-    piece = lambda i: pieces[i] if i is not None and 0 <= i < len(pieces) else b""
-    return [b"".join(map(piece, x.as_py() or ())) for x in ids]
+    if pc.all(pc.and_(pc.greater_equal(ids.flatten(), 0), pc.less(ids.flatten(), len(pieces))), min_count=0, skip_nulls=False).as_py():
+        piece = pieces.__getitem__
+    else:
+        piece = lambda i: pieces[i] if 0 <= i < len(pieces) else b""
+    return [b"".join(map(piece, x)) for x in id_lists(ids)]
 
 
 def decode(encoded: DataFrame, vocab: Vocabulary) -> DataFrame:

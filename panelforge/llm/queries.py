@@ -49,7 +49,7 @@ def encoded_digests(docs: DataFrame) -> DataFrame:
 
     def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(1)
-        listed = [hashlib.sha256(",".join([digits[i] for i in x.as_py()]).encode()).hexdigest() for x in ids]
+        listed = [hashlib.sha256(",".join(map(digits.__getitem__, x)).encode()).hexdigest() for x in byte_bpe.id_lists(ids)]
         decoded = [hashlib.sha256(x).hexdigest() for x in byte_bpe.decode_batch(ids, vocab)]
         columns = [batch.column(0), ids.value_lengths().cast(pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
