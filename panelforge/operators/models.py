@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.operators import state_models
 from panelforge.panel import ratio
+from panelforge.shared import release
 
 c = F.col
 
@@ -57,60 +59,19 @@ class GaussianStates:
             out[t] = p
         return out
 
-    def expected(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Smoothed state probabilities, summed transitions and the log likelihood."""
-        dens = self.log_density(x)
-        top = dens.max(1, keepdims=True)
-        b, n = np.exp(dens - top), len(x)
-        alpha, scale = np.empty_like(b), np.empty(n)
-        for t in range(n):
-            a = (self.start if t == 0 else alpha[t - 1] @ self.transition) * b[t]
-            scale[t] = a.sum()
-            alpha[t] = a / scale[t]
-        beta, moves = np.ones_like(b), np.zeros_like(self.transition)
-        for t in range(n - 2, -1, -1):
-            nxt = b[t + 1] * beta[t + 1] / scale[t + 1]
-            moves += alpha[t][:, None] * self.transition * nxt
-            beta[t] = self.transition @ nxt
-        return alpha * beta, moves, float(np.log(scale).sum() + top.sum())
-
-
-def fit_states(panel: DataFrame, columns: list[str], n_states: int, rounds: int = 300, floor: float = 1e-4, tol: float = 1e-2) -> tuple[GaussianStates, list[float]]:
-    """Expectation-maximisation over all entities; returns the model and the log likelihood per round.
-
-    Ends when a round raises the log likelihood by less than tol; rounds is only a ceiling.
-
-    Each round is one job: entities emit sufficient statistics, which are summed by aggregation, and
-    only those sums (states x columns numbers) reach the driver. Rows with a null are left out.
+
+def fit_states(panel: DataFrame, columns: list[str], n_states: int, rounds: int = 300, floor: float = 1e-4, tol: float = 1e-2, starts: int = 3) -> tuple[GaussianStates, list[float]]:
+    """The best of several starts of expectation-maximisation over all entities, and its log likelihood per round.
+
+    A start ends when a round raises its log likelihood by less than tol; rounds is only a ceiling. Sequences are
+    written once and all starts are trained side by side (state_models). Rows with a null are left out.
     """
-    rows = panel.where(" and ".join(f"{x} is not null" for x in columns)).select("entity", "trade_date", *columns)
-    qs = np.linspace(0, 1, 2 * n_states + 1)[1::2].tolist()
-    first = rows.agg(*(F.percentile(x, F.array(*map(F.lit, qs))).alias(x) for x in columns), *(F.var_pop(x).alias(f"v_{x}") for x in columns)).first()
-    model = GaussianStates(
-        np.full(n_states, 1 / n_states), np.full((n_states, n_states), 0.1 / max(1, n_states - 1)), np.array([first[x] for x in columns]).T, np.tile([max(first[f"v_{x}"], floor) for x in columns], (n_states, 1))
-    )
-    np.fill_diagonal(model.transition, 0.9 if n_states > 1 else 1.0)
-    trace = []
-    for _ in range(rounds):
-        m = model
-
-        def stats(pdf: pd.DataFrame) -> pd.DataFrame:  # with a second argument Spark would pass the key first
-            x = pdf.sort_values("trade_date")[columns].to_numpy()
-            gamma, moves, ll = m.expected(x)
-            return pd.DataFrame({"s": [np.concatenate([[ll], gamma[0], moves.ravel(), gamma.sum(0), (gamma.T @ x).ravel(), (gamma.T @ x**2).ravel()]).tolist()]})
-
-        parts = rows.groupBy("entity").applyInPandas(stats, "s array<double>")
-        sums = parts.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
-        k, d = n_states, len(columns)
-        ll, start, moves, total, sx, sxx = np.split(sums, np.cumsum([1, k, k * k, k, k * d]))
-        trace.append(float(ll[0]))
-        mean = sx.reshape(k, d) / np.maximum(total, 1e-12)[:, None]
-        var = np.maximum(sxx.reshape(k, d) / np.maximum(total, 1e-12)[:, None] - mean**2, floor)
-        moves = moves.reshape(k, k) + 1e-6
-        model = GaussianStates(start / start.sum(), moves / moves.sum(1, keepdims=True), mean, var)
-        if len(trace) > 1 and trace[-1] - trace[-2] < tol:
-            break
-    return model, trace
+    seqs = state_models.sequences(panel.withColumn("window", F.lit(0)), columns)
+    got = state_models.fit(seqs, len(columns), state_models.Config(n_states=n_states, starts=starts, rounds=rounds, floor=floor, tol=tol))
+    release(seqs)
+    if not len(got.window):
+        raise ValueError("no row without nulls to train on")
+    return GaussianStates(got.start[0], got.move[0], got.mean[0], got.var[0]), got.trace[0]
 
 
 def filtered_states(panel: DataFrame, columns: list[str], model: GaussianStates) -> DataFrame:
@@ -165,19 +126,6 @@ def exit_probability(pmf: np.ndarray, age: int, horizon: int) -> float | None:
     return float(pmf[age : age + horizon].sum() / tail) if tail > 0 else None
 
 
-def lifecycle(ages: DataFrame, pmf: list[float], horizons: list[int]) -> DataFrame:
-    """Duration percentile, exit probabilities and expected rest for a column age, with array functions."""
-    p = F.array(*(F.lit(float(x)) for x in pmf))
-    add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    tail = add(F.slice(p, c("age") + 1, len(pmf)))
-    alive = (c("age") < len(pmf)) & (tail > 0)
-    rest = F.aggregate(F.transform(F.slice(p, c("age") + 1, len(pmf)), lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
-    return ages.select(
-        "*", F.when(alive, add(F.slice(p, F.lit(1), c("age")))).alias("duration_percentile"), *(F.when(alive, ratio(add(F.slice(p, c("age") + 1, h)), tail)).alias(f"p_exit_{h}") for h in horizons),
-        F.when(alive, ratio(rest, tail)).alias("expected_rest"),
-    )
-
-
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> list[tuple[float, float]]:
     """Pool adjacent violators: (largest x, value) of each block, a step function."""
     order = np.argsort(x, kind="mergesort")

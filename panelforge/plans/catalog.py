@@ -664,12 +664,6 @@ def isotonic_calibration(spark, sf_dir):
     return rounded(models.isotonic_by(s, "entity", "rs_20d", "hit"))
 
 
-@query()
-def lifecycle_scalars(spark, sf_dir):
-    ages = _segments(spark, sf_dir).select("entity", "segment", (c("n_days") % 8).cast("int").alias("age"))
-    return rounded(models.lifecycle(ages, [0.4, 0.2, 0.15, 0.1, 0.08, 0.05, 0.02], [1, 3]))
-
-
 @query(q.base(upto="feats") + f""", m AS (SELECT quantile_cont(ret_5d, 0.01) AS lo, quantile_cont(ret_5d, 0.99) AS hi FROM feats), x AS (SELECT greatest(least(ret_5d, hi), lo) AS x, lo, hi FROM feats, m WHERE ret_5d IS NOT NULL)
 SELECT 'ret_5d' AS "column", round(any_value(lo), 6) AS low, round(any_value(hi), 6) AS high, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM x""")
 def preprocessing_stats(spark, sf_dir):
