@@ -1,18 +1,17 @@
-"""Shared building blocks: materialised tables, bounded broadcasts, id bitmaps and components."""
+"""Shared building blocks: bounded broadcasts, id bitmaps and components."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from panelforge.shared import materialize, release, shared_dir  # noqa: F401  the other modules take them from here
+
 #: Bits in an id bitmap (8 MB when broadcast). A fuller bitmap only lets more rows through.
 BITMAP_BITS = 1 << 26
 _BUCKET_BITS = 32768
@@ -20,36 +19,6 @@ _BUCKET_BITS = 32768
 SLICE_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where all tasks run in this process."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[.*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir has to name a shared folder on {master}")
-        path = "file://" + tempfile.mkdtemp(prefix="panelforge-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._pf_path = path
-    return out
-
-
-def release(*tables: DataFrame | None) -> None:
-    """Delete tables that materialize wrote and that nothing reads any more."""
-    for t in tables:
-        if t is not None and hasattr(t, "_pf_path"):
-            path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._pf_path)
-            path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow with fn(batch) yielding dicts of column arrays that follow the DDL schema."""
     fields = list(to_arrow_schema(StructType.fromDDL(schema)))
@@ -110,9 +79,12 @@ def surely_not_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
 
 def without_ids(df: DataFrame, column: str, removed: DataFrame) -> DataFrame:
-    """df without the rows whose id is in removed(column); only rows that may go are shuffled."""
-    maybe = maybe_in(df, column, removed).join(removed.select(column).distinct(), column, "left_anti")
-    return surely_not_in(df, column, removed).unionByName(maybe.select(df.columns))
+    """df without the rows whose id is in removed(column); only rows that may go are shuffled. df may have any other columns."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    packed = df.select(row, F.col(f"`{column}`").alias("id"))  # df's columns stay apart from our own
+    gone = removed.select(F.col(column).alias("id"))
+    maybe = maybe_in(packed, "id", gone).join(gone.distinct(), "id", "left_anti")
+    return surely_not_in(packed, "id", gone).unionByName(maybe.select("row", "id")).select("row.*")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:

@@ -154,8 +154,9 @@ def measured(texts: DataFrame) -> DataFrame:
 
 
 def traits(nodes: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
-    """Measures of the nodes' shingle sets, and the lines' signatures."""
-    own = texts.join(nodes, "node").select("node", signature(F.col("line")).alias("sig"))
+    """Measures of the nodes' shingle sets, and the signatures of the lines that have keys of them."""
+    dense = F.when(F.length("line") >= DENSE_FROM, signature(F.col("line"))).otherwise(F.array().cast("array<bigint>"))
+    own = texts.join(nodes, "node").select("node", dense.alias("sig"))
     return materialize(own.join(sets, "node"), "traits")
 
 
@@ -166,7 +167,7 @@ def may_link(x: str, y: str) -> str:
 
 
 def meet_once(x: str, y: str) -> str:
-    """may_link, in the first of the buckets of windows that a pair shares."""
+    """may_link, in the first of the buckets of windows that a pair of dense lines shares; other pairs in each bucket."""
     shared = f"array_intersect({x}.sig, {y}.sig)"
     return f"{may_link(x, y)} and (size({shared}) < 2 or {x}.key = xxhash64(2, {shared}[0], {shared}[1]))"
 

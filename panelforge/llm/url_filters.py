@@ -11,7 +11,7 @@ join back to the captures has one row per host and time on its other side, with
 
 Defined cases: a null or host-less url, or a null fetched_at, has no active entries; events with a null
 part are ignored; of events at one time, removals come before additions; repeated events change nothing;
-repeated captures are evaluated each; extra columns of captures are carried along.
+repeated captures are evaluated each; extra columns of captures are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 #: Days of a slice of time in which intervals and captures of a host meet.
 SLICE_DAYS = 32
 
@@ -29,8 +28,8 @@ def _slice_of(time: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host of a url without user, port and closing dots; null if there is none."""
-    host = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    """Lower-case host of a url without user, port and closing dots (an IPv6 address keeps its brackets); null if there is none."""
+    host = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:]*)", 1)
     host = F.regexp_replace(host, r"\.+$", "")
     return F.when(F.length(host) > 0, host)
 
@@ -46,23 +45,33 @@ def intervals(events: DataFrame) -> DataFrame:
     return spans.where("valid_to is null or at < valid_to").select("list_name", "rule", F.col("at").alias("valid_from"), "valid_to")
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """The name, with more leading underscores while a column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name
+
+
 def evaluate(captures: DataFrame, events: DataFrame) -> DataFrame:
     """captures with their host and the entries active at fetch time.
 
-    Adds _host, _active (sorted array of list_name and rule) to the columns of captures.
+    Adds _host, _active (sorted array of list_name and rule) to the columns of captures; where captures has a column
+    of such a name, the added one has another underscore in front.
     """
-    seen = captures.withColumn("_host", host_of(F.col("url")))
-    moments = seen.select("_host", "fetched_at").where("_host is not null and fetched_at is not null").distinct()
-    hosts = moments.groupBy("_host").agg(F.min("fetched_at").alias("since"), F.max("fetched_at").alias("until"))
-    labels = F.split("_host", r"\.")
+    row = F.struct(*(F.col(f"`{c}`") for c in captures.columns)).alias("row")  # the captures' columns stay apart from our own
+    seen = captures.select(row, host_of(F.col("url")).alias("host"), F.col("fetched_at").alias("at"))
+    moments = seen.select("host", "at").where("host is not null and at is not null").distinct()
+    hosts = moments.groupBy("host").agg(F.min("at").alias("since"), F.max("at").alias("until"))
+    labels = F.split("host", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     matched = hosts.select("*", F.explode(ends).alias("rule")).join(intervals(events), "rule")
     matched = matched.where("valid_from <= until and (valid_to is null or since < valid_to)")
     slices = F.sequence(_slice_of(F.greatest("valid_from", "since")), _slice_of(F.least("valid_to", "until")))
-    pieces = matched.select("_host", F.explode(slices).alias("slice"), "list_name", "rule", "valid_from", "valid_to")
-    found = moments.withColumn("slice", _slice_of(F.col("fetched_at"))).join(pieces, ["_host", "slice"])
-    found = found.where("valid_from <= fetched_at and (valid_to is null or fetched_at < valid_to)")
-    active = found.groupBy("_host", "fetched_at").agg(F.array_sort(F.collect_set(F.struct("list_name", "rule"))).alias("_active"))
+    pieces = matched.select("host", F.explode(slices).alias("slice"), "list_name", "rule", "valid_from", "valid_to")
+    found = moments.withColumn("slice", _slice_of(F.col("at"))).join(pieces, ["host", "slice"])
+    found = found.where("valid_from <= at and (valid_to is null or at < valid_to)")
+    active = found.groupBy("host", "at").agg(F.array_sort(F.collect_set(F.struct("list_name", "rule"))).alias("active"))
     none = F.array().cast("array<struct<list_name:string,rule:string>>")
-    joined = seen.join(active, ["_host", "fetched_at"], "left")
-    return joined.select("_host", *captures.columns, F.coalesce("_active", none).alias("_active"))
+    joined = seen.join(active, ["host", "at"], "left")
+    names = [_free(x, captures.columns) for x in ("_host", "_active")]
+    return joined.select(F.col("host").alias(names[0]), "row.*", F.coalesce("active", none).alias(names[1]))

@@ -162,3 +162,102 @@ def test_registered_chats(spark):
         want.add((cid, len(rows), sha("".join(f"{role}\n{t}\n" for _, role, t in rows)), len(learnt), sha(learnt)))
     got = {(r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op9_chat_format(spark, data).collect()}
     assert got == want
+
+
+def test_url_columns_may_clash(spark):
+    caps = spark.createDataFrame([(1, "http://[2001:DB8::1]:80/x", dt.date(2024, 1, 2), "a", "h", 5), (2, "http://a.b", None, "b", "h", 6)], "id int, url string, fetched_at date, _active string, _HOST string, active int")
+    events = spark.createDataFrame([("v6", "[2001:db8::1]", "add", dt.date(2024, 1, 1))], "list_name string, rule string, action string, at date")
+    out = url_filters.evaluate(caps, events)
+    assert out.columns == ["__host", *caps.columns, "__active"]
+    assert sorted((r.id, r._active, r._HOST, r.active, r["__host"], len(r["__active"])) for r in out.collect()) == [(1, "a", "h", 5, "[2001:db8::1]", 1), (2, "b", "h", 6, "a.b", 0)]
+
+
+def test_ids_removed_beside_own_column_names(spark):
+    from panelforge.llm.common import without_ids
+
+    rows = [(i, i, f"s{i}", i, True, "r") for i in range(20)] + [(None, 1, "n", 1, False, "r")]
+    df = spark.createDataFrame(rows, "doc_id bigint, _pf_slot bigint, _pf_bucket string, _pf_bits bigint, _pf_maybe boolean, row string")
+    out = without_ids(df, "doc_id", spark.createDataFrame([(3,), (5,), (99,)], "doc_id bigint"))
+    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(str(r) for r in df.collect() if r.doc_id not in (3, 5))
+
+
+def brute_components(lines):
+    """Components of distinct lines by the exact similarity of their character shingles."""
+    sets = [{s[i : i + 5] for i in range(len(s) - 4)} or {s} for s in lines]
+    names = list(range(len(lines)))
+
+    def root(i):
+        while names[i] != i:
+            i = names[i]
+        return i
+
+    for i in range(len(lines)):
+        for j in range(i):
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if 100 * small >= 80 * large:
+                common = len(sets[i] & sets[j])
+                if 100 * common >= 80 * (small + large - common):
+                    a, b = root(i), root(j)
+                    names[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(lines))]
+
+
+def test_short_lines_beside_others_of_their_beginning(docs):
+    """Pairs of 14 and 15 characters, each among other lines with the same first 12: every link is kept."""
+    import random
+
+    r = random.Random(2)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for _ in range(150):
+        head = word(14)
+        lines += [head, head + word(1)] + [head[:12] + word(r.randrange(4, 9)) for _ in range(19)]
+    lines = list(dict.fromkeys(lines))
+    r.shuffle(lines)
+    out = {x.doc_id: x.text for x in line_dedup.deduplicate(docs(list(enumerate(lines)))).collect()}
+    assert [bool(out[i]) for i in range(len(lines))] == [c == i for i, c in enumerate(brute_components(lines))]
+
+
+def test_lines_against_brute_force(docs):
+    """Random lines of many lengths and alphabets with edited copies: the lines that stay are those of brute force."""
+    import random
+
+    r = random.Random(9)
+    lines = []
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz ", "0123456789", "".join(map(chr, range(0x4E00, 0x4F00))), "".join(map(chr, range(0x430, 0x450)))):
+        for n in (3, 5, 8, 12, 15, 16, 20, 40, 200):
+            for _ in range(9):
+                base = "x" + "".join(r.choice(alphabet) for _ in range(n - 1))
+                lines.append(base)
+                for _ in range(4):
+                    copy = list(base)
+                    for _ in range(max(1, n // 60)):
+                        copy[r.randrange(len(copy))] = r.choice(alphabet.strip())
+                    lines.append("".join(copy) + r.choice(["", "", "z"]))
+    lines = list(dict.fromkeys(lines))
+    r.shuffle(lines)
+    out = {x.doc_id: x.text for x in line_dedup.deduplicate(docs(list(enumerate(lines)))).collect()}
+    want = [c == i for i, c in enumerate(brute_components(lines))]
+    got = [bool(out[i]) for i in range(len(lines))]
+    assert all(w <= g for w, g in zip(want, got))  # none is dropped wrongly
+    assert sum(g != w for w, g in zip(want, got)) <= 0.01 * want.count(False)  # recall
+
+
+def test_no_folder_is_configured():
+    """A local session without spark.checkpoint.dir gets a folder of its own, and remembers it."""
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "import tempfile\nfrom pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "from panelforge.llm.common import materialize, shared_dir\n"
+        "assert s.conf.get('spark.checkpoint.dir', None) is None\n"
+        "assert materialize(s.range(5), 't').count() == 5 and shared_dir(s) == shared_dir(s)\nprint('fine')"
+    )
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    import tempfile
+
+    env = os.environ | {"SPARK_CONF_DIR": tempfile.mkdtemp(), "PYTHONPATH": top}
+    assert "fine" in subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120).stdout
