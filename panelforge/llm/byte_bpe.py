@@ -11,14 +11,16 @@ literal arrays by row displacement. The entry of (a, b) is at shift[a] + b and h
 so that an exclusive or with the a that is asked for leaves the rank alone, or more than any rank.
 
 Defined cases: null and empty texts have no ids; repeated rows are encoded each; ids outside the
-vocabulary decode to nothing; other columns are ignored; an empty table gives an empty result. A single
-unbroken word takes time quadratic in its length, and may have 2^28 bytes at most (an error beyond).
+vocabulary decode to nothing; other columns are ignored; an empty table gives an empty result. The fold takes
+time quadratic in a word's length, so an unbroken word over LONG bytes takes the same merges from a heap in the task
+that splits its text, in time n log n.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import heapq
 import itertools
 import re
 from collections import Counter
@@ -40,6 +42,8 @@ _RANK, _ID, _PLACE = 45, (1 << 17) - 1, ((1 << 28) - 1) << 17
 _STOP = NONE << _RANK
 #: Owner of a slot without entry: no id is as large.
 _NOBODY = 1 << 20
+#: Bytes from which on a word isn't folded.
+LONG = 512
 #: UTF-8 bytes of documents in a block (a longer document is a block of its own).
 BLOCK_BYTES = 3 << 20
 #: Frequent words that are encoded once for all blocks, and the bytes of documents they are counted in.
@@ -173,13 +177,39 @@ def packed_bytes(flat: np.ndarray, ends: np.ndarray, layout) -> tuple[np.ndarray
     size = np.diff(ends)
     word = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(flat)) - ends[word]
-    if len(place) and place.max() >= 1 << 28:
-        raise ValueError("a word has 2^28 bytes or more")
     states = np.full(len(flat) + 2 * len(size), _STOP | len(shift), np.int64)
     states[np.arange(len(flat)) + 2 * word + 1] = merges << _RANK | place << 17 | flat
     return states, ends + 2 * np.arange(len(ends))
 
 
+def merge_long(word: bytes, base: np.ndarray, pairs: dict[int, int]) -> list[int]:
+    """Ids of a long word: ranked merges from a heap, the lowest rank first, the leftmost of equals.
+
+    pairs has the id of two ids together under left << 17 | right. A part is at the place of its first byte, linked with
+    its neighbours; an entry of the heap whose part has gone or merges otherwise by now is passed over.
+    """
+    ids = base[np.frombuffer(word, np.uint8)].tolist()
+    n, get = len(ids), pairs.get
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [r << 40 | i for i, r in enumerate(map(get, (a << 17 | b for a, b in itertools.pairwise(ids)))) if r is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, i = divmod(heapq.heappop(heap), 1 << 40)
+        j = after[i]
+        if ids[i] < 0 or j == n or get(ids[i] << 17 | ids[j]) != r:
+            continue
+        ids[i], ids[j] = r, -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (new := get(r << 17 | ids[k])) is not None:
+                heapq.heappush(heap, new << 40 | i)
+        h = before[i]
+        if h >= 0 and (new := get(ids[h] << 17 | r)) is not None:
+            heapq.heappush(heap, new << 40 | h)
+    return [x for x in ids if x >= 0]
+
+
 def _finder(pattern: str):
     """findall of the pattern; texts of ASCII alone take the same pattern with its classes spelled out."""
     general = regex.compile(pattern).findall
@@ -232,6 +262,8 @@ def _blocks(vocab: Vocabulary, block_bytes: int, dictionary=None):
             sizes.append(len(flat))
         at, values, offsets = made["dictionary"]
         entry = np.fromiter(map(at.get, number, itertools.repeat(-1)), np.int64, len(number))
+        if any(len(w) > LONG // 4 for w in number):
+            values, offsets = with_long(list(number), entry, values, offsets)
         known, raw = np.flatnonzero(entry >= 0), [w.encode() for w, k in zip(number, entry.tolist()) if k < 0]
         place = np.empty(len(number), np.int32)
         place[known] = np.arange(len(known))
@@ -248,6 +280,15 @@ def _blocks(vocab: Vocabulary, block_bytes: int, dictionary=None):
         ]
         return pa.RecordBatch.from_arrays(columns, names=["doc_ids", "ends", "numbers", "known", "begins", "words"])
 
+    def with_long(words, entry, values, offsets):
+        """Words of over LONG bytes get their ids here: entries behind the dictionary's."""
+        long = [i for i, w in enumerate(words) if entry[i] < 0 and len(w) > LONG // 4 and len(w.encode()) > LONG]
+        if long and "pairs" not in made:
+            made["pairs"] = {a << 17 | b: r for a, row in vocab.pairs().items() for b, r in row.items()}
+        got = [merge_long(words[i].encode(), base, made["pairs"]) for i in long]
+        entry[long] = len(offsets) - 1 + np.arange(len(long))
+        return np.concatenate([values, *(np.array(x, values.dtype) for x in got)]), np.concatenate([offsets, offsets[-1] + np.cumsum([len(x) for x in got], dtype=offsets.dtype)])
+
     def run(batches):
         made["find"] = _finder(pattern)
         if not made.get("dictionary"):

@@ -144,3 +144,33 @@ def test_long_documents_in_pieces(docs, corpus, prose, monkeypatch):
     assert starts == list(range(1000 - substring_dedup.WINDOW + 1))
     pieces = list(substring_dedup._pieces((1 << 24) + 5, 1 << 20))
     assert pieces[-1][1] == (1 << 24) + 5 and max(e - b for b, e in pieces) <= 1 << 20
+
+
+def test_long_words(spark):
+    """Unbroken words of up to a megabyte encode as tiktoken does, and merges from a heap equal folded ones."""
+    import random
+
+    import numpy as np
+
+    from panelforge.llm import queries
+
+    r = random.Random(4)
+    vocab = queries.vocabulary()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab.ranks, special_tokens={})
+    letters = lambda n, of: "".join(r.choice(of) for _ in range(n))
+    long = [letters(1_000_000, "etaoinshrdlu"), "x" * 20_000, letters(6000, "äöüé"), letters(5000, "!?#-"), letters(513, "abc"), letters(512, "abc"), " " * 3000, letters(4000, "0123456789")]
+    long += [f"{letters(700, 'the')} and {letters(900, 'er')}", "short"]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id bigint, text string")
+    got = {x.doc_id: x.ids for x in byte_bpe.encode(docs, vocab).collect()}
+    # the library takes quadratic time itself: the megabyte is held against pieces of it that no merge can cross
+    for i, t in enumerate(long[1:], 1):
+        assert got[i] == library.encode_ordinary(t), i
+    pieces = vocab.pieces
+    assert b"".join(pieces[x] for x in got[0]).decode() == long[0]
+    pairs = {a << 17 | b: k for a, row in vocab.pairs().items() for b, k in row.items()}
+    base = np.array([vocab.ranks[bytes([b])] for b in range(256)])
+    for _ in range(200):
+        w = letters(r.randrange(2, 60), "etaoin s" if r.random() < 0.5 else "aé你").strip().encode() or b"a"
+        assert byte_bpe.merge_long(w, base, pairs) == library._encode_single_piece(w)
+    whole = library.encode_ordinary(long[0][:30_000])
+    assert got[0][: len(whole) - 20] == whole[: len(whole) - 20]  # merges are local: only the last few can differ
