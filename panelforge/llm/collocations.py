@@ -30,8 +30,8 @@ from .common import materialize, sliced
 from .words import WordHashes, texts, window_hashes
 
 LEAST, MAX_WORDS, SHARE, TOP = 10, 3, 50, 2000
-#: Words of a shard, phrases whose sums a task holds, buckets of a block, bounds of the number of buckets (as powers of two).
-SHARD, HELD, BLOCK_BITS, MIN_BITS, MAX_BITS = 400_000, 300_000, 15, 18, 29
+#: Words of a shard, phrases whose sums a task holds; as powers of two: blocks of the sketch, bounds of its number of buckets.
+SHARD, HELD, BLOCKS, MIN_BITS, MAX_BITS = 200_000, 200_000, 11, 18, 29
 _BREAK = b"\xff"  # no byte of UTF-8 text: stands for the end of a piece
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 255 if chr(b) in ".,;:!?\n\v\f\r" else b for b in range(256))
 _DIGITS = "".join(map(chr, range(0x100, 0x120)))  # 32 of them
@@ -78,12 +78,26 @@ def _phrases(lang: str, h: np.ndarray, gap: np.uint64, bits: int) -> list[tuple[
 def _size_of(texts_: DataFrame) -> int:
     """Bits of the bucket number: two buckets to three bytes of text or so, between the bounds."""
     size = texts_.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    return min(MAX_BITS, max(MIN_BITS, int(size // 2).bit_length()))
+    return min(MAX_BITS, max(MIN_BITS, int(size // 2).bit_length()))  # more than BLOCKS + 3: a block's bits are whole bytes
+
+
+def _packed(place: np.ndarray, n: np.ndarray, within: int) -> bytes:
+    """Sorted places of a block and their counts up to 255: how many places share their high bits, low bits, counts."""
+    high = np.bincount(place >> np.uint32(16), minlength=max(1, 1 << (within - 16)) if within > 16 else 1)
+    return high.astype(np.uint32).tobytes() + place.astype(np.uint16).tobytes() + n.tobytes()
+
+
+def _unpacked(packed: bytes, within: int) -> tuple[np.ndarray, np.ndarray]:
+    parts = 1 << max(0, within - 16)
+    high = np.frombuffer(packed, np.uint32, parts)
+    n = int(high.sum())
+    low = np.frombuffer(packed, np.uint16, n, 4 * parts).astype(np.int64)
+    return low + np.repeat(np.arange(parts) << 16, high), np.frombuffer(packed, np.uint8, n, 4 * parts + 2 * n)
 
 
 def sketch(corpus: DataFrame, least: int, bits: int) -> DataFrame:
     """(block int, bits binary): a bit for each bucket, set where at least so many phrases of corpus(lang, text) fall in it."""
-    within = min(BLOCK_BITS, bits)
+    within = max(0, bits - BLOCKS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -96,8 +110,8 @@ def sketch(corpus: DataFrame, least: int, bits: int) -> DataFrame:
             block = bucket >> np.uint32(within)
             edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             stop = np.append(edge[1:], len(block))
-            place, n = (bucket & np.uint32((1 << within) - 1)).astype(np.uint16), np.minimum(n, min(least, 255)).astype(np.uint8)
-            packed = [place[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(edge, stop)]
+            place, n = bucket & np.uint32((1 << within) - 1), np.minimum(n, min(least, 255)).astype(np.uint8)
+            packed = [_packed(place[a:b], n[a:b], within) for a, b in zip(edge, stop)]
             return pa.RecordBatch.from_arrays([pa.array(block[edge].astype(np.int32)), pa.array(packed, pa.binary())], names=["block", "packed"])
 
         for lang, words in _shards(batches, SHARD):
@@ -122,8 +136,8 @@ def sketch(corpus: DataFrame, least: int, bits: int) -> DataFrame:
                     if now is not None:
                         yield closed()
                     now, total = block, np.zeros(1 << within, np.int64)
-                n = len(packed) // 3
-                total[np.frombuffer(packed, np.uint16, n)] += np.frombuffer(packed, np.uint8, n, 2 * n)  # places are distinct
+                place, n = _unpacked(packed, within)
+                total[place] += n  # places are distinct
         if now is not None:
             yield closed()
 
@@ -178,11 +192,9 @@ def phrase_counts(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame,
     corpus = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     bits = _size_of(corpus)
     rows = sketch(corpus, least, bits).toArrow()  # at most 2^MAX_BITS bits
-    within = min(BLOCK_BITS, bits)
-    held = bytearray(max(1, (1 << bits) // 8))
+    held = bytearray((1 << bits) // 8)
     for block, own in zip(rows.column("block").to_pylist(), rows.column("bits").to_pylist()):
         held[block * len(own) : (block + 1) * len(own)] = own
-    assert not rows.num_rows or len(own) == max(1, (1 << within) // 8)
     shared = documents.sparkSession.sparkContext.broadcast(bytes(held))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

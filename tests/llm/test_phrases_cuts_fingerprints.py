@@ -184,7 +184,7 @@ def test_collocations_of_few_words(spark):
 
 
 def test_full_sketch_changes_nothing(spark, phrases, monkeypatch):
-    monkeypatch.setattr(collocations, "_size_of", lambda _: 3)  # eight buckets: every phrase is a candidate
+    monkeypatch.setattr(collocations, "_size_of", lambda _: 14)  # few buckets: many phrases below the frequency are candidates
     docs = spark.createDataFrame(phrases, "lang string, text string")
     assert sorted(tuple(x) for x in collocations.collocations(docs).collect()) == sorted(brute_collocations(phrases))
 
