@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from panelforge.operators import calibration, features, logistic, segments, state_models, targets, tendency
+from panelforge.operators import calibration, features, logistic, rebuild, segments, state_models, targets, tendency
 from panelforge.plans import sql as q
-from panelforge.plans.catalog import _features, _segments, _states, query
-from panelforge.plans.tables import panel, rounded
+from panelforge.plans.catalog import _factors, _features, _segments, _states, query
+from panelforge.plans.tables import members, panel, rounded
+from panelforge.shared import shared_dir
+from panelforge.sources.builds import Builds
 
 c = F.col
 STATE_COLUMNS = ["ret_5d", "vol_20d"]
@@ -236,3 +240,32 @@ def hazard_scores(spark, sf_dir):
     """Exit chances of validation rows by models of their fold."""
     _, scored = _hazard(spark, sf_dir)
     return rounded(scored.select("fold", "horizon", "entity", "trade_date", "label", "y", "p", "hazard_status"))
+
+
+REBUILD_SQL = q.base("n_name") + """, fac AS (SELECT entity, trade_date, (1.0 + floor((trade_date - DATE '1995-01-01') / 500.0) * 0.1) * CASE WHEN left(entity, 1) IN ('C', 'F') AND trade_date >= DATE '1997-01-01' THEN 1.25 ELSE 1.0 END AS f FROM bars),
+ref AS (SELECT entity, arg_max(f, trade_date) AS ref FROM fac GROUP BY 1),
+adj AS (SELECT bars.entity, sector, bars.trade_date, open * f / ref AS open, greatest(open, high, low, close) * f / ref AS high, least(open, high, low, close) * f / ref AS low, close * f / ref AS close, volume, amount
+  FROM bars JOIN fac ON fac.entity = bars.entity AND fac.trade_date = bars.trade_date JOIN ref ON ref.entity = bars.entity),
+pv AS (SELECT *, lag(close) OVER (PARTITION BY entity ORDER BY trade_date) AS prev FROM adj),
+dy AS (SELECT sector, trade_date, avg(coalesce(close / nullif(prev, 0) - 1, 0.0)) AS r, sum(volume) AS volume, sum(amount) AS amount, count(*) AS members FROM pv GROUP BY 1, 2),
+ix AS (SELECT sector, trade_date, sum(ln(greatest(1 + r, 1e-6))) OVER (PARTITION BY sector ORDER BY trade_date) + ln(1000) AS lc, members, amount FROM dy),
+ft AS (SELECT *, lc - lag(lc, 20) OVER (PARTITION BY sector ORDER BY trade_date) AS l20, (amount - CASE WHEN count(amount) OVER w >= 10 THEN avg(amount) OVER w END) / nullif(CASE WHEN count(amount) OVER w >= 10 THEN stddev_pop(amount) OVER w END, 0) AS az FROM ix WINDOW w AS (PARTITION BY sector ORDER BY trade_date ROWS 19 PRECEDING)),
+br AS (SELECT trade_date, count(CASE WHEN close > prev THEN 1 END) AS up FROM pv GROUP BY 1)
+SELECT sector AS entity, trade_date, round(lc, 5) + 0.0 AS log_close, members, round(l20, 5) + 0.0 AS log_ret_20, round(az, 5) + 0.0 AS amount_z, up FROM ft JOIN br USING (trade_date)"""
+
+
+@query(REBUILD_SQL)
+def dependent_rebuild(spark, sf_dir):
+    """Prices, indices, features and breadth after some entities' factors changed: only what they move is made anew.
+
+    The SQL makes everything from the changed factors.
+    """
+    daily, old = panel(spark, sf_dir, "n_name"), _factors(spark, sf_dir)
+    new = old.withColumn("adj_factor", F.when(F.left("entity", F.lit(1)).isin("C", "F") & (c("trade_date") >= "1997-01-01"), c("adj_factor") * 1.25).otherwise(c("adj_factor")))
+    who = members(spark, sf_dir).select("entity", "sector").distinct()
+    builds = Builds(spark, f"{shared_dir(spark)}/builds-{uuid.uuid4().hex}")
+    rebuild.build_all(builds, daily, old, who)
+    rebuild.rebuild_changed(builds, daily, old, new, who)
+    index, f, b = (builds.read(t) for t in ("index", "features", "breadth"))
+    rows = index.select("entity", "trade_date", F.log("close").alias("log_close"), "members").join(f.select("entity", "trade_date", F.log1p("ret_20d").alias("log_ret_20"), "amount_z"), ["entity", "trade_date"])
+    return rounded(rows.join(b.select("trade_date", "up"), "trade_date"), 5)
