@@ -29,7 +29,7 @@ def distances(base: DataFrame, other: DataFrame, fields: list[str], logged: list
     the difference relative to the larger absolute value (1 at least); logged fields are compared by log(1 + x). Null
     if no field is common. A pair has a handful of states on either side.
     """
-    value = lambda df, x: F.log1p(F.greatest(df[x], F.lit(0.0))) if x in logged else df[x]
+    value = lambda df, x: F.when(df[x].isNotNull(), F.log1p(F.greatest(df[x], F.lit(0.0)))) if x in logged else df[x]
     a = base.select("pair", c("state").alias("base_state"), c("label").alias("base_label"), F.array(*(value(base, x).cast("double") for x in fields)).alias("_a"))
     b = other.select("pair", "state", "label", F.array(*(value(other, x).cast("double") for x in fields)).alias("_b"))
     both = a.join(b, "pair")

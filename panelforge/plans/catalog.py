@@ -151,7 +151,8 @@ def range_vol_estimators(spark, sf_dir):
     return rounded(features.price_baselines(panel(spark, sf_dir)))
 
 
-@query()
+@query(q.base() + f""", {q.RETURNS}, h AS (SELECT entity, trade_date, list(r * r) FILTER (WHERE r IS NOT NULL) OVER (PARTITION BY entity ORDER BY trade_date ROWS 199 PRECEDING) AS h FROM rets)
+SELECT entity, trade_date, CASE WHEN len(h) >= 5 THEN round(sqrt(list_reduce(h, lambda s, x: (1 - 2.0 / 21) * s + 2.0 / 21 * x)), 6) + 0.0 END AS ewma_vol FROM h""")
 def ewma_volatility(spark, sf_dir):
     return rounded(features.ewma_volatility(panel(spark, sf_dir)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelforge.operators import alignment, backtest, decisions, tendency
+from panelforge.operators import alignment, backtest, decisions, target_audit, tendency
 from panelforge.plans import sql as q
 from panelforge.plans.catalog import _states, query
 from panelforge.plans.catalog_models import EXITS_SQL, _exits
@@ -195,3 +195,49 @@ def random_baseline(spark, sf_dir):
     p = panel(spark, sf_dir, "n_name")
     curves = backtest.simulate_trials(p, backtest.random_events(p, 60, 5, 40), 0.001)
     return rounded(backtest.random_summary(backtest.trial_metrics(curves)), 5)
+
+
+CUTOFF = "2000-12-31"
+
+
+def _stored_targets(spark, sf_dir):
+    """Stored targets with faults by rule: on some days of the month a value, a label, a weight or a date is off."""
+    p = panel(spark, sf_dir)
+    known = target_audit.truth(p, [5, 10], F.lit(CUTOFF).cast("date"))
+    rows = known.select("entity", "trade_date", "horizon", F.explode(F.array(F.lit(0.1), F.lit(0.3))).alias("threshold"), "t_start", "t_end", "t_status", *(f"t_{v}" for v in target_audit.VALUES))
+    day = F.dayofmonth("trade_date")
+    ok = c("t_status") == "labeled"
+    event = F.when(ok, c("t_future_mae") <= -c("threshold"))
+    stored = rows.select(
+        "entity", "trade_date", "horizon", F.when(day == 3, 0.2).otherwise(c("threshold")).alias("threshold"), F.when(day == 4, "other").otherwise("eligible").alias("usage"), F.when(day == 5, "unknown").when(day == 6, "cross_cutoff").otherwise(c("t_status")).alias("status"),
+        F.when(day == 7, c("trade_date")).otherwise(c("t_start")).alias("start_date"), F.when(day == 8, F.date_add("t_end", 1)).otherwise(c("t_end")).alias("end_date"), F.when((day == 9) & ok, F.lit(None)).when(day == 10, True).otherwise(event).alias("event"),
+        F.when(day == 11, 1.0).when(day == 12, 0.0).otherwise(ok.cast("double")).alias("weight"), F.when(day == 13, c("t_future_mae") + 0.01).otherwise(c("t_future_mae")).alias("future_mae"), "t_future_mdd", F.when(day == 14, F.lit(None)).otherwise(c("t_future_return")).alias("future_return"),
+    ).withColumnRenamed("t_future_mdd", "future_mdd")
+    return known, stored
+
+
+def audit_of(spark, known):
+    """The audit of a batch of stored targets: counters."""
+    slices = spark.createDataFrame([(h, t) for h in (5, 10) for t in (0.1, 0.3)], "horizon bigint, threshold double")
+    breaks = spark.createDataFrame([("ASIA",)], "entity string")
+    return lambda batch: target_audit.counters(target_audit.broken_rules(batch, known, slices, breaks, F.lit(CUTOFF).cast("date")))
+
+
+@query(q.base() + """, g AS (SELECT entity, trade_date, h AS horizon, th AS threshold, lead(trade_date) OVER w AS s, CASE h WHEN 5 THEN lead(trade_date, 5) OVER w ELSE lead(trade_date, 10) OVER w END AS e,
+    CASE h WHEN 5 THEN min(close) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) ELSE min(close) OVER (w ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) END / close - 1 AS mae
+  FROM bars, (SELECT unnest([5, 10]) AS h), (SELECT unnest([0.1, 0.3]) AS th) WINDOW w AS (PARTITION BY entity, h, th ORDER BY trade_date)),
+t AS (SELECT *, day(trade_date) AS d, e IS NOT NULL AND e <= DATE '2000-12-31' AS ok, CASE WHEN e IS NULL THEN 'insufficient_future' WHEN e > DATE '2000-12-31' THEN 'cross_cutoff' ELSE 'labeled' END AS ts FROM g),
+f AS (SELECT *, CASE d WHEN 5 THEN 'unknown' WHEN 6 THEN 'cross_cutoff' ELSE ts END AS st, CASE WHEN d = 10 THEN TRUE WHEN d != 9 AND ok THEN mae <= -threshold END AS ev, CASE d WHEN 11 THEN 1.0 WHEN 12 THEN 0.0 ELSE CAST(ok AS INTEGER) END AS w FROM t),
+b AS (SELECT entity, st, ts, list_filter([CASE WHEN entity = 'ASIA' THEN 'silent_break_entity' END, CASE WHEN d = 3 THEN 'unknown_slice' END, CASE WHEN d = 4 THEN 'unknown_usage' END, CASE WHEN d = 5 THEN 'unknown_status' END, CASE WHEN d = 6 AND ts != 'cross_cutoff' THEN 'wrong_status' END,
+  CASE WHEN d = 7 THEN 'starts_too_early' END, CASE WHEN st = 'labeled' AND d = 8 AND e + 1 > DATE '2000-12-31' THEN 'labeled_past_cutoff' END, CASE WHEN st = 'labeled' AND d = 7 THEN 'wrong_start' END, CASE WHEN st = 'labeled' AND d = 8 THEN 'wrong_end' END, CASE WHEN st = 'labeled' AND ev IS NULL THEN 'label_missing' END,
+  CASE WHEN st != 'labeled' AND ev IS NOT NULL THEN 'label_not_allowed' END, CASE WHEN st = 'labeled' AND ev != (mae <= -(CASE WHEN d = 3 THEN 0.2 ELSE threshold END)) THEN 'wrong_label' END, CASE WHEN st = 'labeled' AND w <= 0 THEN 'weight_missing' END, CASE WHEN st != 'labeled' AND w > 0 THEN 'weight_not_allowed' END,
+  CASE WHEN st = 'labeled' AND d = 13 THEN 'wrong_future_mae' END, CASE WHEN st = 'labeled' AND d = 14 THEN 'wrong_future_return' END], lambda x: x IS NOT NULL) AS broken, d FROM f),
+k AS (SELECT unnest(broken) AS "check", 1 AS n, CAST(NULL AS DOUBLE) AS worst FROM b UNION ALL SELECT 'rows', 1, NULL FROM b UNION ALL SELECT 'broken_rows', CAST(len(broken) > 0 AS INTEGER), NULL FROM b
+  UNION ALL SELECT 'error_future_mae', CAST(st = 'labeled' AND ts != 'insufficient_future' AS INTEGER), CASE WHEN st = 'labeled' AND ts != 'insufficient_future' THEN CASE WHEN d = 13 THEN 0.01 ELSE 0.0 END END FROM b
+  UNION ALL SELECT 'error_future_mdd', CAST(st = 'labeled' AND ts != 'insufficient_future' AS INTEGER), CASE WHEN st = 'labeled' AND ts != 'insufficient_future' THEN 0.0 END FROM b
+  UNION ALL SELECT 'error_future_return', CAST(st = 'labeled' AND ts != 'insufficient_future' AND d != 14 AS INTEGER), CASE WHEN st = 'labeled' AND ts != 'insufficient_future' AND d != 14 THEN 0.0 END FROM b)
+SELECT "check", CAST(sum(n) AS BIGINT) AS n, round(max(worst), 6) + 0.0 AS worst FROM k GROUP BY 1""")
+def full_target_audit(spark, sf_dir):
+    """Every stored target made again and compared; faults are planted by rule, and ASIA may not be used."""
+    known, stored = _stored_targets(spark, sf_dir)
+    return rounded(audit_of(spark, known)(stored))

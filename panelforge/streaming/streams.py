@@ -1,14 +1,15 @@
-"""Streams of events: bars with late data, sessions, and a causal state filter per entity."""
+"""Streams: bars with late data, sessions, a causal state filter per entity, and a resumable audit of targets."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.operators import target_audit
 from panelforge.operators.models import GaussianStates
 from panelforge.sources.store import Table
 
@@ -61,3 +62,21 @@ def filtered_stream(stream: DataFrame, column: str, model: GaussianStates) -> Da
 
     keyed = _timed(stream).select(c("event_type").alias("entity"), "ts", column)
     return keyed.groupBy("entity").applyInPandasWithState(run, "entity string, ts timestamp, state int", "p array<double>", "append", "NoTimeout")
+
+
+def audit_stream(stored: DataFrame, audit: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+    """Counters of a stream of stored targets, kept under path: each micro-batch leaves its own (audit gives them).
+
+    A batch that is run again after a loss overwrites what it left, so nothing is counted twice, and a query that is
+    started again goes on from its checkpoint.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        audit(batch).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stored.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).start()
+
+
+def audit_counters(spark: SparkSession, path: str) -> DataFrame:
+    """The counters of all batches so far, put together."""
+    return target_audit.added(spark.read.parquet(path).drop("batch"))

@@ -17,21 +17,25 @@ def panel(spark, rows):
     return spark.createDataFrame(rows, "entity string, trade_date date, open double, high double, low double, close double, volume double, amount double")
 
 
-def steady(day, n=40, entity="a"):
-    return [(entity, day(i), 100 * 1.01**i, 100 * 1.01**i, 100 * 1.01**i, 100 * 1.01**i, 1.0, 1000.0 + i * 1000 / (n - 1)) for i in range(n)]
-
-
 def test_features_closed_form(spark, day):
-    got = features.sector_features(panel(spark, steady(day))).toPandas().sort_values("trade_date").iloc[-1]
-    assert got.ret_5d == pytest.approx(1.01**5 - 1) and got.ret_20d == pytest.approx(1.01**20 - 1)
-    assert got.vol_20d == pytest.approx(0, abs=1e-6) and math.isfinite(got.amount_z) and got.drawdown == pytest.approx(0)
+    """A saw-tooth: two steps of 3 % up, one of 4 % down, amounts that alternate."""
+    steps = [0.03, 0.03, -0.04]
+    closes = np.cumprod([50.0] + [1 + steps[i % 3] for i in range(32)]).tolist()
+    rows = [("saw", day(i), x * 0.99, x * 1.02, x * 0.97, x, 1.0, 700.0 if i % 2 else 900.0) for i, x in enumerate(closes)]
+    got = features.sector_features(panel(spark, rows)).toPandas().sort_values("trade_date").iloc[-1]
+    assert got.ret_5d == pytest.approx(closes[-1] / closes[-6] - 1) and got.ret_20d == pytest.approx(closes[-1] / closes[-21] - 1)
+    last = [steps[i % 3] for i in range(12, 32)]
+    assert got.vol_20d == pytest.approx(np.std(last) * math.sqrt(20)) and got.amount_z == pytest.approx(1.0)
+    assert got.drawdown == pytest.approx(closes[-1] / max(closes[-20:]) - 1) and got.gap_1d == pytest.approx(0.99 * closes[-1] / closes[-2] - 1) and got.intraday == pytest.approx(1 / 0.99 - 1)
 
 
 def test_benchmark_is_scale_free(spark, day):
-    a = steady(day, 45)
-    b = [("b", r[1], *(100 * x for x in r[2:6]), r[6], r[7]) for r in a]
-    one, two = (features.equal_weight_benchmark(panel(spark, x)).toPandas().sort_values("trade_date").benchmark_ret for x in (a, a + b))
-    assert np.allclose(one.dropna(), two.dropna()) and one.isna().sum() == 20
+    """Entities with different returns: a level doesn't count, and the benchmark lies between them."""
+    up = [("up", day(i), *[80.0 * 1.02**i] * 4, 1.0, 1.0) for i in range(33)]
+    down = [("down", day(i), *[3.0 * 0.99**i] * 4, 1.0, 1.0) for i in range(33)]
+    scaled = [(e, d, *(1000 * x for x in r[:4]), *r[4:]) for e, d, *r in down]
+    one, two = (features.equal_weight_benchmark(panel(spark, up + x)).toPandas().sort_values("trade_date").benchmark_ret for x in (down, scaled))
+    assert np.allclose(one.dropna(), two.dropna()) and one.isna().sum() == 20 and np.allclose(one.dropna(), 1.005**20 - 1)
 
 
 def test_empty_and_null_panels(spark, day):
@@ -61,10 +65,12 @@ def test_dwell_example(spark, day):
 
 
 def test_forward_returns(spark, day):
-    closes = [105, 121, 132, 143, 154, 165]
-    p = panel(spark, [("a", day(i), 100.0 + 10 * i, 0.0, 0.0, float(x), 1.0, 1.0) for i, x in enumerate(closes)])
-    got = targets.tradable_forward_returns(p, [1, 5]).orderBy("trade_date").first()
-    assert got.fwd_1 == pytest.approx(121 / 110 - 1) and got.fwd_5 == pytest.approx(165 / 110 - 1) and got.exec_date == day(1)
+    """Bought at the next open, sold at the close so many rows on."""
+    opens, closes = [20.0, 19.5, 24.0, 21.0, 18.0, 30.0, 33.0], [19.0, 22.0, 23.5, 17.5, 28.0, 31.0, 16.0]
+    p = panel(spark, [("q", day(2 * i), o, 0.0, 0.0, x, 1.0, 1.0) for i, (o, x) in enumerate(zip(opens, closes))])
+    rows = targets.tradable_forward_returns(p, [2, 4]).orderBy("trade_date").collect()
+    assert [r.fwd_2 for r in rows[:5]] == [pytest.approx(closes[i + 2] / opens[i + 1] - 1) for i in range(5)] and [r.fwd_4 for r in rows[:3]] == [pytest.approx(closes[i + 4] / opens[i + 1] - 1) for i in range(3)]
+    assert rows[5].fwd_2 is None and rows[3].fwd_4 is None and rows[0].exec_date == day(2)
 
 
 def test_path_metrics(spark, day):
