@@ -174,3 +174,22 @@ def test_long_words(spark):
         assert byte_bpe.merge_long(w, base, pairs) == library._encode_single_piece(w)
     whole = library.encode_ordinary(long[0][:30_000])
     assert got[0][: len(whole) - 20] == whole[: len(whole) - 20]  # merges are local: only the last few can differ
+
+
+def test_parts_of_a_large_benchmark(spark, docs, prose):
+    """Five parts give what one does, a worker builds one automaton a part, and each part's pass is released."""
+    items = [(f"i{n}", prose(900 + n, 14)) for n in range(30)] + [("short", "two words"), ("none", "!!"), (None, "x y"), ("nul", None)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = [(n, f"{prose(n, 30)} {items[n % 30][1]} {prose(50 + n, 9)} {items[(7 * n) % 30][1]}") for n in range(40)] + [(100 + n, prose(200 + n, 60)) for n in range(20)] + EDGES + [(3, None), (5, "Two, WORDS."), (5, "Two, WORDS.")]
+    size = sum(len((t or "").encode()) for i, t in items if i)
+    one, five = (sorted(map(str, decontaminate.find_overlaps(docs(rows), bench, max_bytes=b).collect())) for b in (size, -(-size // 5)))
+    assert one == five and sum("n_hit=0" not in r for r in one) > 40
+    kept = [sorted(map(str, decontaminate.decontaminate(docs(rows), bench, max_bytes=b).collect())) for b in (size, -(-size // 5))]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < len(rows)
+    assert decontaminate._n_parts(decontaminate._items(bench), -(-size // 5)) == 5
+    assert decontaminate.find_overlaps(docs([]), bench, max_bytes=50).count() == decontaminate.decontaminate(docs([]), bench, max_bytes=50).count() == 0
+    built = decontaminate._automaton.cache_info().misses
+    for part in ("a", "b", "c", "d", "e"):
+        for _ in range(7):  # slices of a task
+            decontaminate._automaton(((part, b"w " * 12),), 10)
+    assert decontaminate._automaton.cache_info().misses - built == 5 and decontaminate._automaton.cache_info().currsize == 1
