@@ -17,37 +17,62 @@ def log_density(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward(dens: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Filtered state probabilities, the scale of each step and the log likelihood of each sequence."""
-    n, steps, k = dens.shape
+#: Steps between two rescalings of a recursion: what is seen is scaled to 1 at most, so so many steps can't underflow.
+_RESCALE = 8
+
+
+def forward(dens: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Filtered state probabilities and the log likelihood of each sequence."""
+    n, steps, _ = dens.shape
     top = dens.max(2)
-    seen = np.exp(dens - top[:, :, None])
-    alpha, scale = np.empty_like(dens), np.ones((n, steps))
-    p = start
-    for t in range(steps):
-        q = (p if t == 0 else np.matmul(p[:, None, :], move)[:, 0]) * seen[:, t]
-        s = q.sum(1)
-        alpha[:, t] = p = q / s[:, None]
-        scale[:, t] = s
+    seen = np.maximum(np.exp(dens - top[:, :, None]), 1e-30)
+    alpha, lost = np.empty_like(dens), np.zeros((n, steps))
+    p = (start * seen[:, 0])[:, None]
+    alpha[:, 0] = p[:, 0]
+    for t in range(1, steps):
+        p = np.matmul(p, move)
+        p *= seen[:, t, None]
+        if t % _RESCALE == 0:
+            s = p.sum(2)
+            p /= s[:, :, None]
+            lost[:, t] = np.log(s[:, 0])
+        alpha[:, t] = p[:, 0]
+    total = alpha.sum(2)
+    last = (np.arange(n), lengths - 1)
     live = np.arange(steps) < lengths[:, None]
-    return alpha, scale, np.where(live, np.log(scale) + top, 0.0).sum(1)
+    score = np.log(total[last]) + np.cumsum(lost, 1)[last] + np.where(live, top, 0.0).sum(1)
+    return alpha / total[:, :, None], score
 
 
 def expected(dens: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Smoothed state probabilities (zero past the end), expected moves and the log likelihood of each sequence."""
-    alpha, scale, likelihood = forward(dens, lengths, start, move)
+    """Smoothed state probabilities (zero past the end), expected moves and the log likelihood of each sequence.
+
+    Either recursion is kept to a scale of its own; each step's probabilities are divided by their sum at the end.
+    """
+    alpha, score = forward(dens, lengths, start, move)
     steps = dens.shape[1]
-    seen = np.exp(dens - dens.max(2)[:, :, None])
-    gamma, moves = np.zeros_like(dens), np.zeros_like(move)
-    beta = np.ones_like(start)
-    for t in range(steps - 1, -1, -1):
-        if t + 1 < steps:
-            inside = (t + 1 < lengths)[:, None]
-            nxt = seen[:, t + 1] * beta / scale[:, t + 1, None]
-            moves += np.where(inside[:, :, None], alpha[:, t, :, None] * move * nxt[:, None, :], 0.0)
-            beta = np.where(inside, np.matmul(move, nxt[:, :, None])[:, :, 0], 1.0)
-        gamma[:, t] = np.where((t < lengths)[:, None], alpha[:, t] * beta, 0.0)
-    return gamma, moves, likelihood
+    seen = np.maximum(np.exp(dens - dens.max(2)[:, :, None]), 1e-30)
+    back, ahead = np.swapaxes(move, 1, 2), np.ones_like(dens)  # ahead: what is seen from a step on, by its state
+    ends = set((lengths - 1).tolist())
+    v = np.ones_like(dens[:, :1])
+    for t in range(steps - 1, 0, -1):
+        if t in ends:
+            v[lengths - 1 == t] = 1.0  # a sequence begins here, backwards
+        ahead[:, t] = v[:, 0]
+        v = np.matmul(v * seen[:, t, None], back)
+        if t % _RESCALE == 0:
+            v /= v.sum(2, keepdims=True)
+    if 0 in ends:
+        v[lengths == 1] = 1.0
+    ahead[:, 0] = v[:, 0]
+    live = np.arange(steps) < lengths[:, None]
+    gamma = alpha * ahead
+    gamma *= (live / gamma.sum(2))[:, :, None]
+    nxt = seen[:, 1:] * ahead[:, 1:]
+    both = np.matmul(alpha[:, :-1], move) * nxt
+    weight = live[:, 1:] / both.sum(2)
+    moves = move * np.matmul(np.swapaxes(alpha[:, :-1], 1, 2), nxt * weight[:, :, None])
+    return gamma, moves, score
 
 
 def stays(dens: np.ndarray, start: np.ndarray, move: np.ndarray, duration: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -291,7 +291,7 @@ def filtered(seqs: DataFrame, models: Models, d: int) -> DataFrame:
     """Each row's state and the probability p of each state, given what was seen so far (mixtures)."""
 
     def each(m: np.ndarray, lengths: np.ndarray, x: np.ndarray) -> list[pa.Array]:
-        alpha, _, _ = recursions.forward(models.dens(m, x), lengths, models.start[m], models.move[m])
+        alpha, _ = recursions.forward(models.dens(m, x), lengths, models.start[m], models.move[m])
         p = np.concatenate([a[:n] for a, n in zip(alpha, lengths)])
         return [pa.array(p.argmax(1), pa.int32()), pa.array(list(p), pa.list_(pa.float64()))]
 

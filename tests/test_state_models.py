@@ -52,10 +52,10 @@ def test_best_stays_by_enumeration(seed):
 
 def test_expectations_by_enumeration():
     r = np.random.default_rng(1)
-    k, steps, lengths = 2, 5, np.array([5, 3, 1])
-    dens, start, move = r.normal(size=(3, steps, k)), unit(r, 3, k), unit(r, 3, k, k)
+    k, steps, lengths = 2, 11, np.array([11, 9, 1])
+    dens, start, move = 3 * r.normal(size=(3, steps, k)) - 40, unit(r, 3, k), unit(r, 3, k, k)
     gamma, moves, score = recursions.expected(dens, lengths, start, move)
-    alpha, _, _ = recursions.forward(dens, lengths, start, move)
+    alpha, _ = recursions.forward(dens, lengths, start, move)
     for i, n in enumerate(lengths):
         weight = {p: start[i, p[0]] * math.prod(move[i, a, b] for a, b in zip(p, p[1:])) * math.exp(sum(dens[i, t, s] for t, s in enumerate(p))) for p in itertools.product(range(k), repeat=n)}
         total = sum(weight.values())
