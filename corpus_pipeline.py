@@ -48,8 +48,8 @@ STAGES = [
     ("byte_bpe", encode_stage),
 ]
 
-#: Learned, fuzzy and tokenising stages have no SQL. Tests run the stages and compare columns and row counts only; there
-#: is no brute-force version of the whole pipeline.
+#: Learned, fuzzy and tokenising stages have no SQL. Tests hold the rows of the whole pipeline against plain Python
+#: versions of its stages, on planted and given documents.
 ORACLE_SQL = None
 
 
