@@ -44,6 +44,8 @@ _STOP = NONE << _RANK
 _NOBODY = 1 << 20
 #: Bytes from which on a word isn't folded.
 LONG = 512
+#: Characters of a plan's text that the driver keeps in sessions that encode (spark.sql.maxPlanStringLength).
+PLAN_CHARS = 1 << 15
 #: UTF-8 bytes of documents in a block (a longer document is a block of its own).
 BLOCK_BYTES = 3 << 20
 #: Frequent words that are encoded once for all blocks, and the bytes of documents they are counted in.
@@ -128,8 +130,9 @@ class Vocabulary:
 
 
 def _literal(values, kind: str) -> Column:
-    """An array literal: a constant string that the optimizer splits once."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    """An array literal: constant strings that the optimizer splits once, none so long that the driver's heap grows for it."""
+    texts = (",".join(map(str, values[i : i + (1 << 14)])) for i in range(0, len(values), 1 << 14))
+    return F.concat(*(F.split(F.lit(x), ",").cast(f"array<{kind}>") for x in texts))
 
 
 def _let(value: Column, body) -> Column:
@@ -364,6 +367,9 @@ def frequent_words(documents: DataFrame, pattern: str, words: int = DICTIONARY_W
 
 
 def _encoded(documents: DataFrame, vocab: Vocabulary, block_bytes: int, each: Each, schema: str, dictionary=None) -> DataFrame:
+    conf = documents.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get("spark.sql.maxPlanStringLength")) or 0) > PLAN_CHARS:  # plans are kept as text, with every literal written out
+        conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
     shift, owner, rank = vocab.layout
     entry = np.where(owner < 0, _NOBODY, owner).astype(np.int64) << 17 | rank
     table = F.struct(_literal(shift, "int").alias("shift"), _literal(entry, "bigint").alias("entry"))

@@ -46,21 +46,25 @@ def as_arrow(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
-def _slot(column: str):
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(BITMAP_BITS))
+def _slot(column: str, probe: int = 0):
+    return F.pmod(F.xxhash64(F.col(column), *([F.lit(probe)] if probe else [])), F.lit(BITMAP_BITS))
 
 
-def bitmap_rows(ids: DataFrame, column: str) -> DataFrame:
-    """Bitmap of the hashed values of a column, in rows (bucket, bits array<long>); at most BITMAP_BITS / 8 bytes."""
-    slots = ids.where(F.col(column).isNotNull()).select(_slot(column).alias("slot"))
+def bitmap_rows(ids: DataFrame, column: str, probes: int = 1) -> DataFrame:
+    """Bitmap of the hashed values of a column, in rows (bucket, bits array<long>); at most BITMAP_BITS / 8 bytes.
+
+    With several probes a value has a bit for each of as many hashes.
+    """
+    known = ids.where(F.col(column).isNotNull())
+    slots = known.select(_slot(column).alias("slot")) if probes == 1 else known.select(F.explode(F.array(*(_slot(column, i) for i in range(probes)))).alias("slot"))
     raw = slots.groupBy(F.expr(f"cast(slot div {_BUCKET_BITS} as int)").alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % _BUCKET_BITS).alias("raw"))
     word = lambda i: F.conv(F.hex(F.substring("raw", 8 * i + 1, F.lit(8))), 16, -10).cast("bigint")
     return raw.select("bucket", F.transform(F.sequence(F.lit(0), F.lit(_BUCKET_BITS // 64 - 1)), word).alias("bits"))
 
 
-def in_bitmap(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
-    """df with _pf_maybe: false where the value is surely not in the bitmap (whose size is bounded)."""
-    at = df.withColumn("_pf_slot", _slot(column)).withColumn("_pf_bucket", F.expr(f"cast(_pf_slot div {_BUCKET_BITS} as int)"))
+def in_bitmap(df: DataFrame, column: str, bitmap: DataFrame, probe: int = 0) -> DataFrame:
+    """df with _pf_maybe: false where the value is surely not in the bitmap (whose size is bounded), by one of its probes."""
+    at = df.withColumn("_pf_slot", _slot(column, probe)).withColumn("_pf_bucket", F.expr(f"cast(_pf_slot div {_BUCKET_BITS} as int)"))
     held = F.broadcast(bitmap.select(F.col("bucket").alias("_pf_bucket"), F.col("bits").alias("_pf_bits")))
     # a word holds eight bytes, the first byte highest
     word = f"get(_pf_bits, cast(_pf_slot % {_BUCKET_BITS} div 64 as int))"
@@ -68,9 +72,17 @@ def in_bitmap(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
     return at.join(held, "_pf_bucket", "left").withColumn("_pf_maybe", hit).drop("_pf_slot", "_pf_bucket", "_pf_bits")
 
 
-def maybe_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows of df whose value may be among ids' values of the same column; DataFrame operations only."""
-    return in_bitmap(df, column, bitmap_rows(ids, column)).where("_pf_maybe").drop("_pf_maybe")
+def maybe_in(df: DataFrame, column: str, ids: DataFrame, probes: int = 1) -> DataFrame:
+    """Rows of df whose value may be among ids' values of the same column; DataFrame operations only.
+
+    More probes let fewer others through: with a share s of the bits set, s to the power of probes of them.
+    """
+    bitmap = bitmap_rows(ids, column, probes)
+    if probes > 1:
+        bitmap = materialize(bitmap, "bitmap")
+    for probe in range(probes):
+        df = in_bitmap(df, column, bitmap, probe).where("_pf_maybe").drop("_pf_maybe")
+    return df
 
 
 def surely_not_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def dropped_lines(documents: DataFrame) -> DataFrame:
 
     keyed = materialize(once.select(F.explode(bands(F.col("line"))).alias("key"), "node"), "keyed")
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    shared = materialize(maybe_in(keyed, "key", several), "shared")
+    shared = materialize(maybe_in(keyed, "key", several, probes=2), "shared")
     release(keyed)
     nodes = materialize(shared.select("node").distinct(), "nodes")
     texts = materialize(maybe_in(once, "node", nodes).join(nodes, "node").select("node", place.alias("place"), "line"), "texts")

@@ -237,7 +237,7 @@ def components(documents: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     # keys that one set alone has are left out by a count with map-side combine and a bitmap
     keyed = materialize(signatures(documents, counts, k, threshold), "keyed")
     several = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    shared = materialize(maybe_in(keyed, "key", several), "shared")
+    shared = materialize(maybe_in(keyed, "key", several, probes=2), "shared")
     release(keyed)
     held = maybe_in(info.where("node is not null"), "node", shared)
     longs = [F.min(f"s{i}").alias(f"s{i}") for i in range(_SKETCH)]
