@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators.quantiles import quantiles
 from panelforge.panel import average_rank, in_time, islands, pct, ratio, rolling, zscore
 
 c = F.col
@@ -51,10 +52,11 @@ def sector_features(panel: DataFrame, benchmark: DataFrame | None = None) -> Dat
 def winsorize(df: DataFrame, columns: list[str], lower: float = 0.01, upper: float = 0.99, least: int = 10) -> DataFrame:
     """Clip columns to their exact quantiles over the whole frame, where there are over least values.
 
-    The quantiles are one row, joined back as such.
+    The quantiles are one row, joined back as such, and found without a buffer of all values.
     """
-    bounds = df.agg(*(F.percentile(x, F.array(F.lit(lower), F.lit(upper))).alias(f"_q_{x}") for x in columns), *(F.count(x).alias(f"_n_{x}") for x in columns))
-    out = df.crossJoin(F.broadcast(bounds))  # one row
+    counts = df.agg(*(F.count(x).alias(f"_n_{x}") for x in columns))
+    bounds = quantiles(df, columns, [lower, upper]).select(*(c(x).alias(f"_q_{x}") for x in columns))
+    out = df.crossJoin(F.broadcast(counts)).join(F.broadcast(bounds), how="left")  # one row each; no bounds if no column has a value
     for x in columns:
         clipped = F.greatest(F.least(c(x), c(f"_q_{x}")[1]), c(f"_q_{x}")[0])
         out = out.withColumn(x, F.when(c(x).isNotNull(), F.when(c(f"_n_{x}") > least, clipped).otherwise(c(x))))

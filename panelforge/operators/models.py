@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.operators import state_models
+from panelforge.operators.quantiles import quantiles
 from panelforge.panel import ratio
 from panelforge.shared import release
 
@@ -22,7 +23,7 @@ c = F.col
 
 def preprocessing(train: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """(column, low, high, mean, std): clip bounds and, after clipping, the standardisation."""
-    q = train.agg(*(F.percentile(x, F.array(F.lit(low), F.lit(high))).alias(x) for x in columns)).first()
+    q = quantiles(train, columns, [low, high]).first() or dict.fromkeys(columns)
     clip = {x: F.greatest(F.least(c(x), F.lit(q[x][1])), F.lit(q[x][0])) if q[x] else c(x) for x in columns}
     stats = train.select(*(F.when(c(x).isNotNull(), clip[x]).alias(x) for x in columns))
     rows = stats.agg(*(F.struct(F.lit(x).alias("column"), F.lit(q[x][0] if q[x] else None).cast("double").alias("low"), F.lit(q[x][1] if q[x] else None).cast("double").alias("high"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")).alias(x) for x in columns))
