@@ -171,36 +171,50 @@ def link_lineage(runs: DataFrame, caches: DataFrame, fields: list[str]) -> DataF
     runs: (run_id, fields..., expected_rows). caches: (cache_key, parent_run_id, created_at, fields..., n_rows, n_duplicates,
     n_leaks, n_missing). A cache that names the run as its parent is a native link. Others are candidates if they share a
     field with the run; one that matches all fields, covers the expected rows and has no fault is a strict link if it is
-    the only candidate. A run and a cache meet by native link or an equal field (exploded pairs of field and value),
-    so runs aren't compared with caches that have nothing in common.
+    the only candidate. Keys are unique; a null matches nothing.
+
+    No pair of run and cache is made but native links (one a cache). Caches are counted, and the best is kept, by each set of
+    fields and its values; a run meets the row of each of its sets. Its candidates are the sum over its sets, those of
+    an even number of fields taken off (inclusion and exclusion), its best cache is that of the largest set that has one.
+    Rows grow by 2^fields of a distinct combination of values, not by the runs that share a value.
 
     Returns (run_id, cache_key, status, confidence, n_candidates, n_matching, coverage, reasons).
     """
-    pairs = lambda df, key: df.select(key, F.explode(F.array(*(F.struct(F.lit(x).alias("field"), c(x).cast("string").alias("value")) for x in fields))).alias("p")).select(key, "p.*").where("value is not null")
-    met = pairs(runs, "run_id").join(pairs(caches, "cache_key"), ["field", "value"]).groupBy("run_id", "cache_key").agg(F.count(F.lit(1)).alias("n_matching"))
-    native = caches.where("parent_run_id is not null").select(c("parent_run_id").alias("run_id"), "cache_key", F.lit(True).alias("native")).join(runs.select("run_id"), "run_id", "left_semi")
-    both = met.join(native, ["run_id", "cache_key"], "full").withColumn("n_matching", F.coalesce("n_matching", F.lit(0))).withColumn("native", F.coalesce("native", F.lit(False)))
-    full = both.join(caches.select("cache_key", "created_at", "n_rows", "n_duplicates", "n_leaks", "n_missing"), "cache_key").join(runs.select("run_id", "expected_rows"), "run_id")
+    texts = F.array(*(c(x).cast("string") for x in fields)).alias("texts")
+    known = F.aggregate(F.transform("texts", lambda x, i: F.when(x.isNotNull(), F.pow(F.lit(2), i).cast("int")).otherwise(0)), F.lit(0), lambda s, v: s + v)
+    masks = F.explode(F.filter(F.sequence(F.lit(1), F.lit(2 ** len(fields) - 1)), lambda m: m.bitwiseAND(known) == m)).alias("mask")
+    values = F.filter("texts", lambda x, i: F.getbit("mask", i) == 1).alias("values")
+    in_sets = lambda df, *keep: df.select("texts", *keep, masks).select(*keep, "mask", values)
+    size = F.bit_count("mask")
+    rank = F.struct("n_rows", "created_at", "cache_key", "n_duplicates", "n_leaks", "n_missing")  # the order of preference, then what follows from the key
+    plain = caches.where("cache_key is not null").select("parent_run_id", texts, rank.alias("best"))
+    alike = plain.groupBy("texts").agg(F.count(F.lit(1)).alias("n"), F.max("best").alias("best"))
+    by_set = in_sets(alike, "n", "best").groupBy("mask", "values").agg(F.sum("n").alias("n"), F.max("best").alias("best"))
+    asked = runs.select("run_id", "expected_rows", texts)
+    met = in_sets(asked, "run_id").join(by_set, ["mask", "values"]).groupBy("run_id").agg(
+        F.sum(F.when(size % 2 == 1, c("n")).otherwise(-c("n"))).alias("n_met"), F.max(F.struct(size.alias("n_matching"), "best")).alias("met"),
+    )
+    equal = F.size(F.filter(F.zip_with("texts", "run_texts", lambda x, y: x == y), lambda same: same))
+    linked = plain.join(asked.select("run_id", c("texts").alias("run_texts")), c("parent_run_id") == c("run_id")).select("run_id", equal.alias("n_matching"), "best")
+    native = linked.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_native"), F.count_if(c("n_matching") == 0).alias("n_apart"), F.max(F.struct("n_matching", "best")).alias("own"))
+    both = asked.drop("texts").join(met, "run_id", "left").join(native, "run_id", "left").withColumn("top", F.coalesce("own", "met"))
+    full = both.select("run_id", "expected_rows", (F.coalesce("n_met", F.lit(0)) + F.coalesce("n_apart", F.lit(0))).alias("n_candidates"), F.coalesce("n_native", F.lit(0)).alias("n_native"), "top.n_matching", "top.best.*")
     full = full.withColumn("coverage", F.try_divide(c("n_rows").cast("double"), c("expected_rows")))
     faults = reasons([
         (f"n_matching < {len(fields)}", "strict_metadata_not_fully_matched"), ("coverage is null", "coverage_unknown"), ("coverage < 0.999999", "coverage_incomplete"),
         ("n_duplicates > 0", "duplicate_cache_state_keys"), ("n_leaks > 0", "causal_boundary_violation"), ("n_missing > 0", "missing_cache_state_metadata"),
     ])
-    full = full.withColumn("faults", faults)
-    order = Window.partitionBy("run_id").orderBy(F.desc("native"), F.desc("n_matching"), F.desc_nulls_last("n_rows"), F.desc_nulls_last("created_at"), F.desc("cache_key"))
-    per_run = Window.partitionBy("run_id")
-    best = full.withColumn("n_candidates", F.count(F.lit(1)).over(per_run)).withColumn("n_native", F.count_if(c("native")).over(per_run)).withColumn("_k", F.row_number().over(order)).where("_k = 1")
-    asked = runs.select("run_id").join(best, "run_id", "left")
+    judged = full.withColumn("faults", F.when(c("cache_key").isNotNull(), faults))
     rules: Rules = [
         ("n_native = 1 and not exists(faults, f -> f = 'causal_boundary_violation')", {"status": "native_link", "confidence": 1.0}),
         ("n_native > 1", {"status": "ambiguous", "confidence": 0.2}),
         ("n_candidates = 1 and size(faults) = 0", {"status": "strict_inferred_link", "confidence": 0.95}),
         ("n_candidates > 1", {"status": "ambiguous", "confidence": 0.2}),
         ("array_contains(faults, 'missing_cache_state_metadata')", {"status": "requires_regeneration", "confidence": 0.0}),
-        ("n_matching > 0 or native", {"status": "weak_inferred_candidate", "confidence": None}),
+        ("n_matching > 0 or n_native > 0", {"status": "weak_inferred_candidate", "confidence": None}),
         ("true", {"status": "not_linkable", "confidence": 0.0}),
     ]
-    got = decide(asked, rules)
+    got = decide(judged, rules)
     weak = F.least(F.lit(0.65), 0.2 + 0.08 * c("n_matching"))
     none = F.array().cast("array<string>")
     why = F.when(c("status").isin("native_link", "strict_inferred_link"), none).when(c("status") == "ambiguous", F.concat(F.array(F.lit("multiple_candidates")), "faults")).when(c("status") == "not_linkable", F.array(F.lit("no_candidate"))).otherwise(c("faults"))

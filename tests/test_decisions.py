@@ -1,5 +1,6 @@
 """Decision tables, alignment, lineage, random portfolios and the streamed audit."""
 
+import datetime as dt
 import itertools
 
 import numpy as np
@@ -113,6 +114,30 @@ def test_lineage(spark, day):
     assert got[3].reasons == ["strict_metadata_not_fully_matched", "coverage_incomplete", "duplicate_cache_state_keys"] and got[3].confidence == pytest.approx(0.28) and got[2].n_candidates == 2 and got[2].reasons == ["multiple_candidates"]
 
 
+def _most_rows(plan):
+    """Most rows that any step of an executed plan gave out."""
+    name = plan.nodeName()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in name else [plan.children().apply(i) for i in range(plan.children().size())]
+    rows = plan.metrics().get("numOutputRows")
+    return max([rows.get().value() if rows.isDefined() else 0, *map(_most_rows, inner)])
+
+
+def test_lineage_makes_no_pairs(spark, day):
+    fields, value = ["a", "b", "d"], lambda k, n: None if k % (n + 1) == 0 else k * 7919 % n
+    runs = [(i, value(i, 2), value(i + 1, 13), value(i + 2, 40), 5 + i % 3) for i in range(300)]
+    caches = [(i, i // 9 if i % 9 == 4 else None, day(i % 5) if i % 8 else None, value(i + 3, 2), value(i, 13), value(i, 40) if i % 2 else None, i % 9 or None, i % 4 // 3, i % 5 // 4, i % 7 // 6) for i in range(1500)]
+    r = spark.createDataFrame(runs, "run_id bigint, a bigint, b bigint, d bigint, expected_rows bigint")
+    k = spark.createDataFrame(caches, "cache_key bigint, parent_run_id bigint, created_at date, a bigint, b bigint, d bigint, n_rows bigint, n_duplicates bigint, n_leaks bigint, n_missing bigint")
+    df = decisions.link_lineage(r, k, fields)
+    got = {x.run_id: (x.cache_key, x.n_candidates, x.n_matching) for x in df.collect()}
+    for run in runs:
+        same = lambda x: sum(u is not None and u == v for u, v in zip(run[1:4], x[3:6]))
+        met = [(x[1] == run[0], same(x), x[6] or -1, x[2] or dt.date.min, x[0]) for x in caches if same(x) or x[1] == run[0]]
+        best = max(met, default=(None, 0, None, None, None))
+        assert got[run[0]] == (best[4], len(met), best[1])
+    assert sum(n for _, n, _ in got.values()) > 100_000 and _most_rows(df._jdf.queryExecution().executedPlan()) < 7 * 1500
+
+
 def test_random_portfolios(spark, day):
     rows = [(f"e{e}", day(i), 10.0 + e + i % 3, 10.5 + e + i % 2) for e in range(6) for i in range(30) if (e, i) != (2, 0)]
     p = spark.createDataFrame(rows, "entity string, trade_date date, open double, close double")
