@@ -463,6 +463,12 @@ def standardised(rows: DataFrame, columns: list[str], by: str = "window") -> Dat
     return rows.join(scale, by).withColumns(z).drop(*(f"_s_{x}" for x in columns))
 
 
+def _read_once(panel: DataFrame, columns: list[str], signals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """panel's rows that have all columns, and the distinct signal dates, both written: what they come from is read once."""
+    known = panel.where(" and ".join(f"{x} is not null" for x in columns))
+    return materialize(known, "known"), materialize(signals.select("signal_date").distinct(), "signals")
+
+
 def walk_forward(panel: DataFrame, columns: list[str], signals: DataFrame, period: Column, config: Config, trend: Column, risk: Column, window: int = 504, least_rows: int = 120, least_sequence: int = 30) -> DataFrame:
     """States of each entity at each signal date, by models that were trained on earlier dates only.
 
@@ -470,7 +476,7 @@ def walk_forward(panel: DataFrame, columns: list[str], signals: DataFrame, perio
     train_start, train_end). Probabilities are filtered, summed by label; the next ones are p times the transitions.
     Nothing after a signal date reaches its rows.
     """
-    known = panel.where(" and ".join(f"{x} is not null" for x in columns))
+    known, signals = _read_once(panel, columns, signals)
     windows = materialize(training_windows(known, signals, period, window, max(least_rows, config.n_states * 30), least_sequence), "windows")
     rows = materialize(clipped(window_rows(known, windows, least_sequence), columns), "rows")
     z = [f"z_{x}" for x in columns]
@@ -490,7 +496,7 @@ def walk_forward(panel: DataFrame, columns: list[str], signals: DataFrame, perio
     out = full.withColumn("_own", own).withColumn("_next", nxt)
     got = out.select("entity", "trade_date", "state", F.coalesce(c("names")[c("state")], F.lit("Neutral")).alias("label"), *(share("_own", v).alias(f"prob_{x}") for x, v in kinds), *(share("_next", v).alias(f"next_{x}") for x, v in kinds), "train_start", "train_end")
     done = materialize(got, "walked")
-    release(windows, rows, seqs, states)
+    release(known, signals, windows, rows, seqs, states)
     return done
 
 
@@ -500,9 +506,9 @@ def walk_forward_stays(panel: DataFrame, columns: list[str], signals: DataFrame,
     A period's checkpoint is its first signal date with history enough. A row is the end of the best path over the rows
     until then; label_age counts an entity's signal rows with the same label in a row, over checkpoints too.
     """
-    known = panel.where(" and ".join(f"{x} is not null" for x in columns))
+    known, signals = _read_once(panel, columns, signals)
     windows = materialize(training_windows(known, signals, period, window, least_sequences * least_sequence, least_sequence), "windows")
-    rows = window_rows(known, windows, least_sequence)
+    rows = every = materialize(window_rows(known, windows, least_sequence), "rows")
     enough = rows.where("in_train").groupBy("window").agg(F.count_distinct("entity").alias("k")).where(c("k") >= least_sequences).select("window")
     rows = materialize(standardised(rows.join(enough, "window"), columns), "rows")
     z = [f"z_{x}" for x in columns]
@@ -520,7 +526,7 @@ def walk_forward_stays(panel: DataFrame, columns: list[str], signals: DataFrame,
     run = full.withColumn("_new", (~c("label").eqNullSafe(F.lag("label").over(over))).cast("int")).withColumn("_run", F.sum("_new").over(over))
     aged = run.withColumn("label_age", F.row_number().over(Window.partitionBy("entity", "_run").orderBy("trade_date"))).drop("_new", "_run", "window")
     done = materialize(aged, "walked")
-    release(windows, rows, seqs)
+    release(known, signals, windows, every, rows, seqs)
     return done
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.panel import bars
+from panelforge.shared import materialize
 
 c = F.col
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -27,7 +28,8 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str, level: str = "r_name") -> DataFrame:
-    return bars(ticks(spark, sf_dir), level, "l_shipdate", "price", "l_quantity", ORDER)
+    """Daily bars, written: line items are read once, however often a query uses them. Bars are counted by calendar and entities."""
+    return materialize(bars(ticks(spark, sf_dir), level, "l_shipdate", "price", "l_quantity", ORDER), "bars")
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:

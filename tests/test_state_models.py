@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from panelforge.functions import recursions
 from panelforge.operators import state_models as sm
 from panelforge.operators.quantiles import quantiles
+from panelforge.plans import tables
 
 
 def unit(r, *shape):
@@ -213,6 +214,21 @@ def test_nothing_of_the_future_reaches_a_row(panel):
     assert (states.train_end <= states.trade_date).all() and np.allclose(states[["prob_trend_up", "prob_neutral", "prob_risk_off"]].sum(axis=1), 1) and np.allclose(states[["next_trend_up", "next_neutral", "next_risk_off"]].sum(axis=1), 1)
 
 
+def test_what_panels_come_from_is_read_once(panel, spark, sf_dir):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    signals, month = panel.select(F.col("trade_date").alias("signal_date")), F.date_trunc("month", "signal_date")
+    cfg = sm.Config(kind="stays", n_states=2, starts=1, rounds=1, cluster_rounds=1, max_stay=30)
+    stays = sm.walk_forward_stays(panel.mapInArrow(count, panel.schema), ["x", "y"], signals, month, cfg, [("up", {"y": 1.0}, 1)], [1, 5], window=60)
+    assert stays.count() and seen.value == panel.count()
+    assert not any("lineitem" in f for f in tables.panel(spark, sf_dir).inputFiles())
+
+
 def test_labels(spark):
     rows = [(0, 0, 1.0, 0.1), (0, 1, -1.0, 0.9), (0, 2, 0.0, 0.0), (1, 0, 5.0, 9.0), (2, 4, None, None), (0, 0, 3.0, 0.1)]
     df = spark.createDataFrame(rows, "window int, state int, a double, b double")
