@@ -145,8 +145,10 @@ def hazard(rows: DataFrame, features: list[str], categories: list[str], plan: Da
     raw_probability_only, excluded_censored (no y) or insufficient_sample.
     """
     keys = ["fold", *by]
-    folded, names = one_hot(by_fold(rows, plan), categories)
+    read = materialize(by_fold(rows, plan), "folds")  # what rows come from is read once
+    folded, names = one_hot(read, categories)
     ready = materialize(prepared(folded, [*features, *names], keys, date_weights, balanced), "hazard")
+    release(read)
     models = fit(ready, len(features) + len(names), keys, l2, least)
     scored = score(ready.where("not in_train"), models, keys)
     status = F.when(c("p").isNull(), "insufficient_sample").when(c("y").isNull(), "excluded_censored").otherwise("raw_probability_only")

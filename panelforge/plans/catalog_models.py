@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from panelforge.operators import calibration, features, logistic, rebuild, segments, state_models, targets, tendency
 from panelforge.plans import sql as q
 from panelforge.plans.catalog import _factors, _features, _segments, _states, query
-from panelforge.plans.tables import members, panel, rounded
-from panelforge.shared import shared_dir
+from panelforge.plans.tables import members, panel, rounded, states
+from panelforge.shared import materialize, shared_dir
 from panelforge.sources.builds import Builds
 
 c = F.col
@@ -46,7 +46,7 @@ def walk_forward_states(spark, sf_dir):
 def stay_states(spark, sf_dir):
     """States with duration distributions, fitted to and decoded on the whole panel, with lifecycle scalars."""
     f = features.regime_features(panel(spark, sf_dir)).withColumns({"window": F.lit(0), "in_train": F.lit(True)})
-    known = f.where(" and ".join(f"{x} is not null" for x in STAY_COLUMNS))
+    known = materialize(f.where(" and ".join(f"{x} is not null" for x in STAY_COLUMNS)), "known")
     seqs = state_models.sequences(state_models.standardised(known, STAY_COLUMNS), [f"z_{x}" for x in STAY_COLUMNS])
     models = state_models.fit(seqs, len(STAY_COLUMNS), STAYS)
     paths = state_models.decoded(seqs, models, len(STAY_COLUMNS))
@@ -109,16 +109,17 @@ ex AS (
     CASE WHEN age >= 60 THEN 1.0 ELSE list_sum(list_slice(stay, 1, age)) END AS pc FROM ex0)"""
 
 
-def _exits(spark, sf_dir):
-    """(entity, trade_date, label, age, horizon, y, raw, tail_status, duration_percentile, phase, exit_date, observed_until)."""
-    states = _states(spark, sf_dir)
-    aged = tendency.aged(states.select("entity", "trade_date", "label"))
-    s = _segments(spark, sf_dir).select("entity", "segment", "label", c("n_days").cast("int").alias("age"), "next_label")
+def _exits(spark, sf_dir, f=None):
+    """From features f (made here, if not given), written: (entity, trade_date, label, age, horizon, y, raw, tail_status, duration_percentile, phase, exit_date, observed_until)."""
+    labelled = materialize(states(_features(spark, sf_dir) if f is None else f), "states")
+    aged = tendency.aged(labelled.select("entity", "trade_date", "label"))
+    s = segments.state_segments(labelled).select("entity", "segment", "label", c("n_days").cast("int").alias("age"), "next_label")
     stays = state_models.empirical_stays(s.where("next_label is not null"), s, 60)
     life = state_models.lifecycle(aged.withColumn("age", c("age").cast("int")), stays, ["label"], [5, 20])
     raw = F.explode(F.array(*(F.struct(F.lit(h).cast("bigint").alias("horizon"), c(f"p_exit_{h}").alias("raw")) for h in (5, 20)))).alias("r")
     raw = life.select("entity", "trade_date", c("age").cast("bigint").alias("age"), "duration_percentile", "phase", "tail_status", raw).select("*", "r.*").drop("r")
-    return segments.exit_dataset(states, [5, 20]).join(raw, ["entity", "trade_date", "horizon"]).withColumn("y", c("exit_within"))
+    rows = segments.exit_dataset(labelled, [5, 20]).join(raw, ["entity", "trade_date", "horizon"]).withColumn("y", c("exit_within"))
+    return materialize(rows, "exits")
 
 
 @query(q.base(upto="segs") + EXITS_SQL + """,
@@ -222,8 +223,9 @@ HAZARD_FEATURES = ["ret_5d", "ret_20d", "vol_20d", "amount_z", "drawdown", "ma20
 
 
 def _hazard(spark, sf_dir):
-    rows = _exits(spark, sf_dir).select("entity", "trade_date", "label", "horizon", "age", "y")
-    f = _features(spark, sf_dir).select("entity", "trade_date", *HAZARD_FEATURES[:-1])
+    f = materialize(_features(spark, sf_dir), "features")
+    rows = _exits(spark, sf_dir, f).select("entity", "trade_date", "label", "horizon", "age", "y")
+    f = f.select("entity", "trade_date", *HAZARD_FEATURES[:-1])
     plan = targets.fold_plan(rows.select("trade_date"), 3, 20, 20)
     return logistic.hazard(rows.join(f, ["entity", "trade_date"]), HAZARD_FEATURES, ["label"], plan, ["horizon"])
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import calibration, logistic, tendency
+from panelforge.operators import calibration, logistic, targets, tendency
 
 
 def day_(i):
@@ -64,6 +64,19 @@ def test_validation_rows_never_reach_the_fit(rows):
         assert a.intercept == pytest.approx(b.intercept, abs=1e-9) and a.coefficients == pytest.approx(b.coefficients, abs=1e-9)
 
 
+def test_rows_of_hazards_are_read_once(rows, spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    plain = rows.drop("in_train")
+    models, scored = logistic.hazard(plain.mapInArrow(count, plain.schema), ["x", "y_raw"], ["kind"], targets.fold_plan(plain, 2, 3, 3), ["g"])
+    assert models.count() == 4 and scored.count() and seen.value == plain.count()
+
+
 def test_statuses_and_scores(spark):
     data = [("ok", day_(i), float(i % 5), int(i % 5 > 2) if i % 7 else 1 - int(i % 5 > 2), i < 30) for i in range(40)]
     data += [("one", day_(i), float(i), 1, True) for i in range(5)] + [("none", day_(0), None, None, False), ("null", day_(0), None, 1, True), ("null", day_(1), None, 0, True), ("null", day_(1), None, 1, True), ("null", day_(2), None, 0, True)]
