@@ -2,13 +2,13 @@
 
 Texts are split by the vocabulary's pattern and each block of documents becomes one row: its distinct
 words as byte arrays, and each document as numbers of words. An aggregate() folds ranked merges over each
-distinct word once, with ranks looked up in a literal map, and the words' ids are put together by
+distinct word once, with ranks looked up in a broadcast map, and the words' ids are put together by
 document. Documents aren't shuffled; only the word counts of a bounded sample are. Decoding looks up the
 binary piece of each id and concatenates the pieces.
 
 The rank map is keyed by pairs of ids: Spark searches a map value linearly, so it is laid out as two
-literal arrays by row displacement. The entry of (a, b) is at shift[a] + b and holds its owner a above the rank,
-so that an exclusive or with the a that is asked for leaves the rank alone, or more than any rank.
+arrays by row displacement, in one row that is broadcast. The entry of (a, b) is at shift[a] + b and holds its owner
+a above the rank, so that an exclusive or with the a that is asked for leaves the rank alone, or more than any rank.
 
 Defined cases: null and empty texts have no ids; repeated rows are encoded each; ids outside the
 vocabulary decode to nothing; other columns are ignored; an empty table gives an empty result. The fold takes
@@ -30,22 +30,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, release, sliced
 
 #: Rank of a pair that doesn't merge.
 NONE = 1 << 17
-#: A part of a word in one long: rank of its merge above, then its place in the word (28 bits), then its id (17 bits).
-_RANK, _ID, _PLACE = 45, (1 << 17) - 1, ((1 << 28) - 1) << 17
+#: A part of a word in one long: what the rank map has of its merge above (35 bits), then its place in the word (11 bits,
+#: enough for words of up to LONG bytes), then its id (17 bits).
+_RANK, _ID, _PLACE = 28, (1 << 17) - 1, ((1 << 11) - 1) << 17
 _STOP = NONE << _RANK
 #: Owner of a slot without entry: no id is as large.
-_NOBODY = 1 << 20
+_NOBODY = 1 << 17
 #: Bytes from which on a word isn't folded.
 LONG = 512
-#: Characters of a plan's text that the driver keeps in sessions that encode (spark.sql.maxPlanStringLength).
-PLAN_CHARS = 1 << 15
 #: UTF-8 bytes of documents in a block (a longer document is a block of its own).
 BLOCK_BYTES = 3 << 20
 #: Frequent words that are encoded once for all blocks, and the bytes of documents they are counted in.
@@ -91,7 +90,10 @@ class Vocabulary:
 
     @functools.cached_property
     def layout(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """shift by left id, owner and rank by slot."""
+        """shift by left id, owner and rank by slot.
+
+        The closing id (size) has a shift too, and slots go on to the largest that can be asked for: no lookup is out of range.
+        """
         rows = sorted(self.pairs().items(), key=lambda r: (-len(r[1]), r[0]))
         rights = [np.fromiter(row, np.int64, len(row)) for _, row in rows]
         total = sum(map(len, rights))
@@ -125,14 +127,9 @@ class Vocabulary:
         rank = np.zeros(len(owner), np.int64)
         for a, row in rows:
             rank[shift[a] + np.fromiter(row, np.int64, len(row))] = list(row.values())
-        end = int(np.flatnonzero(owner >= 0)[-1]) + 1 if total else 1
-        return shift, owner[:end], rank[:end]
-
-
-def _literal(values, kind: str) -> Column:
-    """An array literal: constant strings that the optimizer splits once, none so long that the driver's heap grows for it."""
-    texts = (",".join(map(str, values[i : i + (1 << 14)])) for i in range(0, len(values), 1 << 14))
-    return F.concat(*(F.split(F.lit(x), ",").cast(f"array<{kind}>") for x in texts))
+        shift = np.append(shift, shift.max())
+        end = int(shift.max()) + self.size + 1
+        return shift, np.where(owner[:end] < 0, _NOBODY, owner[:end]), rank[:end]
 
 
 def _let(value: Column, body) -> Column:
@@ -148,19 +145,16 @@ def merge_all(word: Column, shift: Column, entry: Column) -> Column:
     """
 
     def merge(a, b):
-        found = F.get(entry, F.get(shift, a) + b).bitwiseXOR(F.shiftleft(a, 17))
-        return F.shiftleft(F.least(found, F.lit(NONE).cast("bigint")), _RANK)
+        return F.shiftleft(F.get(entry, F.get(shift, a) + b).bitwiseXOR(F.shiftleft(a, 17)), _RANK)
 
     def step(state, _):
-        def merged(p):
-            m, before, after = F.get(state, p - 1), F.get(state, p - 2), F.get(state, p + 1)
-            new = F.shiftright(m, _RANK)
+        def merged(m, p):
+            before, after, new = F.get(state, p - 2), F.get(state, p + 1), F.shiftright(m, _RANK)
             left = merge(before.bitwiseAND(_ID), new).bitwiseOR(before.bitwiseAND(_PLACE | _ID))
             both = merge(new, after.bitwiseAND(_ID)).bitwiseOR(m.bitwiseAND(_PLACE)).bitwiseOR(new)
-            parts = F.flatten(F.array(F.slice(state, F.lit(1), p - 2), F.array(left, both), F.slice(state, p + 2, F.size(state))))
-            return F.when(m >= _STOP, state).otherwise(parts)
+            return F.concat(F.slice(state, F.lit(1), p - 2), F.array(left, both), F.slice(state, p + 2, F.size(state)))
 
-        return _let(F.array_position(state, F.array_min(state)).cast("int"), merged)
+        return _let(F.array_min(state), lambda m: F.when(m >= _STOP, state).otherwise(_let(F.array_position(state, m).cast("int"), lambda p: merged(m, p))))
 
     parts = F.aggregate(F.sequence(F.lit(4), F.size(word)), word, step)
     return F.transform(F.slice(parts, F.lit(2), F.size(parts) - 2), lambda x: x.bitwiseAND(_ID).cast("int"))
@@ -173,14 +167,14 @@ def packed_bytes(flat: np.ndarray, ends: np.ndarray, layout) -> tuple[np.ndarray
     parts and the words' ends among them.
     """
     shift, owner, rank = layout
-    slot = np.minimum(shift[flat[:-1]] + flat[1:], len(owner) - 1)
+    slot = shift[flat[:-1]] + flat[1:]
     merges = np.full(len(flat), NONE, np.int64)
     merges[:-1] = np.where(owner[slot] == flat[:-1], rank[slot], NONE)
     merges[ends[1:] - 1] = NONE
     size = np.diff(ends)
     word = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(flat)) - ends[word]
-    states = np.full(len(flat) + 2 * len(size), _STOP | len(shift), np.int64)
+    states = np.full(len(flat) + 2 * len(size), _STOP | len(shift) - 1, np.int64)
     states[np.arange(len(flat)) + 2 * word + 1] = merges << _RANK | place << 17 | flat
     return states, ends + 2 * np.arange(len(ends))
 
@@ -213,15 +207,48 @@ def merge_long(word: bytes, base: np.ndarray, pairs: dict[int, int]) -> list[int
     return [x for x in ids if x >= 0]
 
 
+@functools.cache
+def _members(kind: str) -> str:
+    """The characters of a class below U+10000, as ranges for a character set of re."""
+    every = "".join(chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000)
+    return "".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(f"{kind}+", every))
+
+
+def _spelled(pattern: str) -> str:
+    """The pattern with \\p{L}, \\p{N}, \\s and \\S spelled out for re, as regex understands them."""
+    in_set, out = False, []
+    for part in re.findall(r"\\p\{[LN]\}|\\.|.", pattern, re.DOTALL):
+        if part in ("\\p{L}", "\\p{N}", "\\s"):
+            part = _members(part) if in_set else f"[{_members(part)}]"
+        elif part == "\\S" and not in_set:
+            part = f"[^{_members(chr(92) + 's')}]"
+        elif part[0] == "\\" and part[1:].isalnum():
+            raise ValueError(part)
+        elif part in "[]":
+            in_set = part == "["
+        out.append(part)
+    return "".join(out)
+
+
 def _finder(pattern: str):
-    """findall of the pattern; texts of ASCII alone take the same pattern with its classes spelled out."""
+    """findall of the pattern; texts of ASCII alone, and of characters below U+10000, take it with its classes spelled out."""
     general = regex.compile(pattern).findall
     ascii_ = re.sub(r"\\p\{([LN])\}", lambda m: {"L": "a-zA-Z", "N": "0-9"}[m[1]], pattern)
     if "\\p" in ascii_ or "\\P" in ascii_:
         return general
     ascii_ = re.sub(r"(?<!\[)(?<!\\s)(a-zA-Z|0-9)(?=\+)", r"[\1]", ascii_)
     plain = re.compile(ascii_, re.ASCII).findall
-    return lambda text: plain(text) if text.isascii() else general(text)
+    try:
+        short = re.compile(_spelled(pattern)).findall
+    except ValueError:  # other classes
+        short = general
+
+    def find(text):
+        if text.isascii():
+            return plain(text)
+        return short(text) if len(text.encode("utf-16-le")) == 2 * len(text) else general(text)
+
+    return find
 
 
 class _Numbers(dict):
@@ -333,7 +360,10 @@ def _assembled(row: dict) -> pa.RecordBatch:
 
 
 def frequent_words(documents: DataFrame, pattern: str, words: int = DICTIONARY_WORDS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """(word) of up to so many of the most frequent words of a bounded sample of documents (chosen by hash of their text)."""
+    """(word) of about so many of the most frequent words of a bounded sample of documents (chosen by hash of their text).
+
+    Of the words of the last count that fits in part, a share goes in by hash.
+    """
     total = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     sample = documents.where(F.col("text").isNotNull()).select("text")
     if total > sample_bytes:
@@ -352,36 +382,39 @@ def frequent_words(documents: DataFrame, pattern: str, words: int = DICTIONARY_W
         for batch in batches:
             yield batch.filter(pa.array([find(w) == [w] for w in batch.column(0).to_pylist()], pa.bool_()))
 
-    counts = sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "words")
-    least, taken = None, 0
+    least, taken, share = None, 0, 0
     for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        least, share = r.n, min(1 << 20, (words - taken << 20) // r.words)
         taken += r.words
-        if taken > words:
+        if taken >= words:
             break
-        least = r.n
-    found = counts.where(F.col("n") >= (least or taken + 1)).select("word").mapInArrow(whole, "word string")
+    part = (F.col("n") == (least or 0)) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < share)
+    found = counts.where((F.col("n") > (least or 0)) | part).select("word").mapInArrow(whole, "word string")
     found = materialize(found, "frequent")
     release(counts)
     return found
 
 
-def _encoded(documents: DataFrame, vocab: Vocabulary, block_bytes: int, each: Each, schema: str, dictionary=None) -> DataFrame:
-    conf = documents.sparkSession.conf
-    if int(re.sub(r"\D", "", conf.get("spark.sql.maxPlanStringLength")) or 0) > PLAN_CHARS:  # plans are kept as text, with every literal written out
-        conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
+def rank_map(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
+    """The rank map in one row (shift array<int>, entry array<long>)."""
     shift, owner, rank = vocab.layout
-    entry = np.where(owner < 0, _NOBODY, owner).astype(np.int64) << 17 | rank
-    table = F.struct(_literal(shift, "int").alias("shift"), _literal(entry, "bigint").alias("entry"))
+    entry = owner.astype(np.int64) << 17 | rank
+    return spark.createDataFrame(pa.table({"shift": _outer(pa.array(shift, pa.int32())), "entry": _outer(pa.array(entry))}))
+
+
+def _encoded(documents: DataFrame, vocab: Vocabulary, block_bytes: int, each: Each, schema: str, ranks: DataFrame, dictionary=None) -> DataFrame:
     blocks = documents.select("doc_id", "text").mapInArrow(_blocks(vocab, block_bytes, dictionary), BLOCK_SCHEMA)
-    words = _let(table, lambda t: F.transform("words", lambda w: merge_all(w, t["shift"], t["entry"])))
+    words = F.transform("words", lambda w: merge_all(w, F.col("shift"), F.col("entry")))
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 yield each(_assembled({name: batch.column(name)[i] for name in batch.schema.names}))
 
-    return blocks.select("doc_ids", "ends", "numbers", "known", "begins", words.alias("folded")).mapInArrow(run, schema)
+    folded = blocks.crossJoin(F.broadcast(ranks)).select("doc_ids", "ends", "numbers", "known", "begins", words.alias("folded"))
+    return folded.mapInArrow(run, schema)
 
 
 def encode(documents: DataFrame, vocab: Vocabulary, block_bytes: int = BLOCK_BYTES, dictionary_words: int = DICTIONARY_WORDS, each: Each = lambda batch: batch, schema: str = "doc_id bigint, ids array<int>") -> DataFrame:
@@ -392,11 +425,12 @@ def encode(documents: DataFrame, vocab: Vocabulary, block_bytes: int = BLOCK_BYT
     """
     words = frequent_words(documents, vocab.pattern, dictionary_words)
     listed = words.select(F.xxhash64("word").alias("doc_id"), F.col("word").alias("text")).repartition(32, "doc_id")
-    got = _encoded(listed, vocab, block_bytes, lambda batch: batch.select(["ids"]), "ids array<int>").toArrow().column("ids").combine_chunks()
+    ranks = rank_map(documents.sparkSession, vocab)
+    got = _encoded(listed, vocab, block_bytes, lambda batch: batch.select(["ids"]), "ids array<int>", ranks).toArrow().column("ids").combine_chunks()
     values, sizes = got.flatten(), got.value_lengths()
     held = documents.sparkSession.sparkContext.broadcast((values.to_numpy(zero_copy_only=False).astype(np.int32), sizes.to_numpy(zero_copy_only=False).astype(np.int32)))
     release(words)
-    return _encoded(documents, vocab, block_bytes, each, schema, held)
+    return _encoded(documents, vocab, block_bytes, each, schema, ranks, held)
 
 
 def id_lists(ids: pa.ListArray) -> Iterator[list[int]]:

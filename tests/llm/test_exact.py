@@ -176,6 +176,30 @@ def test_long_words(spark):
     assert got[0][: len(whole) - 20] == whole[: len(whole) - 20]  # merges are local: only the last few can differ
 
 
+def test_encoding_keeps_literals_out_of_plans(spark):
+    """The rank map is a broadcast row: no plan holds it as text, and the session's settings stay as they are."""
+    from panelforge.llm import queries
+
+    before = spark.conf.get("spark.sql.maxPlanStringLength")
+    docs = spark.createDataFrame([(1, "an unheardofword, naïvely ①ßé\u00a0\x1c\x85 𝔘𝔫 ½²x")], "doc_id bigint, text string")
+    out = byte_bpe.encode(docs, queries.vocabulary())
+    assert spark.conf.get("spark.sql.maxPlanStringLength") == before
+    assert len(out._jdf.queryExecution().logical().toString()) < 100_000
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=queries.vocabulary().ranks, special_tokens={})
+    assert out.first().ids == library.encode_ordinary(docs.first().text)
+
+
+def test_finder_equals_the_library():
+    """Texts below U+10000 are split by another library's pattern: all characters, in several surroundings."""
+    import regex
+
+    find, general = byte_bpe._finder(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN).findall
+    for c in range(0x110000):
+        if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c % 97 == 0 or c in (0xFEFF, 0xFFFF, 0x10000)):
+            text = f"a{chr(c)} {chr(c)}1{chr(c)}{chr(c)}! é{chr(c)}"
+            assert find(text) == general(text), hex(c)
+
+
 def test_parts_of_a_large_benchmark(spark, docs, prose):
     """Five parts give what one does, a worker builds one automaton a part, and each part's pass is released."""
     items = [(f"i{n}", prose(900 + n, 14)) for n in range(30)] + [("short", "two words"), ("none", "!!"), (None, "x y"), ("nul", None)]
