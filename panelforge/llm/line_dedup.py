@@ -36,6 +36,8 @@ BOTTOM = 6
 SHORT_TO, DENSE_FROM = 15, 11 + SHINGLE
 #: Longs of a line's parity bitmap (a power of two).
 SKETCH = 16
+#: A text with a shingle that comes again in it.
+_REPEAT = f"(?s)(?=(.{{{SHINGLE}}})).(?=.*\\1)"
 _CLASS = "[" + "".join(f"\\x{b:02x}" for b in SAMPLED) + "]"
 
 
@@ -95,7 +97,7 @@ def bands(line: Column) -> Column:
     dense = _let(signature(line), _pair_keys)
     short = _let(F.array_distinct(line_shingles(line)), lambda sh: F.when(F.size(sh) <= SHORT_TO, _let(_smallest(sh), _triple_keys)).otherwise(none))
     # a longer line of few shingles repeats one within its first SHORT_TO + 1
-    few = F.size(F.array_distinct(line_shingles(F.substring(line, 1, SHORT_TO + SHINGLE)))) <= SHORT_TO
+    few = (F.length(line) < SHORT_TO + SHINGLE) | F.substring(line, 1, SHORT_TO + SHINGLE).rlike(_REPEAT)
     return F.concat(F.when(few, short).otherwise(none), F.when(F.length(line) >= DENSE_FROM, dense).otherwise(none))
 
 

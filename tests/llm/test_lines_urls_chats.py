@@ -72,6 +72,21 @@ def test_line_recall(spark):
     assert sum(recall.values()) / len(recall) >= 0.98 and min(recall.values()) >= 0.97, recall
 
 
+def test_lines_of_few_shingles(spark):
+    """A repeat among a line's first shingles is found by a pattern as by counting them."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    lines = ["".join(r.choice(of) for _ in range(n)) for of in ("ab", "abc\n", "你好é", "𝔘𝔫a", "abcdefgh") for n in range(1, 60)] + ["aaaaaaaaaaaaaaaaaaaaaaaa", "abcdeabcdefghijklmnop"]
+    first = [x[:20] for x in lines]
+    want = [len({x[i : i + 5] for i in range(max(1, len(x) - 4))}) <= 15 for x in first]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, line string").repartition(1).orderBy("i")
+    got = df.select(((F.length("line") < 20) | F.substring("line", 1, 20).rlike(line_dedup._REPEAT)).alias("few"))
+    assert [x.few for x in got.collect()] == want and not all(want)
+
+
 def test_plan_is_native(docs, prose):
     plan = line_dedup.deduplicate(docs([(1, prose(1, 20))]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
