@@ -177,24 +177,45 @@ def signatures(documents: DataFrame, counts: np.ndarray, k: int = SHINGLE, thres
     return documents.select("text").mapInArrow(run, "key bigint, node bigint")
 
 
-def _sets(documents: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """nodes (node, doc_id, ...) with their tokens: only documents that stand for a node are shingled and shuffled.
+def _texts(documents: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """nodes (node, doc_id, ...) with a text that has their set: only documents that stand for a node are shingled.
 
     A set may come more than once, if its document's id or the bitmap's slot isn't its own.
     """
     of = _hashed(k, True)
 
     def run(batch):
-        node, tokens = [], []
-        for text in texts(batch.column(1)):
-            sh = of(text)
-            node.append(node_of(sh) if len(sh) else None)
-            tokens.append(sh.view(np.int64))
-        yield {"node": node, "tokens": pa.ListArray.from_arrays(np.cumsum([0, *map(len, tokens)]).astype(np.int32), np.concatenate(tokens))}
+        sets = [of(text) for text in texts(batch.column(1))]
+        yield {"node": [node_of(sh) if len(sh) else None for sh in sets], "text": batch.column(1)}
 
     docs = documents.select("doc_id", "text")
     found = maybe_in(docs.where("doc_id is not null"), "doc_id", nodes).unionByName(docs.where("doc_id is null"))
-    return arrow_map(found, run, "node bigint, tokens array<bigint>").join(nodes.drop("doc_id"), "node")
+    return arrow_map(found, run, "node bigint, text string").join(nodes.drop("doc_id"), "node")
+
+
+def _linked(pairs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """(a, b) of the rows (a, b, ta, tb) whose texts' sets reach the threshold; a set is made once for neighbouring rows."""
+    of = _hashed(k, True)
+
+    def run(batches):
+        last: dict[str, tuple[int, np.ndarray]] = {}
+
+        def made(side: str, node: int, text) -> np.ndarray:
+            if side not in last or last[side][0] != node:
+                last[side] = node, of(text.as_buffer().to_pybytes())
+            return last[side][1]
+
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ta, tb = batch.column(2), batch.column(3)
+            keep = []
+            for i, (x, y) in enumerate(zip(a, b)):
+                one, other = made("a", x, ta[i]), made("b", y, tb[i])
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(100 * common >= threshold * (len(one) + len(other) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
 def may_link(x: str, y: str, threshold: int = THRESHOLD) -> str:
@@ -206,21 +227,20 @@ def may_link(x: str, y: str, threshold: int = THRESHOLD) -> str:
 def verify(pairs: DataFrame, documents: DataFrame, traits: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b) of the pairs whose sets' Jaccard similarity reaches the threshold, exactly.
 
-    Pairs whose traits rule a link out are left out first. The others' sets meet by two joins, one per side; a
-    set with very many partners is split over tasks (skew join).
+    Pairs whose traits rule a link out are left out first. The others' texts meet by two joins, one per side; a
+    set with very many partners is split over tasks (skew join). Texts are shuffled, as hashes of shingles don't compress.
     """
     x, y = traits.alias("x"), traits.alias("y")
     p = pairs.join(x, F.expr("a = x.node")).join(y, F.expr("b = y.node")).where(may_link("x", "y", threshold))
-    p = materialize(p.select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")), "pairs")
+    p = materialize(p.select("a", "b"), "pairs")
     sides = p.select(F.col("a").alias("node"), F.lit(1).alias("is_a"), F.lit(0).alias("is_b")).union(p.select("b", F.lit(0), F.lit(1)))
     nodes = sides.groupBy("node").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b")).join(traits.select("node", "doc_id"), "node")
     nodes = materialize(nodes, "nodes")
-    sets = materialize(_sets(documents, nodes, k), "sets")
-    got = p.join(sets.where("is_a = 1").select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-    got = got.join(sets.where("is_b = 1").select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    links = materialize(got.withColumn("c", common).where(f"100 * c >= {threshold} * (na + nb - c)").select("a", "b"), "links")
-    release(p, nodes, sets)
+    held = materialize(_texts(documents, nodes, k), "texts")
+    got = p.join(held.where("is_a = 1").select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    got = got.join(held.where("is_b = 1").select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    links = materialize(_linked(got, k, threshold), "links")
+    release(p, nodes, held)
     return links
 
 

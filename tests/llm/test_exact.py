@@ -49,6 +49,19 @@ def test_ngram_join(docs, corpus):
     assert got == {(i, len(s), least.get(r, i)) for (i, _), s, r in zip(corpus, sets, root)}
 
 
+def test_pairs_are_verified_by_texts(docs, spark):
+    """Texts, not token arrays, are shuffled to their pairs; verdicts just at, over and under the threshold are exact."""
+    words = [f"w{i}" for i in range(54)]
+    texts = {1: words[:49], 2: words[:50] + ["x"], 3: words[:45], 4: [w.upper() for w in words[:49]] + ["y"] * 3, 5: ["z"] + words[5:49], 6: words[:40], 7: ["a", "b"], 8: words[:39]}
+    sets = {i: frozenset(tuple(x.lower() for x in t[j : j + 5]) for j in range(max(1, len(t) - 4))) for i, t in texts.items()}
+    pairs = [(i, j) for i in texts for j in texts if i < j]
+    rows = spark.createDataFrame([(i, j, " ".join(texts[i]), " ".join(texts[j])) for i, j in pairs], "a bigint, b bigint, ta string, tb string")
+    want = {(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert {(r.a, r.b) for r in ngram_join._linked(rows, 5, 80).collect()} == want and (1, 6) in want and (1, 8) not in want
+    held = ngram_join._texts(docs([(1, "a b c d e f"), (2, "other"), (None, "g h")]), spark.createDataFrame([(0, 1, 1, 0)], "node bigint, doc_id bigint, is_a int, is_b int"), 5)
+    assert held.columns == ["node", "text", "is_a", "is_b"]
+
+
 def test_keep_one_keeps_columns(docs, corpus):
     kept = ngram_join.keep_one(docs(corpus))
     assert kept.columns == docs([]).columns
