@@ -46,7 +46,7 @@ _NOBODY = 1 << 17
 #: Bytes from which on a word isn't folded.
 LONG = 512
 #: UTF-8 bytes of documents in a block (a longer document is a block of its own).
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 #: Frequent words that are encoded once for all blocks, and the bytes of documents they are counted in.
 #: Both only bound the dictionary: every other distinct word is folded in its block.
 DICTIONARY_WORDS = 400_000
@@ -132,9 +132,9 @@ class Vocabulary:
         return shift, np.where(owner[:end] < 0, _NOBODY, owner[:end]), rank[:end]
 
 
-def _let(value: Column, body) -> Column:
-    """body(x) with value evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _with(state: Column, value: Column, body) -> Column:
+    """body(state, x) with value evaluated once; a fold of one step, as transform() copies its results."""
+    return F.aggregate(F.array(value), state, body)
 
 
 def merge_all(word: Column, shift: Column, entry: Column) -> Column:
@@ -147,17 +147,18 @@ def merge_all(word: Column, shift: Column, entry: Column) -> Column:
     def merge(a, b):
         return F.shiftleft(F.get(entry, F.get(shift, a) + b).bitwiseXOR(F.shiftleft(a, 17)), _RANK)
 
-    def step(state, _):
-        def merged(m, p):
-            before, after, new = F.get(state, p - 2), F.get(state, p + 1), F.shiftright(m, _RANK)
-            left = merge(before.bitwiseAND(_ID), new).bitwiseOR(before.bitwiseAND(_PLACE | _ID))
-            both = merge(new, after.bitwiseAND(_ID)).bitwiseOR(m.bitwiseAND(_PLACE)).bitwiseOR(new)
-            return F.concat(F.slice(state, F.lit(1), p - 2), F.array(left, both), F.slice(state, p + 2, F.size(state)))
+    def merged(state, m, p):
+        before, after, new = F.get(state, p - 2), F.get(state, p + 1), F.shiftright(m, _RANK)
+        left = merge(before.bitwiseAND(_ID), new).bitwiseOR(before.bitwiseAND(_PLACE | _ID))
+        both = merge(new, after.bitwiseAND(_ID)).bitwiseOR(m.bitwiseAND(_PLACE)).bitwiseOR(new)
+        return F.flatten(F.array(F.slice(state, F.lit(1), p - 2), F.array(left, both), F.slice(state, p + 2, F.size(state))))
 
-        return _let(F.array_min(state), lambda m: F.when(m >= _STOP, state).otherwise(_let(F.array_position(state, m).cast("int"), lambda p: merged(m, p))))
+    def step(state, _):
+        at = lambda s, m: _with(s, F.array_position(s, m).cast("int"), lambda t, p: merged(t, m, p))
+        return _with(state, F.array_min(state), lambda s, m: F.when(m >= _STOP, s).otherwise(at(s, m)))
 
-    parts = F.aggregate(F.sequence(F.lit(4), F.size(word)), word, step)
-    return F.transform(F.slice(parts, F.lit(2), F.size(parts) - 2), lambda x: x.bitwiseAND(_ID).cast("int"))
+    parts = F.aggregate(F.sequence(F.lit(4), F.size(word)), word, step, lambda s: F.slice(s, F.lit(2), F.size(s) - 2))
+    return F.transform(parts, lambda x: x.bitwiseAND(_ID).cast("int"))
 
 
 def packed_bytes(flat: np.ndarray, ends: np.ndarray, layout) -> tuple[np.ndarray, np.ndarray]:
@@ -261,9 +262,13 @@ def _dictionary(vocab: Vocabulary, values: np.ndarray, sizes: np.ndarray) -> tup
     """word -> number, ids of all words, where each begins: the vocabulary's own words, and frequent ones given by their ids."""
     own = [(p.decode(), r) for p, r in vocab.ranks.items() if _is_text(p)]
     at = {w: i for i, (w, _) in enumerate(own)}
-    begins, pieces, ids = np.concatenate([[0], np.cumsum(sizes)]), vocab.pieces, values.tolist()
-    for i, (a, b) in enumerate(itertools.pairwise(begins.tolist())):
-        at.setdefault(b"".join([pieces[x] for x in ids[a:b]]).decode(), len(own) + i)
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    if len(sizes):
+        pieces = pa.array(vocab.pieces, pa.binary()).take(pa.array(values))  # their bytes lie one after the other
+        _, ends, data = pieces.buffers()
+        ends = pa.py_buffer(np.frombuffer(ends, np.int32)[begins])
+        for i, w in enumerate(pa.StringArray.from_buffers(len(sizes), ends, data).to_pylist(), len(own)):
+            at.setdefault(w, i)
     return at, np.concatenate([np.array([r for _, r in own], np.int32), values]), np.concatenate([np.arange(len(own)), len(own) + begins])
 
 
@@ -334,6 +339,8 @@ def _blocks(vocab: Vocabulary, block_bytes: int, dictionary=None):
                 size += more
             if start < len(docs):
                 yield block(ids[start:], docs[start:])
+        made.clear()
+        pa.default_memory_pool().release_unused()  # the worker stays, for tasks of another kind too
 
     return run
 
@@ -412,6 +419,7 @@ def _encoded(documents: DataFrame, vocab: Vocabulary, block_bytes: int, each: Ea
         for batch in batches:
             for i in range(batch.num_rows):
                 yield each(_assembled({name: batch.column(name)[i] for name in batch.schema.names}))
+        pa.default_memory_pool().release_unused()
 
     folded = blocks.crossJoin(F.broadcast(ranks)).select("doc_ids", "ends", "numbers", "known", "begins", words.alias("folded"))
     return folded.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ import re
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from panelforge.llm import byte_bpe, decontaminate, ngram_join, substring_dedup
 
@@ -202,6 +203,30 @@ def test_encoding_keeps_literals_out_of_plans(spark):
     assert out.first().ids == library.encode_ordinary(docs.first().text)
 
 
+def test_words_are_folded_once(spark):
+    """A lambda's expressions are evaluated as often as they are written: the fold is written once."""
+    words = F.transform("words", lambda w: byte_bpe.merge_all(w, F.col("shift"), F.col("entry")))
+    df = spark.createDataFrame([], "words array<array<bigint>>, shift array<int>, entry array<bigint>").select(words.alias("ids"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("sequence(") == plan.count("array_min(") == plan.count("array_position(") == 1
+
+
+def test_dictionary_words_from_ids():
+    """Frequent words are put together from their ids, beside the vocabulary's own words; none is an empty dictionary."""
+    import numpy as np
+
+    from panelforge.llm import queries
+
+    vocab = queries.vocabulary()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab.ranks, special_tokens={})
+    for frequent in ([" unheardofword", "naïvelyé", "𝔘𝔫你好吗"], []):
+        ids = [library.encode_ordinary(w) for w in frequent]
+        at, values, begins = byte_bpe._dictionary(vocab, np.array(sum(ids, []), np.int32), np.array([len(x) for x in ids], np.int32))
+        listed = list(at)
+        assert listed[len(listed) - len(frequent) :] == frequent and len(begins) == len(listed) + 1 and list(at.values()) == list(range(len(at)))
+        assert all(values[begins[i] : begins[i + 1]].tolist() == library.encode_ordinary(w) for i, w in enumerate(listed) if i % 997 == 0 or w in frequent)
+
+
 def test_finder_equals_the_library():
     """Texts below U+10000 are split by another library's pattern: all characters, in several surroundings."""
     import regex
