@@ -194,7 +194,7 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     stay = marked.where("not _pf_maybe").select("row.*")
     may = marked.where("_pf_maybe").select("row", "th", F.col("row.doc_id").alias("own")).alias("l")
     joined = may.join(dropped.alias("r"), F.expr("l.own <=> r.doc_id and l.th = r.th"), "left").select("row", "dropped")
-    kept = F.array_join(_without(F.split("row.text", "\n"), F.array_sort(F.col("dropped"))), "\n")
+    kept = F.array_join(_let(F.split("row.text", "\n"), lambda lines: _without(lines, F.array_sort(F.col("dropped")))), "\n")
     text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(kept)
     return stay.unionByName(joined.select(F.struct(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in documents.columns)).alias("row")).select("row.*"))
 

@@ -92,6 +92,14 @@ def test_plan_is_native(docs, prose):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_texts_are_split_once(docs, prose):
+    """A text that loses lines is split once, not once more for each piece between dropped lines."""
+    rows = [(1, "\n".join(prose(i, 20) for i in range(9))), (2, "\n".join(prose(i if i % 2 else 50 + i, 20) for i in range(9)))]
+    out = line_dedup.deduplicate(docs(rows))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "\n".join(prose(50 + i, 20) for i in range(0, 9, 2))}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (12, 11), (7, 7), (None, 1)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
